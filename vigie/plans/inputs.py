@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vigie.operators.prepare import clean_incidents, prepare_localities
 from vigie.schemas import VICTIM_KINDS, VICTIM_SLOTS
 
+# Columns in use of the given tables. A declared schema spares a pass over file footers.
+GIVEN = {
+    "nation": "n_nationkey INT, n_name STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING,"
+              " o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT",
+}
+
 # --- fixed values of the mapping, by remainder from 0 ------------------------
 REGIONS = (
     "Kayes", "Koulikouro", "Sikasso", "Segou", "Mopti", "Tombouctou", "Gao", "Kidal", "Bamako",
@@ -24,66 +31,115 @@ STATUSES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
+    return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
-def _pick(number: Column, values: tuple) -> Column:
-    """The value at ``number`` modulo the length."""
-    return F.get(F.array(*[F.lit(value) for value in values]), (number % len(values)).cast("int"))
 
-
-def _text(prefix: str, number: Column) -> Column:
-    return F.concat(F.lit(prefix), number.cast("string"))
+def pick(number: str, values: tuple[str | None, ...]) -> str:
+    """SQL for the value at ``number`` modulo the length."""
+    whens = " ".join(
+        f"WHEN {i} THEN " + ("NULL" if value is None else f"'{value}'")
+        for i, value in enumerate(values)
+    )
+    return f"CASE ({number}) % {len(values)} {whens} END"
+
+
+LOCALITE_SQL = {
+    "id": "CASE WHEN c_custkey = 149 THEN NULL ELSE CAST(c_custkey AS STRING) END",
+    "longitude": "-12e0 + (c_custkey % 33) / 2e0",
+    "latitude": "10e0 + (c_custkey % 29) / 2e0",
+    "featureNam": "c_name",
+    "featureRef": "concat('ref-', CAST(c_custkey AS STRING))",
+    "admin1Pcod": "concat('ML0', CAST(c_nationkey % 9 + 1 AS STRING))",
+    "admin1Name": pick("c_nationkey", REGIONS),
+    "admin2Pcod": "concat('ML0', CAST(c_nationkey AS STRING))",
+    "admin2Name": "n_name",
+    "admin3Pcod": "c_mktsegment",
+    "admin3Name": "c_mktsegment",
+    "popPlace_1": pick("c_custkey", PLACE_TYPES),
+}
+
+HAS_POINT = "(o_orderkey % 5 IN (0, 1, 2) OR o_orderkey % 10 = 4)"
+HAS_LINE = "(o_orderkey % 5 = 3 OR o_orderkey % 10 = 4)"
+PLACE = (
+    "CASE o_custkey % 50 WHEN 7 THEN 'Frontière Boulkessi' WHEN 13 THEN 'Almoustarat'"
+    " ELSE concat('Place ', CAST(o_custkey AS STRING)) END"
+)
+ORDER_SQL = {
+    "no_liste": "o_orderkey",
+    "annee": "CAST(year(o_orderdate) + 20 AS DOUBLE)",
+    "mois": "CAST(month(o_orderdate) AS DOUBLE)",
+    "jour": "CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 31e0"
+            " ELSE CAST(day(o_orderdate) AS DOUBLE) END",
+    "origin": "CASE WHEN o_orderpriority = '5-LOW' THEN 'press'"
+              " WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 10 = 0 THEN NULL"
+              " ELSE 'webpage' END",
+    "type_incident": "CASE WHEN o_orderstatus = 'F' THEN 'Attaque'"
+                     " WHEN o_orderstatus = 'O' THEN 'Affrontement'"
+                     " WHEN o_orderkey % 2 = 0 THEN 'Enlèvement' END",
+    "point_id": f"CASE WHEN {HAS_POINT} THEN CASE WHEN o_orderkey % 83 = 0 THEN 'ND'"
+                " ELSE CAST(o_custkey AS STRING) END END",
+    "point": f"CASE WHEN {HAS_POINT} THEN {PLACE} END",
+    "depart_id": f"CASE WHEN {HAS_LINE} THEN CAST(o_custkey AS DOUBLE) END",
+    "depart": f"CASE WHEN {HAS_LINE} THEN {PLACE} END",
+    "arrivee_id": f"CASE WHEN {HAS_LINE} THEN CAST(o_custkey + 5 AS STRING) END",
+    "arrivee": f"CASE WHEN {HAS_LINE} AND o_orderkey % 7 <> 0"
+               " THEN concat('Place ', CAST(o_custkey + 5 AS STRING)) END",
+}
+
+
+def _as(columns: dict[str, str]) -> list[str]:
+    return [f"{sql} AS {name}" for name, sql in columns.items()]
+
+
+def _expressions(texts: list[str]) -> list[Column]:
+    return [F.expr(text) for text in texts]
 
 
 def localites_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One place per customer."""
-    key, nation = F.col("c_custkey"), F.col("c_nationkey")
-    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey",
-                                                        "c_mktsegment")
-    nations = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return customers.join(nations, nation == F.col("n_nationkey")).select(
-        F.when(key != 149, key.cast("string")).alias("id"),
-        (F.lit(-12.0) + (key % 33) / 2).alias("longitude"),
-        (F.lit(10.0) + (key % 29) / 2).alias("latitude"),
-        F.col("c_name").alias("featureNam"),
-        _text("ref-", key).alias("featureRef"),
-        _text("ML0", nation % 9 + 1).alias("admin1Pcod"),
-        _pick(nation, REGIONS).alias("admin1Name"),
-        _text("ML0", nation).alias("admin2Pcod"),
-        F.col("n_name").alias("admin2Name"),
-        F.col("c_mktsegment").alias("admin3Pcod"),
-        F.col("c_mktsegment").alias("admin3Name"),
-        _pick(key, PLACE_TYPES).alias("popPlace_1"),
+    customers, nations = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    return customers.join(nations, customers.c_nationkey == nations.n_nationkey).selectExpr(
+        *_as(LOCALITE_SQL)
     )
 
 
 def _casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six victim slots and two totals per order, in one aggregation over the lines."""
-    line = F.col("l_linenumber")
-    found, first_part = {}, {}
-    for position, slot in enumerate(
-        (kind, number) for kind in VICTIM_KINDS for number in VICTIM_SLOTS
-    ):
-        found[slot] = F.count(F.when(line == position + 1, 1))
-        first_part[slot] = F.min(F.when(line == position + 1, F.col("l_partkey")))
-    lines = table(spark, sf_dir, "lineitem").filter(line <= 6)
-    wide = lines.groupBy("l_orderkey").agg(
-        *[value.alias(f"found_{kind}_{n}") for (kind, n), value in found.items()],
-        *[value.alias(f"part_{kind}_{n}") for (kind, n), value in first_part.items()],
-    )
-    columns = []
+    """Six victim slots and two totals per order, in one aggregation over the lines.
+
+    A slot's lines may repeat: they are counted, and the lowest part names the status.
+    """
+    slots = [f"{kind}_{n}" for kind in VICTIM_KINDS for n in VICTIM_SLOTS]
+    found = [
+        sql
+        for line, slot in enumerate(slots, start=1)
+        for sql in (
+            f"count(CASE WHEN l_linenumber = {line} THEN 1 END) AS lines_{slot}",
+            f"min(CASE WHEN l_linenumber = {line} THEN l_partkey END) AS part_{slot}",
+        )
+    ]
+    values = [
+        sql
+        for slot in slots
+        for sql in (
+            f"{pick(f'part_{slot}', STATUSES)} AS stat_{slot}",
+            f"CASE WHEN lines_{slot} > 0 THEN CAST(lines_{slot} % 3 AS DOUBLE) END"
+            f" AS count_{slot}",
+        )
+    ]
+    totals = []
     for kind in VICTIM_KINDS:
-        counts = []
-        for n in VICTIM_SLOTS:
-            lines_found = F.col(f"found_{kind}_{n}")
-            count = F.when(lines_found > 0, (lines_found % 3).cast("double"))
-            counts.append(count)
-            columns.append(_pick(F.col(f"part_{kind}_{n}"), STATUSES).alias(f"stat_{kind}_{n}"))
-            columns.append(count.alias(f"count_{kind}_{n}"))
-        total = reduce(lambda a, b: a + b, (F.coalesce(count, F.lit(0.0)) for count in counts))
-        columns.append(F.when(F.coalesce(*counts).isNotNull(), total).alias(f"nbr_{kind}"))
-    return wide.select("l_orderkey", *columns)
+        lines = [f"lines_{kind}_{n}" for n in VICTIM_SLOTS]
+        total = " + ".join(f"{name} % 3" for name in lines)
+        totals.append(
+            f"CASE WHEN {' + '.join(lines)} > 0 THEN CAST({total} AS DOUBLE) END AS nbr_{kind}"
+        )
+    return (
+        table(spark, sf_dir, "lineitem")
+        .filter("l_linenumber <= 6")
+        .groupBy("l_orderkey")
+        .agg(*_expressions(found))
+        .selectExpr("l_orderkey", *values, *totals)
+    )
 
 
 def incidents_raw(spark: SparkSession, sf_dir: str, casualties: bool = True) -> DataFrame:
@@ -92,44 +148,11 @@ def incidents_raw(spark: SparkSession, sf_dir: str, casualties: bool = True) ->
     Without ``casualties`` the lines are not read: the rows are the same, the victim
     columns are left out.
     """
-    order, place_id = F.col("o_orderkey"), F.col("o_custkey")
-    has_point = (order % 5).isin(0, 1, 2) | (order % 10 == 4)
-    has_line = (order % 5 == 3) | (order % 10 == 4)
-    place = (
-        F.when(place_id % 50 == 7, "Frontière Boulkessi")
-        .when(place_id % 50 == 13, "Almoustarat")
-        .otherwise(_text("Place ", place_id))
-    )
-    date, priority, status = F.col("o_orderdate"), F.col("o_orderpriority"), F.col("o_orderstatus")
-    orders = table(spark, sf_dir, "orders").select(
-        order.alias("no_liste"),
-        (F.year(date) + 20).cast("double").alias("annee"),
-        F.month(date).cast("double").alias("mois"),
-        F.when(order % 97 == 0, None)
-        .when(order % 89 == 0, 31.0)
-        .otherwise(F.dayofmonth(date).cast("double"))
-        .alias("jour"),
-        F.when(priority == "5-LOW", "press")
-        .when((priority == "4-NOT SPECIFIED") & (order % 10 == 0), None)
-        .otherwise("webpage")
-        .alias("origin"),
-        F.when(status == "F", "Attaque")
-        .when(status == "O", "Affrontement")
-        .when(order % 2 == 0, "Enlèvement")
-        .alias("type_incident"),
-        F.when(has_point, F.when(order % 83 == 0, "ND").otherwise(place_id.cast("string"))).alias(
-            "point_id"
-        ),
-        F.when(has_point, place).alias("point"),
-        F.when(has_line, place_id.cast("double")).alias("depart_id"),
-        F.when(has_line, place).alias("depart"),
-        F.when(has_line, (place_id + 5).cast("string")).alias("arrivee_id"),
-        F.when(has_line & (order % 7 != 0), _text("Place ", place_id + 5)).alias("arrivee"),
-    )
+    orders = table(spark, sf_dir, "orders").selectExpr(*_as(ORDER_SQL))
     if not casualties:
         return orders
     victims = _casualties(spark, sf_dir)
-    return orders.join(victims, F.col("no_liste") == F.col("l_orderkey"), "left").drop("l_orderkey")
+    return orders.join(victims, orders.no_liste == victims.l_orderkey, "left").drop("l_orderkey")
 
 
 def localites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,49 +168,42 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The box around all places has no name, on level 1.
     """
-    names = ["Admin1_Nam", "Admin2_Nam", "Admin3_Nam"]
-    places = localites_raw(spark, sf_dir).select(
-        F.col("admin1Name").alias(names[0]),
-        F.col("admin2Name").alias(names[1]),
-        F.col("admin3Name").alias(names[2]),
-        "longitude",
-        "latitude",
-    )
-
-    def box(west: str, east: str, south: str, north: str) -> list[Column]:
-        return [F.min(west).alias("west"), F.max(east).alias("east"),
-                F.min(south).alias("south"), F.max(north).alias("north")]
-
-    units = places.groupBy(*names).agg(*box("longitude", "longitude", "latitude", "latitude"))
-    level = (
-        F.when(F.grouping_id() == 0, 3).when(F.grouping_id() == 1, 2).otherwise(1).alias("level")
-    )
-    corners = (("west", "south"), ("east", "south"), ("east", "north"), ("west", "north"),
-               ("west", "south"))
-    outline = F.concat(
-        F.lit("POLYGON(("),
-        F.concat_ws(", ", *[F.concat_ws(" ", F.col(x).cast("string"), F.col(y).cast("string"))
-                            for x, y in corners]),
-        F.lit("))"),
+    units = (
+        localites_raw(spark, sf_dir)
+        .groupBy("admin1Name", "admin2Name", "admin3Name")
+        .agg(*_expressions([
+            "min(longitude) AS west", "max(longitude) AS east",
+            "min(latitude) AS south", "max(latitude) AS north",
+        ]))
     )
     return (
-        units.rollup(*names)
-        .agg(level, *box("west", "east", "south", "north"))
-        .select("level", "Admin1_Nam", outline.alias("wkt"))
+        units.rollup("admin1Name", "admin2Name", "admin3Name")
+        .agg(*_expressions([
+            "CASE grouping_id() WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END AS level",
+            "CAST(min(west) AS STRING) AS w", "CAST(max(east) AS STRING) AS e",
+            "CAST(min(south) AS STRING) AS s", "CAST(max(north) AS STRING) AS n",
+        ]))
+        .selectExpr(
+            "level",
+            "admin1Name AS Admin1_Nam",
+            "concat('POLYGON((', concat_ws(', ', concat_ws(' ', w, s), concat_ws(' ', e, s),"
+            " concat_ws(' ', e, n), concat_ws(' ', w, n), concat_ws(' ', w, s)), '))') AS wkt",
+        )
     )
 
 
 def outlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A square ring around each place, numbered from 0, and attributes from 1."""
-    customers = localites_raw(spark, sf_dir)
-    key = F.substring("featureRef", len("ref-") + 1, 20).cast("bigint")
-    half = 0.25
-    ring = F.array(*[
-        F.struct((F.col("longitude") + dx * half).alias("lon"),
-                 (F.col("latitude") + dy * half).alias("lat"))
+    customers = table(spark, sf_dir, "customer")
+    corners = ", ".join(
+        f"struct({LOCALITE_SQL['longitude']} + {dx} * 0.25e0 AS lon,"
+        f" {LOCALITE_SQL['latitude']} + {dy} * 0.25e0 AS lat)"
         for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))
-    ])
-    shapes = customers.select((key - 1).cast("string").alias("region"), F.array(ring).alias("rings"))
-    attributes = customers.select(key.alias("OBJECTID"), F.col("featureNam").alias("nom"),
-                                  F.col("admin1Name").alias("adm1_name"))
+    )
+    shapes = customers.selectExpr(
+        "CAST(c_custkey - 1 AS STRING) AS region", f"array(array({corners})) AS rings"
+    )
+    attributes = customers.selectExpr(
+        "c_custkey AS OBJECTID", "c_name AS nom", f"{LOCALITE_SQL['admin1Name']} AS adm1_name"
+    )
     return shapes, attributes

@@ -1,7 +1,8 @@
 """The named queries again as plain SQL, to check the results in another engine.
 
-Written apart from the Spark code on purpose: long forms, self joins and per-place
-kernel sums where the library takes shorter ways.
+Only the mapping of the given tables is shared with the Spark code. The queries are
+written apart from it on purpose: long forms, self joins and per-place kernel sums where
+the library takes shorter ways.
 """
 
 from __future__ import annotations
@@ -22,10 +23,8 @@ def _case(subject: str, pairs, otherwise: str | None = None) -> str:
     return f"CASE {subject} {whens}{f' ELSE {otherwise}' if otherwise else ''} END"
 
 
-def _by_remainder(number: str, values) -> str:
-    return _case(
-        f"({number}) % {len(values)}", [(i, _quote(v)) for i, v in enumerate(values)]
-    )
+def _mapped(columns: dict[str, str]) -> str:
+    return ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
 
 
 def _slot_columns() -> str:
@@ -46,14 +45,6 @@ def _slot_columns() -> str:
     return ", ".join(columns)
 
 
-HAS_POINT = "(o_orderkey % 5 IN (0, 1, 2) OR o_orderkey % 10 = 4)"
-HAS_LINE = "(o_orderkey % 5 = 3 OR o_orderkey % 10 = 4)"
-PLACE = (
-    "CASE o_custkey % 50 WHEN 7 THEN 'Frontière Boulkessi' WHEN 13 THEN 'Almoustarat'"
-    " ELSE concat('Place ', CAST(o_custkey AS VARCHAR)) END"
-)
-
-
 def _overridden(column: str) -> str:
     """A forced value on listed places; a missing place name gives a missing value."""
     whens = "".join(
@@ -119,46 +110,24 @@ def _long(kind: str) -> str:
 
 PREFIX = f"""WITH slots AS (
   SELECT l_orderkey, l_linenumber, CAST(count(*) % 3 AS DOUBLE) AS cnt,
-    {_by_remainder('min(l_partkey)', inputs.STATUSES)} AS stat
+    {inputs.pick('min(l_partkey)', inputs.STATUSES)} AS stat
   FROM lineitem WHERE l_linenumber <= 6 GROUP BY l_orderkey, l_linenumber),
 wide AS (SELECT l_orderkey, {_slot_columns()} FROM slots GROUP BY l_orderkey),
 incidents_raw AS (
-  SELECT o_orderkey AS no_liste,
-    CAST(year(o_orderdate) + 20 AS DOUBLE) AS annee,
-    CAST(month(o_orderdate) AS DOUBLE) AS mois,
-    CASE WHEN o_orderkey % 97 = 0 THEN NULL WHEN o_orderkey % 89 = 0 THEN 31e0
-      ELSE CAST(day(o_orderdate) AS DOUBLE) END AS jour,
-    CASE WHEN o_orderpriority = '5-LOW' THEN 'press'
-      WHEN o_orderpriority = '4-NOT SPECIFIED' AND o_orderkey % 10 = 0 THEN NULL
-      ELSE 'webpage' END AS origin,
-    CASE WHEN o_orderstatus = 'F' THEN 'Attaque' WHEN o_orderstatus = 'O' THEN 'Affrontement'
-      WHEN o_orderkey % 2 = 0 THEN 'Enlèvement' END AS type_incident,
-    CASE WHEN {HAS_POINT} THEN CASE WHEN o_orderkey % 83 = 0 THEN 'ND'
-      ELSE CAST(o_custkey AS VARCHAR) END END AS point_id,
-    CASE WHEN {HAS_POINT} THEN {PLACE} END AS point,
-    CASE WHEN {HAS_LINE} THEN CAST(o_custkey AS DOUBLE) END AS depart_id,
-    CASE WHEN {HAS_LINE} THEN {PLACE} END AS depart,
-    CASE WHEN {HAS_LINE} THEN CAST(o_custkey + 5 AS VARCHAR) END AS arrivee_id,
-    CASE WHEN {HAS_LINE} AND o_orderkey % 7 <> 0
-      THEN concat('Place ', CAST(o_custkey + 5 AS VARCHAR)) END AS arrivee,
+  SELECT {_mapped(inputs.ORDER_SQL)},
     {VICTIM_COLUMNS}
   FROM orders LEFT JOIN wide ON o_orderkey = l_orderkey),
 localites_raw AS (
-  SELECT CASE WHEN c_custkey = 149 THEN NULL ELSE CAST(c_custkey AS VARCHAR) END AS id,
-    -12e0 + (c_custkey % 33) / 2e0 AS longitude, 10e0 + (c_custkey % 29) / 2e0 AS latitude,
-    c_custkey, c_name, concat('ref-', CAST(c_custkey AS VARCHAR)) AS ref,
-    concat('ML0', CAST(c_nationkey % 9 + 1 AS VARCHAR)) AS adm1_cod,
-    {_by_remainder('c_nationkey', inputs.REGIONS)} AS adm1_name,
-    concat('ML0', CAST(c_nationkey AS VARCHAR)) AS adm2_cod, n_name AS adm2_name,
-    c_mktsegment AS adm3_cod, c_mktsegment AS adm3_name,
-    {_by_remainder('c_custkey', inputs.PLACE_TYPES)} AS kind
+  SELECT {_mapped(inputs.LOCALITE_SQL)}, c_custkey
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
 localites AS (
-  SELECT TRY_CAST(id AS DOUBLE) AS id, longitude, latitude, c_name AS nom, ref,
-    adm1_cod, adm1_name, adm2_cod, adm2_name, adm3_cod, adm3_name,
-    coalesce(kind, 'Other') AS type,
-    CASE WHEN kind IS NULL THEN 'Autre' ELSE
-      {_case('kind', [(_quote(a), _quote(b)) for a, b in rules.PLACE_TYPES_FR])} END AS type_fr
+  SELECT TRY_CAST(id AS DOUBLE) AS id, longitude, latitude, featureNam AS nom,
+    featureRef AS ref, admin1Pcod AS adm1_cod, admin1Name AS adm1_name,
+    admin2Pcod AS adm2_cod, admin2Name AS adm2_name, admin3Pcod AS adm3_cod,
+    admin3Name AS adm3_name, coalesce(popPlace_1, 'Other') AS type,
+    CASE WHEN popPlace_1 IS NULL THEN 'Autre' ELSE
+      {_case('popPlace_1', [(_quote(a), _quote(b)) for a, b in rules.PLACE_TYPES_FR])}
+      END AS type_fr
   FROM localites_raw),
 incidents AS (
   SELECT * FROM (
@@ -343,7 +312,7 @@ def _vertices() -> str:
     return " UNION ALL ".join(
         f"""SELECT CAST(c_custkey - 1 AS DOUBLE) AS region, 1 AS ring, {i + 1} AS position,
         longitude + {dx} * 0.25e0 AS longitude, latitude + {dy} * 0.25e0 AS latitude,
-        c_name AS nom, adm1_name FROM localites_raw"""
+        featureNam AS nom, admin1Name AS adm1_name FROM localites_raw"""
         for i, (dx, dy) in enumerate(corners)
     )
 
