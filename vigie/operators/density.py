@@ -18,6 +18,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vigie import rules
+from vigie.session import cut_lineage
 
 Extent = tuple[tuple[float, float], tuple[float, float]]
 MAP_EXTENT: Extent = (rules.LONGITUDE_EXTENT, rules.LATITUDE_EXTENT)
@@ -26,6 +27,9 @@ MAP_EXTENT: Extent = (rules.LONGITUDE_EXTENT, rules.LATITUDE_EXTENT)
 # wanted rank, at most four per axis, are sorted.
 STRIPS = 65536
 
+# Number of places whose quartiles one task may hold (two axes, 8 bytes a value).
+DIRECT_LIMIT = 1_000_000
+
 
 def _quartile(h: Column, below: str, above: str) -> Column:
     """Linear interpolation between two neighbouring order statistics."""
@@ -97,21 +101,46 @@ def axis_quartiles(values: DataFrame) -> DataFrame:
     )
 
 
-def bandwidths(places: DataFrame) -> DataFrame:
-    """One row: number of places ``m`` and the kernel widths ``hx`` and ``hy``."""
-    axes = F.array(
+def _width(m: Column, sd: Column, q25: Column, q75: Column) -> Column:
+    return F.least(sd, (q75 - q25) / 1.34) * 1.06 * m.cast("double") ** F.lit(-0.2)
+
+
+def bandwidths(places: DataFrame, strips: bool = False) -> DataFrame:
+    """One row: number of places ``m`` and the kernel widths ``hx`` and ``hy``.
+
+    The quartiles of up to ``DIRECT_LIMIT`` places are found directly, in one
+    aggregation that holds the values of an axis. ``strips`` is the way beyond that.
+    """
+    m = F.col("m")
+    if not strips:
+        axes = {"x": "longitude", "y": "latitude"}
+        spread = [
+            column
+            for axis, name in axes.items()
+            for column in (
+                F.stddev_samp(name).alias(f"sd_{axis}"),
+                F.percentile(name, [0.25, 0.75]).alias(f"q_{axis}"),
+            )
+        ]
+        return places.agg(F.count(F.lit(1)).alias("m"), *spread).select(
+            "m",
+            *[
+                _width(m, F.col(f"sd_{axis}"), F.get(f"q_{axis}", F.lit(0)),
+                       F.get(f"q_{axis}", F.lit(1))).alias(f"h{axis}")
+                for axis in axes
+            ],
+        )
+    values = F.array(
         F.struct(F.lit("x").alias("axis"), F.col("longitude").alias("value")),
         F.struct(F.lit("y").alias("axis"), F.col("latitude").alias("value")),
     )
-    spread = F.least(F.col("sd"), (F.col("q75") - F.col("q25")) / 1.34)
-    width = F.col("m").cast("double") ** F.lit(-0.2) * spread * 1.06
+    width = _width(m, F.col("sd"), F.col("q25"), F.col("q75"))
     return (
-        axis_quartiles(places.select(F.inline(axes)))
-        .withColumn("h", width)
+        axis_quartiles(places.select(F.inline(values)))
         .agg(
             F.max("m").alias("m"),
-            F.max(F.when(F.col("axis") == "x", F.col("h"))).alias("hx"),
-            F.max(F.when(F.col("axis") == "y", F.col("h"))).alias("hy"),
+            F.max(F.when(F.col("axis") == "x", width)).alias("hx"),
+            F.max(F.when(F.col("axis") == "y", width)).alias("hy"),
         )
     )
 
@@ -121,10 +150,19 @@ def hotspot_density(
 ) -> DataFrame:
     """Density on a ``grid`` x ``grid`` raster; each place row counts once.
 
-    Fewer than two places, or places without spread along an axis, give no rows.
+    Fewer than two places, or places without spread along an axis, give no rows. The
+    places are read several times, so they are computed and stored first.
     """
     if grid < 2:
         raise ValueError("grid needs at least 2 points per axis")
+    located = cut_lineage(
+        places.filter(F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).select(
+            "longitude", "latitude"
+        )
+    )
+    widths = bandwidths(located, strips=located.count() > DIRECT_LIMIT).first()
+    m, hx, hy = widths["m"], widths["hx"], widths["hy"]
+    spread = bool(hx and hy)
     (x_low, x_high), (y_low, y_high) = extent
     x_step, y_step = (x_high - x_low) / (grid - 1), (y_high - y_low) / (grid - 1)
 
@@ -136,11 +174,10 @@ def hotspot_density(
         x_lines, y_lines = x_low + steps * x_step, y_low + steps * y_step
         total, seen = np.zeros((grid, grid)), False
         for batch in batches:
-            x, y, hx, hy, m = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
-            along_x = np.exp(-(((x_lines - x[:, None]) / hx[:, None]) ** 2) / 2)
-            along_y = np.exp(-(((y_lines - y[:, None]) / hy[:, None]) ** 2) / 2)
-            along_x /= (2 * pi * m * hx * hy)[:, None]
-            total += along_x.T @ along_y
+            x, y = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            along_x = np.exp(-(((x_lines - x[:, None]) / hx) ** 2) / 2)
+            along_y = np.exp(-(((y_lines - y[:, None]) / hy) ** 2) / 2)
+            total += along_x.T @ along_y / (2 * pi * m * hx * hy)
             seen = seen or len(x) > 0
         if seen:
             cell_x, cell_y = np.divmod(np.arange(grid * grid, dtype="int32"), grid)
@@ -153,14 +190,8 @@ def hotspot_density(
                 names=["cell_x", "cell_y", "part"],
             )
 
-    located = places.filter(
-        F.col("longitude").isNotNull() & F.col("latitude").isNotNull()
-    ).select("longitude", "latitude")
-    widths = bandwidths(located).select(F.struct("hx", "hy", "m")).scalar()
     return (
-        located.withColumn("widths", widths)
-        .select("longitude", "latitude", "widths.hx", "widths.hy", "widths.m")
-        .filter((F.col("hx") > 0) & (F.col("hy") > 0))
+        located.filter(F.lit(spread))
         .mapInArrow(task_grid, "cell_x INT, cell_y INT, part DOUBLE")
         .groupBy("cell_x", "cell_y")
         .agg(F.sum("part").alias("density"))

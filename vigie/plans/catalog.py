@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from functools import partial, reduce
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vigie import rules
 from vigie.operators import classify, density, geometry, labels, places, prepare, trends, victims
 from vigie.plans import inputs
+from vigie.plans.batch import prepare_folder
+from vigie.session import shared_folder
 from vigie.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,12 +24,6 @@ REGION = "Gao"
 SOURCE = "https://example.org/incidents"
 
 
-def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder in the shared place the cluster names, else a local one (tests)."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
-
-
 def _needs_casualties(measure: str) -> bool:
     return measure != "incidents"
 
@@ -224,24 +219,15 @@ def localized_labels(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
     )
 
 
-def prepared_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """Every table the batch preparation leaves behind."""
-    rows, localites = inputs.incidents(spark, sf_dir), inputs.localites(spark, sf_dir)
-    return {
-        "localites": localites,
-        "incidents": rows,
-        "incidents_point": prepare.locate_points(rows, localites),
-        "incidents_line": prepare.locate_lines(rows, localites),
-        "victimes": victims.victims(rows, unique_ids=True),
-        "boundaries": inputs.boundaries(spark, sf_dir),
-    }
-
-
 def tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write the prepared tables, read them back, and sum up what was read."""
-    folder = scratch_folder(spark, "tables")
-    tables.write_tables(prepared_tables(spark, sf_dir), folder)
-    read = tables.read_tables(spark, folder)
+    """Write all prepared tables, read them back, and sum up what was read."""
+    read = prepare_folder(
+        inputs.incidents_raw(spark, sf_dir),
+        inputs.localites_raw(spark, sf_dir),
+        inputs.boundaries(spark, sf_dir),
+        f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}",
+        unique_ids=True,
+    )
     total = {
         "localites": F.sum("id"),
         "incidents": F.sum("annee"),

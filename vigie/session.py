@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 # Adaptive execution sizes the shuffles, splits hot join partitions and picks a
 # broadcast only for a side whose measured size is below the threshold.
@@ -26,3 +28,17 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
     for key, value in extra.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names for checkpoints; a local one only in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    return named or f"{tempfile.gettempdir()}/vigie-checkpoints"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The same rows, computed once and stored where the loss of an executor does no harm."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
