@@ -227,7 +227,7 @@ def test_place_label(spark):
 ])
 def test_number_text(spark, number, text):
     df = spark.createDataFrame([(number,)], "n DOUBLE")
-    assert df.select(scalars.number_text(F.col("n"))).first()[0] == text
+    assert df.select(scalars.number_text("n")).first()[0] == text
 
 
 def test_an_incident_may_have_a_point_and_a_line_or_neither(spark):

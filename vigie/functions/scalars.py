@@ -50,25 +50,20 @@ def week_of_year(date: Column) -> Column:
     return ((F.dayofyear(date) + 6) / 7).cast("int")
 
 
-def number_text(number: Column) -> Column:
-    """A number the way labels print it: no ".0", "NA" for a missing value.
+def number_text(name: str) -> Column:
+    """A number column the way labels print it: no ".0", "NA" for a missing value.
 
     The shorter of plain and scientific notation is used: 120000 but 1e+05.
     """
-    plain = F.abs(number).cast("bigint").cast("string")
-    digits = F.rtrim(plain, F.lit("0"))
-    zeros = F.length(plain) - F.length(digits)
-    scientific = F.concat(
-        F.substring(digits, 1, 1),
-        F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, 2, 20))).otherwise(""),
-        F.lit("e+"),
-        F.lpad((F.length(plain) - 1).cast("string"), 2, "0"),
-    )
-    short = (zeros > F.when(F.length(digits) > 1, 5).otherwise(4)) & (digits != "")
-    sign = F.when(number < 0, "-").otherwise("")
-    whole = (number == F.floor(number)) & (F.abs(number) < 1e15)
-    return (
-        F.when(number.isNull(), F.lit("NA"))
-        .when(whole, F.concat(sign, F.when(short, scientific).otherwise(plain)))
-        .otherwise(number.cast("string"))
-    )
+    sign = f"CASE WHEN {name} < 0 THEN '-' ELSE '' END"
+    plain = f"CAST(CAST(abs({name}) AS BIGINT) AS STRING)"
+    digits = f"rtrim('0', {plain})"
+    exponent = f"lpad(CAST(length({plain}) - 1 AS STRING), 2, '0')"
+    return F.expr(f"""CASE
+        WHEN {name} IS NULL THEN 'NA'
+        WHEN abs({name}) >= 1e15 OR {name} <> floor({name}) THEN CAST({name} AS STRING)
+        WHEN {plain} RLIKE '^[1-9]0{{5,}}$'
+            THEN concat({sign}, {digits}, 'e+', {exponent})
+        WHEN {plain} RLIKE '^[1-9][0-9]*[1-9]0{{6,}}$'
+            THEN concat({sign}, left({digits}, 1), '.', substr({digits}, 2), 'e+', {exponent})
+        ELSE concat({sign}, {plain}) END""")

@@ -26,9 +26,9 @@ def counts_by_place(points: DataFrame, measure: str) -> DataFrame:
         " ",
         F.coalesce("point", F.lit("NA")),
         F.lit("-"),
-        number_text(F.col("year")),
+        number_text("year"),
         F.lit(":"),
-        number_text(F.col("value")),
+        number_text("value"),
         F.lit(measure),
     )
     return (

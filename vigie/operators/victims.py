@@ -14,23 +14,29 @@ from vigie.schemas import COUNT_COLUMNS, STATUS_COLUMNS
 VALUE_COLUMNS = {"Statut": "statut", "Nombre": "nombre"}
 
 
-def unpivot_victims(incidents: DataFrame, kind: str) -> DataFrame:
-    """The six slots of one kind, ``Statut`` or ``Nombre``, as rows.
+def unpivot_victims(incidents: DataFrame, kind: str | None = None) -> DataFrame:
+    """The victim slots as rows: six of one kind, or twelve with their ``type``.
 
-    Category and slot number are read from the column name.
+    Kind, category and slot number are read from the column name. The value of a kind
+    is called ``statut`` or ``nombre``; without a kind it is ``value``.
     """
-    if kind not in VALUE_COLUMNS:
+    if kind is not None and kind not in VALUE_COLUMNS:
         raise ValueError(f"kind must be one of {tuple(VALUE_COLUMNS)}, not {kind!r}")
-    value = VALUE_COLUMNS[kind]
-    names = STATUS_COLUMNS if kind == "Statut" else COUNT_COLUMNS
+    names = {"Statut": STATUS_COLUMNS, "Nombre": COUNT_COLUMNS}.get(
+        kind, STATUS_COLUMNS + COUNT_COLUMNS
+    )
+    value = VALUE_COLUMNS.get(kind, "value")
     wide = incidents.select("no_liste", *[F.col(name).cast("string").alias(name) for name in names])
     key = F.col("key")
-    return wide.unpivot("no_liste", names, "key", value).select(
-        "no_liste",
+    columns = [
+        F.col("no_liste"),
         F.when(key.contains("morts"), "Morts").otherwise("Blessés").alias("categorie"),
-        value,
+        F.col(value),
         F.when(key.contains("1"), 1).when(key.contains("2"), 2).otherwise(3).alias("groupe"),
-    )
+    ]
+    if kind is None:
+        columns.append(F.when(key.contains("stat"), "Statut").otherwise("Nombre").alias("type"))
+    return wide.unpivot("no_liste", names, "key", value).select(*columns)
 
 
 def pair_victims(status: DataFrame, counts: DataFrame) -> DataFrame:

@@ -58,16 +58,7 @@ def line_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- victims -----------------------------------------------------------------
 def victims_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both kinds below each other."""
-    rows = inputs.incidents(spark, sf_dir)
-
-    def long(kind: str) -> DataFrame:
-        value = victims.VALUE_COLUMNS[kind]
-        return victims.unpivot_victims(rows, kind).select(
-            "no_liste", "categorie", "groupe", F.lit(kind).alias("type"), F.col(value).alias("value")
-        )
-
-    return long("Statut").unionByName(long("Nombre"))
+    return victims.unpivot_victims(inputs.incidents(spark, sf_dir))
 
 
 def victims_paired(spark: SparkSession, sf_dir: str) -> DataFrame:

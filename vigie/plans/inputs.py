@@ -109,6 +109,7 @@ def _casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
     A slot's lines may repeat: they are counted, and the lowest part names the status.
     """
     slots = [f"{kind}_{n}" for kind in VICTIM_KINDS for n in VICTIM_SLOTS]
+    statuses = "array({})".format(", ".join(f"'{status}'" for status in STATUSES))
     found = [
         sql
         for line, slot in enumerate(slots, start=1)
@@ -121,7 +122,7 @@ def _casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql
         for slot in slots
         for sql in (
-            f"{pick(f'part_{slot}', STATUSES)} AS stat_{slot}",
+            f"get({statuses}, CAST(part_{slot} % {len(STATUSES)} AS INT)) AS stat_{slot}",
             f"CASE WHEN lines_{slot} > 0 THEN CAST(lines_{slot} % 3 AS DOUBLE) END"
             f" AS count_{slot}",
         )
