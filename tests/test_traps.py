@@ -328,3 +328,14 @@ def test_unknown_parameters_are_errors(spark):
     ):
         with pytest.raises(ValueError):
             call()
+
+
+def test_severity_counts_dated_incidents_only(spark):
+    df = raw_incidents(spark, {"point": "p"}, {"point": "p"}).withColumn(
+        "date", F.when(F.col("no_liste") == 1, F.lit("2015-03-05").cast("date")))
+    places_table = localites(spark, PLACE)
+    row_level = prepare.locate_points(df, places_table)
+    condensed = prepare.locate_points(prepare.condense_points(df, True), places_table)
+    for points in (row_level, condensed):
+        assert [r.n for r in places.severity_by_place(points).collect()] == [1]
+    assert [r.value for r in places.counts_by_place(row_level, "incidents").collect()] == [2.0]

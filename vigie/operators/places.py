@@ -53,7 +53,10 @@ def _severity(points: DataFrame) -> Column:
 
 
 def _counted(points: DataFrame, *keys: Column | str) -> DataFrame:
+    """Dated incidents per year, severity and keys. Condensed rows are dated ones."""
     weight = _weight(points)
+    if "date" in points.columns:
+        points = points.filter(F.col("date").isNotNull())
     total = F.count(F.lit(1)) if weight is None else F.sum(weight)
     return points.groupBy(F.col("annee").alias("year"), _severity(points), *keys).agg(
         total.alias("n")

@@ -126,6 +126,7 @@ def condense_points(incidents: DataFrame, by_severity: bool = False) -> DataFram
     """
     keys = [F.col("annee"), F.col("point_id"), F.col("point")]
     if by_severity:
+        incidents = incidents.filter(F.col("date").isNotNull())
         keys.append(severity_id().alias("severity_id"))
     sums = [
         F.sum(name).alias(name)
