@@ -29,12 +29,16 @@ def test_csv_is_typed_by_name(spark, tmp_path):
         counts_as=T.StringType(),
     )
     shuffled = raw.withColumn("note", F.lit("kept")).select("note", *reversed(raw.columns))
-    shuffled.withColumn("mois", F.lit("mars")).write.csv(path, header=True)
+    shuffled.withColumns({
+        "mois": F.lit("mars"), "annee": F.lit(" 2015 "), "no_liste": F.lit("1.0"),
+        "jour": F.lit("5d"), "depart": F.lit("  "),
+    }).write.csv(path, header=True)
     read = tables.read_incidents_raw(spark, path, "csv")
     assert read.columns[0] == "no_liste" and read.columns[-1] == "note"
     assert dict(read.dtypes)["annee"] == "double" and dict(read.dtypes)["no_liste"] == "bigint"
     row = read.first()
-    assert (row.no_liste, row.point, row.nbr_morts, row.mois) == (1, "Gao, ville", 3.0, None)
+    assert (row.no_liste, row.point, row.nbr_morts) == (1, "Gao, ville", 3.0)
+    assert (row.annee, row.mois, row.jour, row.depart) == (2015.0, None, None, None)
     assert row.count_morts_1 == "plusieurs"
 
 

@@ -30,7 +30,7 @@ def classify_severity(df: DataFrame, lang: str = "en") -> DataFrame:
 
 
 def label_severity(df: DataFrame, id_column: str, lang: str = "en") -> DataFrame:
-    """Replaces nothing, adds ``severity`` and ``severity_order`` from an id column."""
+    """Adds ``severity`` and ``severity_order`` from an id column."""
     labels = [rules.translate(label, lang) for label in rules.SEVERITY_LABELS]
     return df.withColumns({
         "severity": classes.level_label(F.col(id_column), labels),
@@ -68,6 +68,12 @@ def ordered_category(
     )
 
 
+def victim_category(df: DataFrame) -> DataFrame:
+    """The victim categories in their order."""
+    levels, labels = zip(*rules.VICTIM_LEVELS)
+    return ordered_category(df, "categorie", levels, labels)
+
+
 def display_category(df: DataFrame, column: str = "category") -> DataFrame:
     """Stored incident classes to their display labels, in display order."""
     levels, labels = zip(*rules.CATEGORY_LEVELS)

@@ -20,7 +20,10 @@ def _weight(points: DataFrame) -> str | None:
 
 
 def counts_by_place(points: DataFrame, measure: str) -> DataFrame:
-    """Incidents, dead or injured per year and place, where there are any."""
+    """Incidents, dead or injured per year and place, where there are any.
+
+    ``year_key`` is the year as text, by which the drawn places are coloured.
+    """
     year = F.col("annee").alias("year")
     label = F.concat_ws(
         " ",
@@ -43,6 +46,7 @@ def counts_by_place(points: DataFrame, measure: str) -> DataFrame:
             F.lit(measure).alias("variable"),
             "value",
             label.alias("label"),
+            number_text("year").alias("year_key"),
         )
     )
 

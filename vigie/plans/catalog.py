@@ -78,6 +78,10 @@ def victims_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return victims.victims(inputs.incidents(spark, sf_dir))
 
 
+def victims_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.victim_category(all_victims(spark, sf_dir))
+
+
 def keyword_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = victims.unpivot_victims(inputs.incidents(spark, sf_dir), "Statut")
     return classify.classify_by_keywords(status, "statut")
@@ -249,6 +253,7 @@ def queries() -> dict[str, Query]:
         "victims_paired": victims_paired,
         "victims": all_victims,
         "victims_joined": victims_joined,
+        "victims_ordered": victims_ordered,
         "keyword_class": keyword_class,
         "location_class": location_class,
         "type_class": type_class,

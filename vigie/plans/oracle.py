@@ -234,7 +234,8 @@ def _cumulative(measure: str, by_week: bool) -> str:
 def _by_place(measure: str) -> str:
     return f"""SELECT year, longitude, latitude, point, '{measure}' AS variable, value,
       concat(coalesce(point, 'NA'), ' - ', CAST(CAST(year AS BIGINT) AS VARCHAR), ' : ',
-        {NUMBER_TEXT}, ' {measure}') AS label
+        {NUMBER_TEXT}, ' {measure}') AS label,
+      CAST(CAST(year AS BIGINT) AS VARCHAR) AS year_key
     FROM (SELECT *, CAST(CAST(value AS BIGINT) AS VARCHAR) AS t
       FROM (SELECT annee AS year, longitude, latitude, point, {MEASURED[measure]} AS value
         FROM incidents_point GROUP BY annee, longitude, latitude, point) AS g WHERE value > 0)"""
@@ -342,6 +343,8 @@ def oracle_sql() -> dict[str, str]:
         "victims_paired": "SELECT * FROM victims_paired",
         "victims": "SELECT * FROM victimes",
         "victims_joined": "SELECT * FROM victimes",
+        "victims_ordered": "SELECT *, CASE categorie WHEN 'Morts' THEN 1 ELSE 2 END"
+                           " AS categorie_order FROM victimes",
         "keyword_class": f"SELECT *, {KEYWORDS} AS corps FROM victim_status",
         "location_class": f"SELECT no_liste, {LOCATION} AS location FROM incidents",
         "type_class": f"SELECT no_liste, {TYPE} AS type FROM incidents",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from vigie.functions.scalars import to_number
 
 VICTIM_KINDS = ("morts", "blesses")
 VICTIM_SLOTS = (1, 2, 3)
@@ -82,6 +84,15 @@ PREPARED = {
 PARTITIONED_BY = {"incidents": "annee", "incidents_point": "annee", "incidents_line": "annee"}
 
 
+def _typed(df: DataFrame, field: T.StructField) -> Column:
+    column, found = F.col(field.name), df.schema[field.name].dataType
+    if found == field.dataType:
+        return column
+    if isinstance(found, T.StringType) and isinstance(field.dataType, T.NumericType):
+        column = to_number(column)
+    return column.try_cast(field.dataType).alias(field.name)
+
+
 def conform(
     df: DataFrame,
     schema: T.StructType,
@@ -98,13 +109,7 @@ def conform(
     missing = [name for name in wanted if name not in df.columns]
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    found = {field.name: field.dataType for field in df.schema.fields}
-    columns = [
-        F.col(field.name)
-        if found[field.name] == field.dataType
-        else F.col(field.name).try_cast(field.dataType).alias(field.name)
-        for field in schema.fields
-    ]
+    columns = [_typed(df, field) for field in schema.fields]
     columns += [F.col(name) for name in untyped]
     if keep_extra:
         columns += [F.col(name) for name in df.columns if name not in wanted]

@@ -20,9 +20,16 @@ from vigie.schemas import (
 
 
 def _scan(spark: SparkSession, path: str, format: str) -> DataFrame:
-    """CSV columns are read as text and typed by name; nothing is inferred from values."""
+    """CSV columns are read as text and typed by name; nothing is inferred from values.
+
+    As in a workbook, blanks around a cell do not count and an empty cell is missing.
+    """
     reader = spark.read.format(format)
-    return (reader.option("header", True) if format == "csv" else reader).load(path)
+    if format == "csv":
+        reader = reader.options(
+            header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+        )
+    return reader.load(path)
 
 
 def read_incidents_raw(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
