@@ -21,27 +21,36 @@ def as_number(name: str, data_type: DataType) -> Column:
     return column.cast("double") if isinstance(data_type, NumericType) else to_number(column)
 
 
-def month_start(year: Column, month: Column) -> Column:
+def _valid_month(year: str, month: str) -> str:
+    return (
+        f"{year} BETWEEN 0 AND 9999 AND {month} BETWEEN 1 AND 12"
+        f" AND {year} = floor({year}) AND {month} = floor({month})"
+    )
+
+
+def month_start(year: str, month: str) -> Column:
     """First day of a month; NULL unless both parts are whole and in range."""
-    valid = (
-        year.between(0, 9999)
-        & (year == F.floor(year))
-        & month.between(1, 12)
-        & (month == F.floor(month))
+    return F.expr(
+        f"CASE WHEN {_valid_month(year, month)}"
+        f" THEN make_date(CAST({year} AS INT), CAST({month} AS INT), 1) END"
     )
-    return F.when(valid, F.make_date(year.cast("int"), month.cast("int"), F.lit(1)))
 
 
-def date_from_parts(year: Column, month: Column, day: Column) -> Column:
+def date_from_parts(year: str, month: str, day: str) -> Column:
     """A date, or NULL when a part is missing or no such day exists.
 
     A fractional day is cut to its whole part; a fractional year or month is invalid.
+    The month's length is looked at from day 29 on only, and no text is parsed.
     """
-    first = month_start(year, month)
-    whole = F.floor(day)
-    return F.when(
-        whole.between(1, F.dayofmonth(F.last_day(first))),
-        F.date_add(first, whole.cast("int") - 1),
+    leap = f"{year} % 4 = 0 AND ({year} % 100 <> 0 OR {year} % 400 = 0)"
+    length = (
+        f"CASE WHEN {month} = 2 THEN CASE WHEN {leap} THEN 29 ELSE 28 END"
+        f" WHEN {month} IN (4, 6, 9, 11) THEN 30 ELSE 31 END"
+    )
+    return F.expr(
+        f"CASE WHEN {day} >= 1 AND {day} < 32 AND {_valid_month(year, month)}"
+        f" AND ({day} < 29 OR floor({day}) <= {length})"
+        f" THEN make_date(CAST({year} AS INT), CAST({month} AS INT), CAST({day} AS INT)) END"
     )
 
 

@@ -37,10 +37,9 @@ def prepare_localities(raw: DataFrame) -> DataFrame:
 
 def clean_incidents(raw: DataFrame, origin: str = rules.KEPT_ORIGIN) -> DataFrame:
     """Incidents of one origin that carry a valid date, with that date."""
-    date = date_from_parts(F.col("annee"), F.col("mois"), F.col("jour"))
     return (
         raw.filter(F.col("origin") == origin)
-        .withColumn("date", date)
+        .withColumn("date", date_from_parts("annee", "mois", "jour"))
         .filter(F.col("date").isNotNull())
     )
 

@@ -46,7 +46,7 @@ def measure_sum(measure: str, weight: str | None = None) -> Column:
 
 
 def _month() -> Column:
-    return month_start(F.col("year"), F.col("month"))
+    return month_start("year", "month")
 
 
 def _counted(incidents: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -67,7 +67,7 @@ def monthly_by_dimension(
     """
     one_of(variable, VARIABLES, "variable")
     if rollup:
-        date = month_start(F.col("annee"), F.col("mois"))
+        date = month_start("annee", "mois")
         rows = incidents.groupBy(
             date.alias("date"), _CLASSES[variable]().alias("category")
         ).agg(F.count(F.lit(1)).alias("incidents"))
