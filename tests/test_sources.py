@@ -94,6 +94,22 @@ def test_read_tables_equal_written_ones(spark, prepared):
     assert list(only) == ["victimes"] and same(only["victimes"], read["victimes"])
 
 
+def test_large_places_give_the_same_tables(spark, tmp_path):
+    raw = raw_incidents(
+        spark, {"point": "p", "point_id": "1"}, {"depart": "d", "annee": 2016.0},
+        {"no_liste": 1, "point": "q", "stat_morts_1": "civil", "count_morts_1": 2.0},
+    )
+    places, boundaries = raw_localites(spark, {"id": "1"}), inputs.boundaries(spark, SF_DIR)
+    one, other = (
+        prepare_folder(raw, places, boundaries, str(tmp_path / str(large)), large_places=large)
+        for large in (False, True)
+    )
+    for name in PREPARED:
+        assert same(one[name], other[name])
+    assert [one[name].count() for name in ("incidents_point", "incidents_line", "victimes")] == [
+        2, 2, 4]
+
+
 def test_existing_tables_are_not_overwritten(spark, prepared):
     path, read = prepared
     with pytest.raises(Exception, match="(?i)already exists"):

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import NumericType
 
 from vigie.functions.classes import keyword_class
-from vigie.functions.scalars import as_number
+from vigie.functions.scalars import as_number, number_text
 from vigie.schemas import COUNT_COLUMNS, STATUS_COLUMNS
 
 # Which value column each kind of slot column becomes.
 VALUE_COLUMNS = {"Statut": "statut", "Nombre": "nombre"}
 
 
+def _as_text(incidents: DataFrame, name: str) -> Column:
+    """Statuses and counts share one column of text, so numbers are written out."""
+    if isinstance(incidents.schema[name].dataType, NumericType):
+        return F.when(F.col(name).isNotNull(), number_text(name)).alias(name)
+    return F.col(name)
+
+
 def unpivot_victims(incidents: DataFrame, kind: str | None = None) -> DataFrame:
     """The victim slots as rows: six of one kind, or twelve with their ``type``.
 
@@ -26,7 +34,7 @@ def unpivot_victims(incidents: DataFrame, kind: str | None = None) -> DataFrame:
         kind, STATUS_COLUMNS + COUNT_COLUMNS
     )
     value = VALUE_COLUMNS.get(kind, "value")
-    wide = incidents.select("no_liste", *[F.col(name).cast("string").alias(name) for name in names])
+    wide = incidents.select("no_liste", *[_as_text(incidents, name) for name in names])
     key = F.col("key")
     columns = [
         F.col("no_liste"),

@@ -336,10 +336,7 @@ def oracle_sql() -> dict[str, str]:
         "victims_unpivot": """SELECT no_liste, categorie, groupe, 'Statut' AS type,
           statut AS value FROM victim_status UNION ALL
           SELECT no_liste, categorie, groupe, 'Nombre',
-          concat(CAST(CAST(nombre AS BIGINT) AS VARCHAR), '.0') FROM victim_counts
-          WHERE nombre IS NOT NULL UNION ALL
-          SELECT no_liste, categorie, groupe, 'Nombre', NULL FROM victim_counts
-          WHERE nombre IS NULL""",
+          CAST(CAST(nombre AS BIGINT) AS VARCHAR) FROM victim_counts""",
         "victims_paired": "SELECT * FROM victims_paired",
         "victims": "SELECT * FROM victimes",
         "victims_joined": "SELECT * FROM victimes",

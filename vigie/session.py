@@ -32,7 +32,7 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints; a local one only in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     return named or f"{tempfile.gettempdir()}/vigie-checkpoints"
 
 
