@@ -257,7 +257,9 @@ def test_slots_from_column_names(spark):
     counts = {(r.nombre, r.categorie, r.groupe)
               for r in victims.unpivot_victims(df, "Nombre").collect() if r.nombre}
     assert status == {("a", "Morts", 1), ("b", "Blessés", 3)}
-    assert counts == {("4", "Blessés", 2)}
+    assert counts == {(4.0, "Blessés", 2)}
+    both = {(r.type, r.value) for r in victims.unpivot_victims(df).collect() if r.value}
+    assert both == {("Statut", "a"), ("Statut", "b"), ("Nombre", "4")}
     assert victims.unpivot_victims(df, "Nombre").count() == 6
 
 

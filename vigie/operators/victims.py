@@ -15,18 +15,22 @@ from vigie.schemas import COUNT_COLUMNS, STATUS_COLUMNS
 VALUE_COLUMNS = {"Statut": "statut", "Nombre": "nombre"}
 
 
-def _as_text(incidents: DataFrame, name: str) -> Column:
-    """Statuses and counts share one column of text, so numbers are written out."""
-    if isinstance(incidents.schema[name].dataType, NumericType):
-        return F.when(F.col(name).isNotNull(), number_text(name)).alias(name)
-    return F.col(name)
+def _one_type(incidents: DataFrame, names: list[str]) -> list[Column]:
+    """The columns in one type: numbers as they are, with text among them all as text."""
+    numeric = [isinstance(incidents.schema[name].dataType, NumericType) for name in names]
+    if all(numeric):
+        return [F.col(name).cast("double").alias(name) for name in names]
+    return [
+        F.when(F.col(name).isNotNull(), number_text(name)).alias(name) if is_number else F.col(name)
+        for name, is_number in zip(names, numeric)
+    ]
 
 
 def unpivot_victims(incidents: DataFrame, kind: str | None = None) -> DataFrame:
     """The victim slots as rows: six of one kind, or twelve with their ``type``.
 
     Kind, category and slot number are read from the column name. The value of a kind
-    is called ``statut`` or ``nombre``; without a kind it is ``value``.
+    is called ``statut`` or ``nombre``; without a kind it is ``value``, which is text.
     """
     if kind is not None and kind not in VALUE_COLUMNS:
         raise ValueError(f"kind must be one of {tuple(VALUE_COLUMNS)}, not {kind!r}")
@@ -34,7 +38,7 @@ def unpivot_victims(incidents: DataFrame, kind: str | None = None) -> DataFrame:
         kind, STATUS_COLUMNS + COUNT_COLUMNS
     )
     value = VALUE_COLUMNS.get(kind, "value")
-    wide = incidents.select("no_liste", *[_as_text(incidents, name) for name in names])
+    wide = incidents.select("no_liste", *_one_type(incidents, names))
     key = F.col("key")
     columns = [
         F.col("no_liste"),
