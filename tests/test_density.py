@@ -29,7 +29,8 @@ def brute(points, grid, extent=density.MAP_EXTENT):
     }
 
 
-POINTS = [tuple(p) for p in np.random.default_rng(3).normal((0, 15), (2, 3), (150, 2)).round(2).tolist()]
+RANDOM = np.random.default_rng(3).normal((0, 15), (2, 3), (150, 2)).round(2)
+POINTS = [tuple(point) for point in RANDOM.tolist()]
 
 
 @pytest.mark.parametrize("limit", [density.DIRECT_LIMIT, 1])

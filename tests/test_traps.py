@@ -172,23 +172,29 @@ def test_missing_counts_go_and_unreadable_ones_stay(spark):
     paired = victims.pair_victims(victims.unpivot_victims(df, "Statut"),
                                   victims.unpivot_victims(df, "Nombre"))
     assert {(r.statut, r.nombre) for r in paired.collect()} == wanted
-    for unique in (True, False):
+    for unique in (True, False, None):
         found = victims.victims(df, unique)
         assert found.columns == ["no_liste", "date", "categorie", "statut", "corps", "nombre"]
         assert {(r.statut, r.nombre) for r in found.collect()} == wanted
 
 
-def test_repeated_incident_numbers_multiply(spark):
+@pytest.mark.parametrize("unique, limit", [(False, 1), (None, 1_000_000), (None, 0)])
+def test_repeated_incident_numbers_multiply(spark, monkeypatch, unique, limit):
+    monkeypatch.setattr(victims, "BROADCAST_LIMIT", limit)
     rows = [
         {"no_liste": 1, "jour": 1.0, "stat_morts_1": "a", "count_morts_1": 3.0},
         {"no_liste": 1, "jour": 2.0, "stat_morts_1": "b", "count_morts_1": 4.0},
         {"no_liste": None, "stat_morts_1": "c", "count_morts_1": 5.0},
+        {"no_liste": 2, "stat_morts_1": "d", "count_morts_1": 6.0},
+        {"no_liste": 3, "stat_morts_1": "e"},
+        {"no_liste": 3, "jour": 6.0, "count_morts_1": 7.0},
     ]
     df = incidents(spark, *rows)
-    found = sorted((r.statut, r.nombre, r.date.day)
-                   for r in victims.victims(df).collect())
+    found = sorted((r.statut or "", r.nombre, r.date.day)
+                   for r in victims.victims(df, unique).collect())
     twice = [(s, n, d) for s in "ab" for n in (3.0, 4.0) for d in (1, 2)]
-    assert found == sorted(twice + [("c", 5.0, 5)])
+    mixed = [(s, 7.0, d) for s in ("", "e") for d in (5, 6)]
+    assert found == sorted(twice + mixed + [("c", 5.0, 5), ("d", 6.0, 5)])
 
 
 def test_place_types(spark):
@@ -203,8 +209,8 @@ def test_place_types(spark):
 def test_severity(spark):
     numbers = [(1, 2), (1, None), (0, 3), (None, 0), (-1, 0), (None, None), (2, -1)]
     df = incidents(spark, *[
-        {"nbr_morts": None if d is None else float(d), "nbr_blesses": None if i is None else float(i)}
-        for d, i in numbers
+        {name: None if n is None else float(n) for name, n in zip(("nbr_morts", "nbr_blesses"), pair)}
+        for pair in numbers
     ])
     found = {r.no_liste: r.severity_order for r in classify.classify_severity(df).collect()}
     assert [found[n] for n in range(1, 8)] == [1, 2, 3, 4, None, 4, None]
@@ -241,8 +247,8 @@ def test_two_places_with_one_id_double_the_incident(spark):
     two = localites(spark, PLACE, {**PLACE, "longitude": 3.0})
     assert prepare.locate_points(df, two).count() == 2
     condensed = prepare.locate_points(prepare.condense_points(df), two)
-    assert sorted((r.longitude, r.value) for r in
-                  places.counts_by_place(condensed, "incidents").collect()) == [(1.0, 1.0), (3.0, 1.0)]
+    counted = places.counts_by_place(condensed, "incidents").collect()
+    assert sorted((r.longitude, r.value) for r in counted) == [(1.0, 1.0), (3.0, 1.0)]
 
 
 def test_missing_months_are_not_filled(spark):
@@ -284,7 +290,8 @@ def test_labels(spark):
 def test_credit_line(spark):
     pairs = {r.en: r.fr for r in tables.built_in_dictionary(spark, "http://x.org/").collect()}
     assert len(pairs) == 15
-    assert pairs["Based on data from http://x.org/"] == "A partir de données tirées de http://x.org/"
+    english, french = "Based on data from http://x.org/", "A partir de données tirées de http://x.org/"
+    assert pairs[english] == french
 
 
 def test_severity_filters_take_text_and_translated_labels(spark):

@@ -13,7 +13,7 @@ def prepare_folder(
     raw_localites: DataFrame,
     boundaries: DataFrame,
     path: str,
-    unique_ids: bool = False,
+    unique_ids: bool | None = None,
     large_places: bool = False,
 ) -> dict[str, DataFrame]:
     """Write all prepared tables to ``path`` and return them as read back.

@@ -73,9 +73,14 @@ def all_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return victims.victims(inputs.incidents(spark, sf_dir), unique_ids=True)
 
 
+def victims_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a look for repeated numbers first."""
+    return victims.victims(inputs.incidents(spark, sf_dir))
+
+
 def victims_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The general form, which does not rely on unique keys."""
-    return victims.victims(inputs.incidents(spark, sf_dir))
+    return victims.victims(inputs.incidents(spark, sf_dir), unique_ids=False)
 
 
 def victims_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,6 +257,7 @@ def queries() -> dict[str, Query]:
         "victims_unpivot": victims_unpivot,
         "victims_paired": victims_paired,
         "victims": all_victims,
+        "victims_checked": victims_checked,
         "victims_joined": victims_joined,
         "victims_ordered": victims_ordered,
         "keyword_class": keyword_class,

@@ -339,6 +339,7 @@ def oracle_sql() -> dict[str, str]:
           CAST(CAST(nombre AS BIGINT) AS VARCHAR) FROM victim_counts""",
         "victims_paired": "SELECT * FROM victims_paired",
         "victims": "SELECT * FROM victimes",
+        "victims_checked": "SELECT * FROM victimes",
         "victims_joined": "SELECT * FROM victimes",
         "victims_ordered": "SELECT *, CASE categorie WHEN 'Morts' THEN 1 ELSE 2 END"
                            " AS categorie_order FROM victimes",
