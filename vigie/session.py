@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,8 +34,38 @@ def build_session(master: str | None = None, **extra: str) -> SparkSession:
 
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names for checkpoints; a local one only in tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or f"{tempfile.gettempdir()}/vigie-checkpoints"
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    """One folder per process, for a session on a single machine."""
+    return tempfile.mkdtemp(prefix="vigie-")
+
+
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed with what it holds when this process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, computed once, written as a table in the shared folder and read back.
+
+    Lineage ends here: the loss of an executor costs reading, not computing.
+    """
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
