@@ -1,0 +1,60 @@
+"""Neighbours against all inner products."""
+
+import numpy as np
+
+from vigie.llm import neighbours
+from vigie.llm.queries import QUERIES
+
+import edges
+
+SF_DIR = "/root/testdata/sf0.1"
+
+
+def exact(rows, asked, n=20):
+    keys = np.array([k for k, _ in rows])
+    matrix = np.array([v for _, v in rows], float)
+    out = {}
+    for key, vector in asked:
+        scores = matrix @ np.array(vector, float)
+        order = sorted(((-s, k) for s, k in zip(scores, keys) if k != key))
+        out[key] = [(int(k), -s) for s, k in order[:n]]
+    return out
+
+
+def test_query_recall_and_scores(spark):
+    rows = edges.given_rows(SF_DIR, "embeddings", "vec_id", "embedding")
+    wanted = exact(rows, [r for r in rows if r[0] % 20 == 0])
+    vectors = {k: np.array(v, float) for k, v in rows}
+    found = {}
+    for r in QUERIES["op9_nearest_neighbours"](spark, SF_DIR).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(found) == set(wanted)
+    hits = 0
+    for key, rows_ in found.items():
+        rows_.sort()
+        assert [r for r, _, _ in rows_] == list(range(1, 21)) and key not in {k for _, k, _ in rows_}
+        assert all(abs(s - vectors[k] @ vectors[key]) < 1e-12 for _, k, s in rows_)
+        assert [(-s, k) for _, k, s in rows_] == sorted((-s, k) for _, k, s in rows_)
+        hits += len({k for _, k, _ in rows_} & {k for k, _ in wanted[key]})
+    assert hits / (20 * len(wanted)) > 0.95
+
+
+def test_edges(spark):
+    """Nulls, zeros, non-finite parts, other lengths, copies, repeated rows, fewer candidates than asked."""
+    rng = np.random.default_rng(3)
+    good = [(i, rng.normal(size=4).tolist()) for i in range(60)] + [(100 + i, [1.0, 0.0, 0.0, 0.5]) for i in range(40)]
+    bad = [(200, None), (201, []), (202, [0.0] * 4), (203, [1.0, None, 0.0, 1.0]), (204, [float("nan")] * 4),
+           (205, [float("inf"), 1.0, 1.0, 1.0]), (None, [1.0, 2.0, 3.0, 4.0])]
+    short = [(300, [1.0, 2.0]), (301, [2.0, 1.0])]
+    frame = spark.createDataFrame(
+        [(k, v, "x", 1) for k, v in good + good[:2] + bad + short], "vec_id BIGINT, embedding ARRAY<DOUBLE>, shard STRING, rank INT")
+    found = {}
+    for r in neighbours.nearest(frame, frame, n=20, shard_rows=30).collect():
+        found.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    wanted = exact(good, good)
+    for key, rows in wanted.items():
+        assert [(k, s) for _, k, s in sorted(found[key])] == [(k, round(float(s), 9)) for k, s in rows], key
+    assert found[300] == [(1, 301, 4.0)] and found[301] == [(1, 300, 4.0)]
+    assert not set(found) & {200, 201, 202, 203, 204, 205, None}
+    assert neighbours.nearest(frame.limit(0), frame).count() == 0
+    assert neighbours.nearest(frame, frame.limit(0)).count() == 0

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vigie.llm import decontaminate, mixing, repeats, simhash, toxicity
+from vigie.llm import (
+    archives, chat, decontaminate, html_text, mixing, neighbours, repeats, simhash, tokens, toxicity,
+)
 from vigie.llm.tables import given
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.length_histogram(given(spark, sf_dir, "documents", "text"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = given(spark, sf_dir, "documents", "doc_id", "text")
     found = decontaminate.scan(docs, given(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -20,6 +26,22 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(given(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.roundtrip(given(spark, sf_dir, "pages", "page_id", "url", "html"), payloads=False).drop("url", "payload")
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learns from two thirds of the conversations; roles of all come back from their raw lines."""
+    raw = chat.transcribe(given(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    held_out = F.crc32(F.col("conv_id").cast("string")) % 3 == 1
+    model = chat.learn(raw.filter(~held_out))
+    return chat.parse(raw.drop("role"), model).withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.cut_repeats(given(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
 
@@ -34,17 +56,22 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = given(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return neighbours.nearest(rows, rows.filter("vec_id % 20 = 0"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(given(spark, sf_dir, "documents", "doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_decontamination": op2_decontamination,
-    "op6_suffix_array_dedup": op6_suffix_array_dedup,
-    "op7_toxicity": op7_toxicity,
-    "op8_simhash": op8_simhash,
-    "op10_mixing": op10_mixing,
+    query.__name__: query
+    for query in (
+        op1_token_counts, op2_decontamination, op3_html_extraction, op4_warc, op5_chat_formatting, op6_suffix_array_dedup,
+        op7_toxicity, op8_simhash, op9_nearest_neighbours, op10_mixing,
+    )
 }
 
 # What SQL can say of these operators without repeating their algorithms.
