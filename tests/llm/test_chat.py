@@ -18,14 +18,13 @@ def test_held_out_roles(spark):
     assert len(found) > 100
     assert np.mean([r.role == r.true for r in found]) > 0.95
     assert np.mean([r.turns == [r.true] for r in found]) > 0.85  # some turns have no marker at all
-    assert all(r.rendered.startswith(f"<|{r.role}|>\n") for r in found if len(r.turns) == 1)
+    assert all(r.rendered.count("<|") == len(r.turns) for r in found)
 
 
 def model(seed=0):
     rng = np.random.default_rng(seed)
     tables = tuple({v: np.log(rng.random(chat.START)) for v in "abc"} for _ in chat.FEATURES)
-    unseen = tuple(np.log(rng.random(chat.START)) for _ in chat.FEATURES)
-    return chat.Model(tables, unseen, np.log(rng.random((chat.START + 1, chat.START))))
+    return chat.Model(tables, np.log(rng.random((chat.START + 1, chat.START))))
 
 
 @pytest.mark.parametrize("seed", range(3))

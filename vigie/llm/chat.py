@@ -22,8 +22,9 @@ BUCKET_LINES = 50_000
 MARKERS = 1000
 
 MARKER = r"^\s*[\[(<*#|]{0,3}\s*([A-Za-z]{1,20})\s*(?:\d{1,3}\s*)?[\])>*|]{0,3}\s?[:>|\])-](?:\s|$)"
-# Features, and what is added to each count: markers are telling, the others only hint.
-FEATURES = {"marker": 0.02, "length": 2.0, "ending": 2.0, "opening": 2.0}
+# Features, and how many lines of the overall mix each state is given besides its own: markers are
+# telling, the others only hint.
+FEATURES = {"marker": 0.5, "length": 50.0, "ending": 50.0, "opening": 50.0}
 
 
 def line_features(line: str = "line") -> list[Column]:
@@ -55,14 +56,14 @@ class Model:
     """Log probabilities: per feature a table from value to one number per state, and the moves."""
 
     tables: tuple[dict[str, np.ndarray], ...]
-    unseen: tuple[np.ndarray, ...]
     moves: np.ndarray
 
     def emissions(self, frame: pd.DataFrame) -> np.ndarray:
         out = np.zeros((len(frame), START))
-        for name, table, unseen in zip(FEATURES, self.tables, self.unseen):
+        nothing = np.zeros(START)  # a value never seen tells nothing
+        for name, table in zip(FEATURES, self.tables):
             codes, values = pd.factorize(frame[name])
-            out += np.array([table.get(value, unseen) for value in values])[codes]
+            out += np.array([table.get(value, nothing) for value in values])[codes]
         return out
 
 
@@ -77,18 +78,19 @@ def learn(rows: DataFrame, conversation: str = "conv_id", block: str = "turn", r
     lines = lines_of(known.withColumn("_role", F.col(role)), conversation, block, text, "_role").withColumn(
         "begins", F.col("line_no") == 0)
     state = {key: i for i, key in enumerate(STATES)}
-    tables, unseen = [], []
+    tables = []
     for name, least in FEATURES.items():
         counted = lines.groupBy("_role", "begins", F.col(name).alias("value")).count()
         top = counted.groupBy("value").agg(F.sum("count").alias("n")).orderBy(F.col("n").desc(), "value").limit(MARKERS)
         found = counted.join(F.broadcast(top.select("value")), "value").collect()
         values = sorted({row.value for row in found})
-        counts = {value: np.full(START, least) for value in values}
+        counts = {value: np.zeros(START) for value in values}
         for row in found:
             counts[row.value][state[row._role, row.begins]] += row["count"]
-        total = sum(counts.values(), np.full(START, least))
-        tables.append({value: np.log(c / total) for value, c in counts.items()})
-        unseen.append(np.log(least / total))
+        total = sum(counts.values(), np.zeros(START))
+        tables.append({
+            value: np.log((c + least * c.sum() / total.sum()) / (total + least)) for value, c in counts.items()
+        })
     sizes = lines.groupBy("conv", "block", "_role").agg(F.count("*").alias("n"))
     within = sizes.groupBy("_role").agg(
         F.sum("n").alias("lines"), F.count("*").alias("turns"), F.sum((F.col("n") > 1).cast("long")).alias("longer")).collect()
@@ -109,7 +111,7 @@ def learn(rows: DataFrame, conversation: str = "conv_id", block: str = "turn", r
         for i in range(START + 1):
             if i == START or STATES[i][0] != role_:
                 moves[i, state[role_, False]] = 1e-12
-    return Model(tuple(tables), tuple(unseen), np.log(moves / moves.sum(axis=1, keepdims=True)))
+    return Model(tuple(tables), np.log(moves / moves.sum(axis=1, keepdims=True)))
 
 
 def path_scores(emissions: np.ndarray, moves: np.ndarray) -> np.ndarray:

@@ -201,6 +201,9 @@ LABELLED_PAGES = (
     f"<p data-main>{_LONG}</p><div class=share><a href=/s>Share</a></div><p data-main><a href=/m>More on it</a></p><p data-main>Last words.</p></div>"
     f"<section class=related><p>{_LONG}</p>{_MENU}</section>",
     f"<body>{_MENU}{_MENU}<p><a href=/z>Contact</a></p><p>Welcome</p><p><a href=/q>Search the whole archive of the paper</a></p>",
+    "<article data-main><p>One.</p></article>", "<article data-main><p>Two words</p><p>x</p><p>Now three words</p></article>",
+    "<main data-main>Short</main>", "<article data-main><p>In four short words</p><p>x y</p>",
+    f"<p>Top</p><article data-main><p>In it</p><p>{_MID}</p><p>End</p></article><p>Below</p>",
     f"<body><p data-main>{_LONG}</p><p data-main>{_LONG}</p>", f"<p data-main>{_MID}</p>", f"<p data-main>{_MID * 2}</p>",
     f"<body>{_MENU}<div><h1 data-main>Rain</h1><p data-main>{_MID}</p><p data-main>{_MID}</p><p data-main>Soon.</p>"
     f"<p data-main>{_MID * 2}</p></div><p>All rights reserved</p>",
