@@ -20,13 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from vigie.session import stored
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 # Starts of one segment, at most; a longer run of one hash is cut, which loses nothing.
 SEGMENT_STARTS = 400
 # Text worked on at once, in bytes.
 BLOCK = 1 << 20
 # Bytes of segments in one index, about.
-INDEX_BYTES = 3 << 20
+INDEX_BYTES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -38,9 +38,12 @@ def _bytes(text: str | None) -> bytes:
 def _piece_hashes(block: np.ndarray) -> np.ndarray:
     """Hashes of all GRAM-byte pieces."""
     hashes, factor, span = block.astype(np.uint64) + np.uint64(1), FACTOR, 1
-    while span < GRAM:
+    while 2 * span <= GRAM:
         hashes = hashes[:-span] + factor * hashes[span:]
         factor, span = factor * factor, span * 2
+    if span < GRAM:  # two overlapping halves
+        rest = GRAM - span
+        hashes = hashes[:-rest] + factor * hashes[rest:]
     hashes ^= hashes >> np.uint64(32)
     hashes *= MIX
     hashes ^= hashes >> np.uint64(29)
@@ -56,20 +59,27 @@ def _smallest(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(hashes[:len(hashes) - (width - span)], hashes[width - span:]) if width > span else hashes
 
 
-def _returning(hashes: np.ndarray, smallest: np.ndarray, reach: int) -> np.ndarray:
-    """Which of the smallest hashes may be there twice within reach, so that a segment may repeat itself.
+def _returning(hashes: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which segments may repeat themselves: those whose smallest hash is back within their starts.
 
     Hashes are looked up by their low bits first; a false alarm only costs indexing.
     """
     seen = np.zeros(1 << 20, bool)
     low = np.uint64((1 << 20) - 1)
-    seen[smallest & low] = True
+    seen[values & low] = True
     at = np.flatnonzero(seen[hashes & low])
-    values = hashes[at]
-    by = np.lexsort((at, values))
-    at, values = at[by], values[by]
-    twice = (values[1:] == values[:-1]) & (at[1:] - at[:-1] <= reach)
-    return np.isin(smallest, values[1:][twice]) if twice.any() else np.zeros(len(smallest), bool)
+    found = hashes[at]
+    by = np.lexsort((at, found))
+    at, found = at[by], found[by]
+    gaps = np.where(found[1:] == found[:-1], at[1:] - at[:-1], len(hashes))
+    near = np.flatnonzero(gaps < sizes.max())
+    if not len(near):
+        return np.zeros(len(values), bool)
+    names, group = np.unique(found[near], return_inverse=True)
+    smallest = np.full(len(names), len(hashes))
+    np.minimum.at(smallest, group.ravel(), gaps[near])
+    place = np.minimum(np.searchsorted(names, values), len(names) - 1)
+    return (names[place] == values) & (smallest[place] < sizes)
 
 
 def segments(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -92,7 +102,7 @@ def segments(data: bytes, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np
             sizes = np.minimum(np.repeat(heads + sizes, pieces) - cut, SEGMENT_STARTS)
             heads = cut
         values = smallest[heads]
-        returning = _returning(hashes, values, width + SEGMENT_STARTS)
+        returning = _returning(hashes, values, sizes)
         yield heads + at, sizes, values.view(np.int64), returning
 
 
@@ -132,10 +142,7 @@ def _joined(held: list[tuple]) -> pa.RecordBatch:
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """All suffixes in order, by doubling the compared length of those not yet told apart."""
     n = len(symbols)
-    padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, np.int64)])
-    key = np.zeros(n, np.int64)
-    for i in range(7):
-        key = (key << 9) | padded[i:i + n]
+    key = _packed_symbols(symbols)
     order = np.argsort(key, kind="stable")
     fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     head = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
@@ -164,22 +171,27 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     return order
 
 
-def _common(symbols: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Length of the common start of pairs of suffixes."""
-    n = len(symbols)
-    length = np.zeros(len(left), np.int64)
-    going = np.arange(len(left))
-    step = 16
+def _packed_symbols(symbols: np.ndarray) -> np.ndarray:
+    """Seven symbols of nine bits from each position, zeros beyond the end."""
+    padded = np.concatenate([symbols.astype(np.int64), np.zeros(7, np.int64)])
+    key = np.zeros(len(symbols), np.int64)
+    for i in range(7):
+        key = (key << 9) | padded[i:i + len(symbols)]
+    return key
+
+
+def _common(packed: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Length of the common start of pairs of suffixes, seven symbols at a time."""
+    n, length, going = len(packed), np.zeros(len(left), np.int64), np.arange(len(left))
+    a, b = left, right
     while len(going):
-        a, b = left[going] + length[going], right[going] + length[going]
-        inside = np.arange(step)
-        ia, ib = a[:, None] + inside, b[:, None] + inside
-        valid = (ia < n) & (ib < n)
-        same = valid & (symbols[np.minimum(ia, n - 1)] == symbols[np.minimum(ib, n - 1)])
-        equal = np.where(same.all(axis=1), step, same.argmin(axis=1))
+        differ = packed[a] ^ packed[b]
+        equal = sum((differ < 1 << 63 - 9 * m).astype(np.int64) for m in range(1, 7)) + (differ == 0)
         length[going] += equal
-        going = going[equal == step]
-    return length
+        a, b = a + 7, b + 7
+        on = (differ == 0) & (a < n) & (b < n)
+        going, a, b = going[on], a[on], b[on]
+    return np.minimum(length, n - np.maximum(left, right))
 
 
 class RunIndex:
@@ -203,7 +215,7 @@ class RunIndex:
         Inside a run the neighbours of a position and of the one before move together, so the
         length falls by one with each step until the next sampled position.
         """
-        length = _common(self.symbols, at, other)
+        length = _common(_packed_symbols(self.symbols), at, other)
         length[outside] = 0
         by = np.argsort(at)
         at, length = at[by], length[by]
