@@ -11,6 +11,8 @@ ROUNDS = 60
 CLOSE = 1e-10
 # Sub-buckets per factor of two in the order in which extra copies are given out.
 STEPS = 256
+# Parts into which each source's rows are dealt where they meet its one row of results.
+SALTS = 32
 
 
 def word_count(text: str | Column) -> Column:
@@ -152,8 +154,11 @@ def mix(
     )
     known = solved.join(lacking, "skey")
     uniform = (F.shiftrightunsigned("hash", 11).cast("double") + 0.5) / float(1 << 53)
+    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     rows = (
-        sized.join(known, "skey")
+        sized.withColumn("salt", F.pmod("hash", F.lit(SALTS)).cast("int"))
+        .join(spread, ["skey", "salt"])
+        .drop("salt")
         .withColumn("rate", rate)
         .withColumn("whole", F.floor("rate").cast("long"))
         .withColumn("part", F.col("rate") - F.col("whole"))
