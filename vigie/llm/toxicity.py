@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ LETTERS = 32
 LANDMARKS = 192
 INSULTS = 1500
 ROUNDS = 5
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1000
 CACHE_WORDS = 400_000
 CELLS = 20_000
 THRESHOLD = 0.7
@@ -201,7 +202,7 @@ class WordScores:
             total += ending[span - 1 - start][:, start:start + views]
         return total.max(axis=1).astype(float) + self.bias
 
-    def highest(self, found: set[str]) -> float:
+    def highest(self, found: set[str] | tuple[str, ...]) -> float:
         if not found:
             return self.bias
         known = self.known
@@ -241,8 +242,8 @@ def _platt(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def train(bags: list[set[str]], labels: np.ndarray, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
-    """A model from word sets and 0/1 labels.
+def train(bases: list[tuple[str, ...]], labels: np.ndarray, landmarks: int = LANDMARKS, seed: int = 7) -> Model:
+    """A model from each document's distinct framed words and 0/1 labels.
 
     Words whose presence tells toxic from other documents start as positive instances; then the
     machine is fitted and the clean documents' highest words join the negatives, several times.
@@ -250,7 +251,6 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int = LANDMARKS,
     """
     share = float(labels.mean()) if len(labels) else 0.0
     constant = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, math.log((share + 1e-3) / (1 - share + 1e-3)))
-    bases = [{framed(word) for word in bag} for bag in bags]
     good, bad = Counter(), Counter()
     for found, label in zip(bases, labels):
         (bad if label else good).update(found)
@@ -319,8 +319,8 @@ def train(bags: list[set[str]], labels: np.ndarray, landmarks: int = LANDMARKS,
     scores = WordScores(model)
     margins = []
     for at in range(0, len(bases), 500):
-        scores.learn(set().union(*bases[at:at + 500]).difference(scores.known))
-        margins += [scores.highest(found) if scores.known.keys() >= found else -1.0 for found in bases[at:at + 500]]
+        scores.learn(set().union(*bases[at:at + 500]))
+        margins += [scores.highest(found) for found in bases[at:at + 500]]
     slope, offset = _platt(np.array(margins), labels.astype(float))
     return Model(model.numbers, model.weights, model.bias, slope, offset)
 
@@ -331,14 +331,13 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_ro
     The caller passes rows already bounded (see ``sample``) or few; texts are read whole and
     only their distinct words reach the driver. Rows without a label of 0 or 1 do not count.
     """
-    words = F.pandas_udf(lambda texts: pd.Series([sorted(units(t)) for t in texts]), "array<string>")
-    rows = (
-        labelled.filter(F.col(label).isin(0, 1))
-        .select(F.col(label).cast("int").alias("label"), words(text).alias("words"))
-        .collect()
-    )
-    rows.sort(key=lambda row: (row.label, row.words))
-    return train([set(row.words) for row in rows], np.array([row.label for row in rows], dtype=int))
+    words = F.pandas_udf(
+        lambda texts: pd.Series([sorted({framed(word) for word in units(t)}) for t in texts]), "array<string>")
+    rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), words(text).alias("words"))
+    # Each distinct word is held once, however many documents have it.
+    bags = [(row.label, tuple(map(sys.intern, row.words))) for row in rows.toLocalIterator()]
+    bags.sort()
+    return train([found for _, found in bags], np.array([value for value, _ in bags], dtype=int))
 
 
 def sample(labels: DataFrame, key: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
