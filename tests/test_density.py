@@ -33,10 +33,8 @@ RANDOM = np.random.default_rng(3).normal((0, 15), (2, 3), (150, 2)).round(2)
 POINTS = [tuple(point) for point in RANDOM.tolist()]
 
 
-@pytest.mark.parametrize("limit", [density.DIRECT_LIMIT, 1])
-def test_against_brute_force(spark, monkeypatch, limit):
-    """Also the way for many places, and rows spread over several tasks."""
-    monkeypatch.setattr(density, "DIRECT_LIMIT", limit)
+def test_against_brute_force(spark):
+    """Rows spread over several tasks."""
     df = places(spark, POINTS + [(None, 1.0), (2.0, None)]).repartition(5)
     found = {(r.cell_x, r.cell_y): r.density
              for r in density.hotspot_density(df, grid=12).collect()}
@@ -57,16 +55,12 @@ def test_grid_spans_the_extent(spark):
     [(1.0, 2.0), (1.0, 3.0), (1.0, 4.0), (1.0, 5.0)],
     [(None, None), (1.0, 2.0)],
 ])
-@pytest.mark.parametrize("limit", [density.DIRECT_LIMIT, 0])
-def test_no_spread_gives_no_rows(spark, monkeypatch, points, limit):
-    monkeypatch.setattr(density, "DIRECT_LIMIT", limit)
+def test_no_spread_gives_no_rows(spark, points):
     assert density.hotspot_density(places(spark, points), 5).collect() == []
 
 
-@pytest.mark.parametrize("strips", [density.STRIPS, 3])
-def test_quartiles_are_exact(spark, monkeypatch, strips):
-    """With ties, a value that holds a third of the rows, and few or many strips."""
-    monkeypatch.setattr(density, "STRIPS", strips)
+def test_quartiles_are_exact(spark):
+    """With ties, a value that holds a third of the rows, and a dense core beside a far outlier."""
     rng = np.random.default_rng(5)
     axes = {
         "a": rng.normal(size=301).tolist() + [0.25] * 150,
@@ -74,6 +68,7 @@ def test_quartiles_are_exact(spark, monkeypatch, strips):
         "c": [1.0, 4.0],
         "d": (10 ** rng.uniform(-9, 9, 400)).tolist(),
         "e": [2.0],
+        "f": rng.uniform(-12, 5, 500).tolist() + [999_999.0],
     }
     df = spark.createDataFrame([(k, v) for k, vs in axes.items() for v in vs],
                                "axis STRING, value DOUBLE").repartition(6)

@@ -178,9 +178,8 @@ def test_missing_counts_go_and_unreadable_ones_stay(spark):
         assert {(r.statut, r.nombre) for r in found.collect()} == wanted
 
 
-@pytest.mark.parametrize("unique, limit", [(False, 1), (None, 1_000_000), (None, 0)])
-def test_repeated_incident_numbers_multiply(spark, monkeypatch, unique, limit):
-    monkeypatch.setattr(victims, "BROADCAST_LIMIT", limit)
+@pytest.mark.parametrize("unique", [False, None])
+def test_repeated_incident_numbers_multiply(spark, unique):
     rows = [
         {"no_liste": 1, "jour": 1.0, "stat_morts_1": "a", "count_morts_1": 3.0},
         {"no_liste": 1, "jour": 2.0, "stat_morts_1": "b", "count_morts_1": 4.0},

@@ -18,18 +18,11 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vigie import rules
-from vigie.session import cut_lineage
+from vigie.session import cut_lineage, stored
 
 Extent = tuple[tuple[float, float], tuple[float, float]]
 MAP_EXTENT: Extent = (rules.LONGITUDE_EXTENT, rules.LATITUDE_EXTENT)
 
-# Strips that an axis is cut into to find the order statistics. Only the strips with a
-# wanted rank, at most four per axis, are sorted.
-STRIPS = 65536
-
-# Number of places whose quartiles one task may hold (two axes, 8 bytes a value).
-DIRECT_LIMIT = 1_000_000
-
 
 def _quartile(h: Column, below: str, above: str) -> Column:
     """Linear interpolation between two neighbouring order statistics."""
@@ -39,14 +32,13 @@ def _quartile(h: Column, below: str, above: str) -> Column:
 def axis_quartiles(values: DataFrame) -> DataFrame:
     """Count, deviation and exact quartiles of ``value`` per ``axis`` (a few axes).
 
-    Equal values are counted first, so no value is hot. The ranks are then found by
-    counting strips of equal width; only the strips that hold one are sorted.
+    Equal values are counted first, so no value is hot. The counted values are then dealt out by
+    range and stored with the number of their part; parts hold like shares however the values
+    lie, and only those with a wanted rank, at most four per axis, are sorted.
     """
     stats = values.groupBy("axis").agg(
         F.count("value").alias("m"),
         F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("lo"),
-        F.max("value").alias("hi"),
     )
     h25, h75 = (F.col("m") - 1) * 0.25, (F.col("m") - 1) * 0.75
     last = F.col("m") - 1
@@ -55,13 +47,13 @@ def axis_quartiles(values: DataFrame) -> DataFrame:
     )
     stats = F.broadcast(stats.withColumn("ranks", ranks))  # one row per axis
 
-    strip = F.coalesce(F.width_bucket("value", "lo", "hi", F.lit(STRIPS)), F.lit(0))
-    counted = (
+    counted = stored(
         values.groupBy("axis", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .join(stats.select("axis", "lo", "hi", "ranks"), "axis")
-        .select("axis", "value", "n", "ranks", strip.alias("strip"))
-    )
+        .repartitionByRange("axis", "value")
+        .withColumn("strip", F.spark_partition_id()),
+        "ranges",
+    ).join(stats.select("axis", "ranks"), "axis")
     before = W.partitionBy("axis").orderBy("strip").rowsBetween(W.unboundedPreceding, -1)
     holds_rank = F.exists(
         "ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("total"))
@@ -105,31 +97,9 @@ def _width(m: Column, sd: Column, q25: Column, q75: Column) -> Column:
     return F.least(sd, (q75 - q25) / 1.34) * 1.06 * m.cast("double") ** F.lit(-0.2)
 
 
-def bandwidths(places: DataFrame, strips: bool = False) -> DataFrame:
-    """One row: number of places ``m`` and the kernel widths ``hx`` and ``hy``.
-
-    The quartiles of up to ``DIRECT_LIMIT`` places are found directly, in one
-    aggregation that holds the values of an axis. ``strips`` is the way beyond that.
-    """
+def bandwidths(places: DataFrame) -> DataFrame:
+    """One row: number of places ``m`` and the kernel widths ``hx`` and ``hy``."""
     m = F.col("m")
-    if not strips:
-        axes = {"x": "longitude", "y": "latitude"}
-        spread = [
-            column
-            for axis, name in axes.items()
-            for column in (
-                F.stddev_samp(name).alias(f"sd_{axis}"),
-                F.percentile(name, [0.25, 0.75]).alias(f"q_{axis}"),
-            )
-        ]
-        return places.agg(F.count(F.lit(1)).alias("m"), *spread).select(
-            "m",
-            *[
-                _width(m, F.col(f"sd_{axis}"), F.get(f"q_{axis}", F.lit(0)),
-                       F.get(f"q_{axis}", F.lit(1))).alias(f"h{axis}")
-                for axis in axes
-            ],
-        )
     values = F.array(
         F.struct(F.lit("x").alias("axis"), F.col("longitude").alias("value")),
         F.struct(F.lit("y").alias("axis"), F.col("latitude").alias("value")),
@@ -160,7 +130,7 @@ def hotspot_density(
             "longitude", "latitude"
         )
     )
-    widths = bandwidths(located, strips=located.count() > DIRECT_LIMIT).first()
+    widths = bandwidths(located).first()
     m, hx, hy = widths["m"], widths["hx"], widths["hy"]
     spread = bool(hx and hy)
     (x_low, x_high), (y_low, y_high) = extent

@@ -10,14 +10,10 @@ from pyspark.sql.types import NumericType
 from vigie.functions.classes import keyword_class
 from vigie.functions.scalars import as_number, number_text
 from vigie.schemas import COUNT_COLUMNS, STATUS_COLUMNS
-from vigie.session import cut_lineage
 
 # Which value column each kind of slot column becomes.
 VALUE_COLUMNS = {"Statut": "statut", "Nombre": "nombre"}
 
-# Repeated incident numbers that are broadcast, at most (8 bytes each).
-BROADCAST_LIMIT = 1_000_000
-
 
 def _one_type(incidents: DataFrame, names: list[str]) -> list[Column]:
     """The columns in one type: numbers as they are, with text among them all as text."""
@@ -96,7 +92,8 @@ def _paired_slots(rows: DataFrame) -> DataFrame:
 def _joined_rows(rows: DataFrame) -> DataFrame:
     """Each status row with each count row and each date of the same incident number.
 
-    The wide rows are joined, a sixth of the long ones.
+    The wide rows are joined, a sixth of the long ones. A number that occurs k times gives
+    k * k * k rows, as asked for; adaptive execution splits a hot number's join.
     """
     counts = rows.select(F.col("no_liste").alias("_counts_id"), *COUNT_COLUMNS).filter(
         F.coalesce(*[F.col(name).cast("string") for name in COUNT_COLUMNS]).isNotNull()
@@ -113,19 +110,15 @@ def _joined_rows(rows: DataFrame) -> DataFrame:
 def _checked_slots(rows: DataFrame) -> DataFrame:
     """One pass for the numbers that occur once, the join for the others.
 
-    Only the numbers are shuffled to find the repeated ones.
+    Only the numbers are shuffled to find the repeated ones; how they meet the rows is left
+    to Spark, which broadcasts them when they are few. Lazy: nothing runs here.
     """
-    repeated = cut_lineage(
+    repeated = (
         rows.groupBy(F.col("no_liste").alias("_repeated"))
         .agg(F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select("_repeated")
     )
-    found = repeated.count()
-    if found == 0:
-        return _paired_slots(rows)
-    if found <= BROADCAST_LIMIT:
-        repeated = F.broadcast(repeated)
     same = F.col("no_liste").eqNullSafe(F.col("_repeated"))
     several = _joined_rows(rows.join(repeated, same, "left_semi"))
     return _paired_slots(rows.join(repeated, same, "left_anti")).unionByName(
@@ -137,9 +130,10 @@ def victims(incidents: DataFrame, unique_ids: bool | None = None) -> DataFrame:
     """One row per incident and victim group with a known count, with the actor group.
 
     A repeated ``no_liste`` pairs each status with each count and each date of that
-    number. By default a first job looks for repeated numbers, and only those are joined.
-    Pass True when the number is a key (one pass, no look, no shuffle) or False to join
-    all rows without a look. On a key all three give the same rows.
+    number. By default repeated numbers are looked for, and only those are joined. Pass True
+    when the number is a key (one pass, no look, no shuffle) or False to join all rows without
+    a look. On a key all three give the same rows; True on repeated numbers, which is not
+    checked, pairs each row with itself only.
     """
     rows = incidents.select("no_liste", "date", *STATUS_COLUMNS, *COUNT_COLUMNS)
     if unique_ids is None:

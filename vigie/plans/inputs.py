@@ -87,6 +87,10 @@ ORDER_SQL = {
 }
 
 
+# The victim slot, 1 to 6, of every line.
+SLOT = "((l_linenumber - 1) % 6 + 1)"
+
+
 def _as(columns: dict[str, str]) -> list[str]:
     return [f"{sql} AS {name}" for name, sql in columns.items()]
 
@@ -106,7 +110,7 @@ def localites_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six victim slots and two totals per order, in one aggregation over the lines.
 
-    A slot's lines may repeat: they are counted, and the lowest part names the status.
+    Every line falls in a slot. A slot's lines may repeat: they are counted, and the lowest part names the status.
     """
     slots = [f"{kind}_{n}" for kind in VICTIM_KINDS for n in VICTIM_SLOTS]
     statuses = "array({})".format(", ".join(f"'{status}'" for status in STATUSES))
@@ -114,8 +118,8 @@ def _casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
         sql
         for line, slot in enumerate(slots, start=1)
         for sql in (
-            f"count(CASE WHEN l_linenumber = {line} THEN 1 END) AS lines_{slot}",
-            f"min(CASE WHEN l_linenumber = {line} THEN l_partkey END) AS part_{slot}",
+            f"count(CASE WHEN {SLOT} = {line} THEN 1 END) AS lines_{slot}",
+            f"min(CASE WHEN {SLOT} = {line} THEN l_partkey END) AS part_{slot}",
         )
     ]
     values = [
@@ -136,7 +140,6 @@ def _casualties(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
     return (
         table(spark, sf_dir, "lineitem")
-        .filter("l_linenumber <= 6")
         .groupBy("l_orderkey")
         .agg(*_expressions(found))
         .selectExpr("l_orderkey", *values, *totals)

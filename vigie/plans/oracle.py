@@ -109,9 +109,9 @@ def _long(kind: str) -> str:
 
 
 PREFIX = f"""WITH slots AS (
-  SELECT l_orderkey, l_linenumber, CAST(count(*) % 3 AS DOUBLE) AS cnt,
+  SELECT l_orderkey, (l_linenumber - 1) % 6 + 1 AS l_linenumber, CAST(count(*) % 3 AS DOUBLE) AS cnt,
     {inputs.pick('min(l_partkey)', inputs.STATUSES)} AS stat
-  FROM lineitem WHERE l_linenumber <= 6 GROUP BY l_orderkey, l_linenumber),
+  FROM lineitem GROUP BY l_orderkey, (lineitem.l_linenumber - 1) % 6 + 1),
 wide AS (SELECT l_orderkey, {_slot_columns()} FROM slots GROUP BY l_orderkey),
 incidents_raw AS (
   SELECT {_mapped(inputs.ORDER_SQL)},
