@@ -39,7 +39,7 @@ EDGES = ".,;:!?\"'()[]{}<>|-–—…«»“”‘’*#%&$@/\\=+_~`^"
 MARK = "{"
 NO_LETTERS = re.compile(r"[\W\d_]+")
 _PLAIN = lambda c: not unicodedata.combining(c)
-SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){3,}(?!\S)")
+SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){3,}[.,;:!?]*(?!\S)")
 
 
 def units(text: str | None) -> set[str]:
@@ -159,9 +159,12 @@ class WordScores:
     def __init__(self, model: Model):
         self.dense, self.bias, self.known = model.table(), model.bias, {}
 
-    def learn(self, words: set[str]) -> None:
+    def make_room(self) -> None:
+        """Forgets all words if there are too many: only between groups of texts."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
+
+    def learn(self, words: set[str]) -> None:
         by_length: dict[int, dict[str, list[str]]] = {}
         for word in words:
             base = word if word[:1] == MARK else framed(word)
@@ -249,6 +252,9 @@ def train(bases: list[tuple[str, ...]], labels: np.ndarray, landmarks: int = LAN
     machine is fitted and the clean documents' highest words join the negatives, several times.
     With one class only, or nothing that tells them apart, every text gets the toxic share.
     """
+    # Copies of a text say no more than one.
+    kept = sorted({(int(label), base) for base, label in zip(bases, labels)})
+    bases, labels = [base for _, base in kept], np.array([label for label, _ in kept], dtype=int)
     share = float(labels.mean()) if len(labels) else 0.0
     constant = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 1.0, math.log((share + 1e-3) / (1 - share + 1e-3)))
     good, bad = Counter(), Counter()
@@ -262,8 +268,14 @@ def train(bases: list[tuple[str, ...]], labels: np.ndarray, landmarks: int = LAN
     for found, label in zip(bases, labels):
         (stems_bad if label else stems_good).update({word[i:i + n] for word in found for n in (4, 5) for i in range(len(word) - n + 1)})
 
+    # Evidence (a log likelihood ratio) that would not turn up by chance among so many pieces.
+    n1, n0 = int(labels.sum()), int((1 - labels).sum())
+    needed = math.log(100.0 * (1 + len(stems_bad)))
+
     def telling(count: int, clean: int) -> bool:
-        return count >= max(3, 0.002 * n1) and (count / n1) > 40 * (clean + 0.2) / n0
+        inside = count / (count + clean)
+        gain = count * math.log(inside / share) + (clean * math.log((1 - inside) / (1 - share)) if clean else 0.0)
+        return inside > 0.9 and gain > needed
 
     stems = {stem for stem, count in stems_bad.items() if telling(count, stems_good[stem])}
     positive = Counter()
@@ -368,11 +380,9 @@ def score_of(text: str | Column, model: Model) -> Column:
             for i, words in enumerate(found):
                 fresh.update(words)
                 if len(fresh) > CACHE_WORDS or i == len(found) - 1:
+                    scores.make_room()
                     scores.learn(fresh.difference(scores.known))
-                    fresh.update(*found[start:i + 1])
-                    scores.learn(fresh.difference(scores.known))
-                    for j in range(start, i + 1):
-                        margins[j] = scores.highest(found[j])
+                    margins[start:i + 1] = [scores.highest(words) for words in found[start:i + 1]]
                     fresh, start = set(), i + 1
             yield pd.Series(model.probability(margins))
 
