@@ -29,7 +29,8 @@ LANDMARKS = 192
 INSULTS = 1500
 ROUNDS = 5
 SAMPLE_ROWS = 1000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+GROUP_WORDS = 100_000
 CELLS = 20_000
 THRESHOLD = 0.7
 
@@ -373,18 +374,19 @@ def score_of(text: str | Column, model: Model) -> Column:
     def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scores = WordScores(model)
         for batch in batches:
-            found = [units(text) for text in batch]
-            margins = np.full(len(found), scores.bias)
-            fresh: set[str] = set()
-            start = 0
-            for i, words in enumerate(found):
-                fresh.update(words)
-                if len(fresh) > CACHE_WORDS or i == len(found) - 1:
+            margins: list[float] = []
+            held: list[set[str]] = []
+            n = 0
+            # Words of some texts at a time, however many rows a batch has.
+            for i, text in enumerate(batch):
+                held.append(units(text))
+                n += len(held[-1])
+                if n > GROUP_WORDS or i == len(batch) - 1:
                     scores.make_room()
-                    scores.learn(fresh.difference(scores.known))
-                    margins[start:i + 1] = [scores.highest(words) for words in found[start:i + 1]]
-                    fresh, start = set(), i + 1
-            yield pd.Series(model.probability(margins))
+                    scores.learn(set().union(*held).difference(scores.known))
+                    margins += [scores.highest(words) for words in held]
+                    held, n = [], 0
+            yield pd.Series(model.probability(np.array(margins)))
 
     return values(text)
 
