@@ -47,9 +47,11 @@ def plain_margin(model, word):
 
 
 def test_words_score_as_the_kernel_says():
-    bags = [("{idiot{", "{the{", "{house{"), ("{idiot{", "{on{", "{tree{"), ("{idiot{", "{a{", "{water{"), ("{the{", "{house{"),
-            ("{tree{", "{on{", "{water{"), ("{idle{", "{pilot{"), ("{house{",), ("{water{", "{idea{")] * 5
-    model = toxicity.train(bags, np.array([1, 1, 1, 0, 0, 0, 0, 0] * 5))
+    plain = ["{the{", "{house{", "{on{", "{tree{", "{a{", "{water{", "{idle{", "{pilot{", "{idea{"]
+    rng = np.random.default_rng(2)
+    bags = [(*sorted(rng.choice(plain, 3, replace=False)), f"{{filler{i}{{") for i in range(80)]
+    bags = [("{idiot{", *bag) if i < 40 else bag for i, bag in enumerate(bags)]
+    model = toxicity.train(bags, np.array([1] * 40 + [0] * 40))
     scores = toxicity.WordScores(model)
     words = {"idiot", "idxiot", "i.d.i.o.t", "idioten", "superidiotenhaft", "pilot", "house", "a", "", "Ünïdïot", "日本語テキスト", "scum"}
     scores.learn(words)
