@@ -19,8 +19,11 @@ HEADLINE = (
     "clean_incidents",
     "point_incidents",
     "line_incidents",
+    "victims_unpivot",
     "victims_paired",
     "victims",
+    "victims_checked",
+    "victims_joined",
     "keyword_class",
     "severity_class",
     "monthly_type",
@@ -39,6 +42,7 @@ HEADLINE = (
     "hotspot_density",
     "localized_labels_fr",
     "polygon_vertices",
+    "tables_roundtrip",
 )
 
 

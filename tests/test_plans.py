@@ -13,7 +13,7 @@ from vigie.session import SETTINGS, cut_lineage
 
 SF_DIR = "/root/testdata/sf0.001"
 # These write tables or store rows as they are built.
-EAGER = {"tables_roundtrip", "hotspot_density"}
+EAGER = {"tables_roundtrip", "hotspot_density", "hotspot_density_all"}
 
 
 def plan(df, mode="simple"):
@@ -155,6 +155,18 @@ def test_a_year_reads_only_its_partition(spark, tmp_path):
     assert "nom" not in schema and "adm1_name" not in schema and "nbr_morts" in schema
 
 
+@pytest.mark.parametrize("name", ["point_incidents", "line_incidents", "place_overrides"])
+def test_small_places_do_not_shuffle_the_facts(spark, name):
+    text = plan(catalog.queries()[name](spark, "/root/testdata/sf0.1"))
+    assert "BroadcastHashJoin [knownfloatingpointnormalized" in text
+    assert "hashpartitioning(coalesce(" not in text
+
+
+def test_pairing_reads_the_lines_once(spark):
+    text = plan(catalog.queries()["victims_paired"](spark, SF_DIR))
+    assert text.count("lineitem.parquet") == 1
+
+
 def test_partial_sums_come_before_the_shuffle(spark):
     for name in ("by_place_dead", "monthly_type", "cumulative_week_injured"):
         assert "partial_" in plan(catalog.queries()[name](spark, SF_DIR))

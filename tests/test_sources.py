@@ -100,10 +100,15 @@ def test_large_places_give_the_same_tables(spark, tmp_path):
         {"no_liste": 1, "point": "q", "stat_morts_1": "civil", "count_morts_1": 2.0},
     )
     places, boundaries = raw_localites(spark, {"id": "1"}), inputs.boundaries(spark, SF_DIR)
-    one, other = (
-        prepare_folder(raw, places, boundaries, str(tmp_path / str(large)), large_places=large)
-        for large in (False, True)
-    )
+    one = prepare_folder(raw, places, boundaries, str(tmp_path / "small"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        other = prepare_folder(raw, places, boundaries, str(tmp_path / "large"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    years = list((tmp_path / "large" / "incidents_point").glob("annee=*"))
+    files = list((tmp_path / "large" / "incidents_point").glob("annee=*/part-*.parquet"))
+    assert len(files) == len(years)
     for name in PREPARED:
         assert same(one[name], other[name])
     assert [one[name].count() for name in ("incidents_point", "incidents_line", "victimes")] == [

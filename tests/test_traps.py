@@ -47,6 +47,13 @@ def test_numbers_in_text(spark):
     assert found == [12.0, 12.5, None, None, None, None, None]
 
 
+def test_infinite_and_hexadecimal_text(spark):
+    df = spark.createDataFrame([("Inf",), (" -inf",), ("0x1F",), ("-0xa",), ("0x",), ("1f",), ("x1F",)],
+                               "t STRING")
+    found = [r[0] for r in df.select(scalars.to_number(F.col("t"))).collect()]
+    assert found == [float("inf"), float("-inf"), 31.0, -10.0, None, None, None]
+
+
 def test_unreadable_id_keeps_the_row_and_meets_a_place_without_id(spark):
     points = prepare.locate_points(
         incidents(spark, {"point_id": "ND", "point": "x"}, {"point_id": "7", "point": "y"},
@@ -229,6 +236,9 @@ def test_place_label(spark):
     (3.0, "3"), (0.0, "0"), (99999.0, "99999"), (100000.0, "1e+05"), (120000.0, "120000"),
     (1200000.0, "1200000"), (12000000.0, "1.2e+07"), (-300000.0, "-3e+05"), (2.5, "2.5"),
     (123456789.0, "123456789"), (1e10, "1e+10"), (None, "NA"),
+    (1e15, "1e+15"), (1e-4, "1e-04"), (1 / 3, "0.333333333333333"), (-0.001, "-0.001"),
+    (0.1 + 0.2, "0.3"), (1234567.25, "1234567.25"), (1.5e-10, "1.5e-10"), (1e300, "1e+300"),
+    (1234567890123456.0, "1234567890123456"), (float("inf"), "Inf"), (float("nan"), "NaN"),
 ])
 def test_number_text(spark, number, text):
     df = spark.createDataFrame([(number,)], "n DOUBLE")

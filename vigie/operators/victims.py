@@ -84,7 +84,7 @@ def _paired_slots(rows: DataFrame) -> DataFrame:
     ])
     return (
         rows.filter(F.coalesce(*[count.cast("string") for count in counts]).isNotNull())
-        .select("no_liste", "date", F.inline(slots))
+        .select(*[name for name in ("no_liste", "date") if name in rows.columns], F.inline(slots))
         .filter("_known")
     )
 
@@ -93,18 +93,18 @@ def _joined_rows(rows: DataFrame) -> DataFrame:
     """Each status row with each count row and each date of the same incident number.
 
     The wide rows are joined, a sixth of the long ones. A number that occurs k times gives
-    k * k * k rows, as asked for; adaptive execution splits a hot number's join.
+    k * k * k rows (k * k without dates), as asked for; adaptive execution splits a hot
+    number's join.
     """
     counts = rows.select(F.col("no_liste").alias("_counts_id"), *COUNT_COLUMNS).filter(
         F.coalesce(*[F.col(name).cast("string") for name in COUNT_COLUMNS]).isNotNull()
     )
-    dates = rows.select(F.col("no_liste").alias("_dates_id"), "date")
-    return (
-        rows.select("no_liste", *STATUS_COLUMNS)
-        .join(counts, F.col("no_liste").eqNullSafe(F.col("_counts_id")), "inner")
-        .join(dates, F.col("no_liste").eqNullSafe(F.col("_dates_id")), "left")
-        .drop("_counts_id", "_dates_id")
-    )
+    joined = rows.select("no_liste", *STATUS_COLUMNS).join(
+        counts, F.col("no_liste").eqNullSafe(F.col("_counts_id")), "inner")
+    if "date" in rows.columns:
+        dates = rows.select(F.col("no_liste").alias("_dates_id"), "date")
+        joined = joined.join(dates, F.col("no_liste").eqNullSafe(F.col("_dates_id")), "left")
+    return joined.drop("_counts_id", "_dates_id")
 
 
 def _checked_slots(rows: DataFrame) -> DataFrame:
@@ -126,6 +126,22 @@ def _checked_slots(rows: DataFrame) -> DataFrame:
     )
 
 
+def _slots(rows: DataFrame, unique_ids: bool | None) -> DataFrame:
+    if unique_ids is None:
+        return _checked_slots(rows)
+    return _paired_slots(rows if unique_ids else _joined_rows(rows))
+
+
+def paired_victims(incidents: DataFrame, unique_ids: bool | None = None) -> DataFrame:
+    """The rows ``pair_victims`` gives for the unpivoted slots, paired before the unpivot.
+
+    A number that occurs k times pairs each of its statuses with each of its counts: k * k rows
+    a slot. ``unique_ids`` is as in ``victims``.
+    """
+    rows = incidents.select("no_liste", *STATUS_COLUMNS, *COUNT_COLUMNS)
+    return _slots(rows, unique_ids).select("no_liste", "categorie", "statut", "nombre")
+
+
 def victims(incidents: DataFrame, unique_ids: bool | None = None) -> DataFrame:
     """One row per incident and victim group with a known count, with the actor group.
 
@@ -136,11 +152,7 @@ def victims(incidents: DataFrame, unique_ids: bool | None = None) -> DataFrame:
     checked, pairs each row with itself only.
     """
     rows = incidents.select("no_liste", "date", *STATUS_COLUMNS, *COUNT_COLUMNS)
-    if unique_ids is None:
-        slots = _checked_slots(rows)
-    else:
-        slots = _paired_slots(rows if unique_ids else _joined_rows(rows))
-    return slots.select(
+    return _slots(rows, unique_ids).select(
         "no_liste",
         "date",
         "categorie",

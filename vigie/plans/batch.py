@@ -14,14 +14,12 @@ def prepare_folder(
     boundaries: DataFrame,
     path: str,
     unique_ids: bool | None = None,
-    large_places: bool = False,
 ) -> dict[str, DataFrame]:
     """Write all prepared tables to ``path`` and return them as read back.
 
     Incidents and places are stored first; the located incidents and the victims are
-    then derived from the stored tables, so the raw data is cleaned once. Their rows stay
-    laid out by year as long as the places are broadcast. Set ``large_places`` when they
-    are too large for that: the located rows are then rebalanced by year again.
+    then derived from the stored tables, so the raw data is cleaned once. Located rows are
+    rebalanced by year again, so the number of files does not hang on how the places were joined.
     """
     spark = raw_incidents.sparkSession
     write_tables(
@@ -41,6 +39,5 @@ def prepare_folder(
             "victimes": victims.victims(incidents, unique_ids),
         },
         path,
-        rebalance=large_places,
     )
     return read_tables(spark, path)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import partial, reduce
 
@@ -12,7 +11,7 @@ from vigie import rules
 from vigie.operators import classify, density, geometry, labels, places, prepare, trends, victims
 from vigie.plans import inputs
 from vigie.plans.batch import prepare_folder
-from vigie.session import shared_folder
+from vigie.session import fresh_folder, stored
 from vigie.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +28,11 @@ def _needs_casualties(measure: str) -> bool:
 
 
 # --- preparation -------------------------------------------------------------
+def _stored_localites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places as a stored table, whose true size tells Spark whether to broadcast them."""
+    return stored(inputs.localites(spark, sf_dir), "localites")
+
+
 def localities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.localites(spark, sf_dir)
 
@@ -40,7 +44,7 @@ def clean_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both ends of line incidents, first with the coordinates of their place ids."""
     rows = inputs.incidents(spark, sf_dir, casualties=False)
-    ends = prepare.locate_lines(rows, inputs.localites(spark, sf_dir), overrides=())
+    ends = prepare.locate_lines(rows, _stored_localites(spark, sf_dir), overrides=())
     return prepare.apply_place_overrides(
         ends.select("no_liste", "position", "point", "longitude", "latitude", "nom")
     )
@@ -48,12 +52,12 @@ def place_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def point_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.locate_points(
-        inputs.incidents(spark, sf_dir), inputs.localites(spark, sf_dir)
+        inputs.incidents(spark, sf_dir), _stored_localites(spark, sf_dir)
     )
 
 
 def line_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prepare.locate_lines(inputs.incidents(spark, sf_dir), inputs.localites(spark, sf_dir))
+    return prepare.locate_lines(inputs.incidents(spark, sf_dir), _stored_localites(spark, sf_dir))
 
 
 # --- victims -----------------------------------------------------------------
@@ -62,6 +66,12 @@ def victims_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def victims_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys are unique, so one pass is enough."""
+    return victims.paired_victims(inputs.incidents(spark, sf_dir), unique_ids=True)
+
+
+def victims_paired_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From the two unpivoted tables."""
     rows = inputs.incidents(spark, sf_dir)
     return victims.pair_victims(
         victims.unpivot_victims(rows, "Statut"), victims.unpivot_victims(rows, "Nombre")
@@ -190,8 +200,14 @@ def boundary_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.boundaries(spark, sf_dir)
 
 
-def hotspot_density(spark: SparkSession, sf_dir: str, grid: int = 100) -> DataFrame:
-    raster = density.hotspot_density(severity_by_place(spark, sf_dir), grid)
+def hotspot_density(
+    spark: SparkSession,
+    sf_dir: str,
+    grid: int = 100,
+    year: float | None = YEAR,
+    severity: str | None = SEVERITY,
+) -> DataFrame:
+    raster = density.hotspot_density(severity_by_place(spark, sf_dir, year, severity), grid)
     return raster.withColumns({
         name: F.round(name, 9) for name in ("longitude", "latitude", "density")
     })
@@ -202,7 +218,18 @@ def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # --- labels and tables -------------------------------------------------------
-def localized_labels(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
+def _json_dictionary(spark: SparkSession) -> DataFrame:
+    """The label pairs, read from the JSON form dictionaries are kept in."""
+    path = fresh_folder(spark, "labels")
+    pairs = F.collect_list(F.struct("en", "fr")).alias("translation")
+    languages = F.array(*map(F.lit, rules.LANGUAGES)).alias("languages")
+    tables.built_in_dictionary(spark, SOURCE).agg(pairs).select(languages, "translation").write.json(path)
+    return tables.read_dictionary(spark, path)
+
+
+def localized_labels(
+    spark: SparkSession, sf_dir: str, lang: str, from_json: bool = False
+) -> DataFrame:
     """Incidents per severity, and per incident type, which the dictionary lacks."""
     rows = inputs.incidents(spark, sf_dir)
     counted = (
@@ -215,17 +242,43 @@ def localized_labels(spark: SparkSession, sf_dir: str, lang: str) -> DataFrame:
         F.struct(F.col("type").alias("label"), F.col("n")),
     ))).groupBy("label").agg(F.sum("n").alias("n"))
     return labels.localize_labels(
-        both, "label", tables.built_in_dictionary(spark, SOURCE), lang, output="text"
+        both,
+        "label",
+        _json_dictionary(spark) if from_json else tables.built_in_dictionary(spark, SOURCE),
+        lang,
+        output="text",
     )
 
 
+def _as_csv(df: DataFrame, name: str) -> str:
+    path = fresh_folder(df.sparkSession, name)
+    df.write.option("header", True).csv(path)
+    return path
+
+
+def localities_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _as_csv(inputs.localites_raw(spark, sf_dir), "localites-csv")
+    return prepare.prepare_localities(tables.read_localites_raw(spark, path, "csv"))
+
+
+def boundaries_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read_boundaries(spark, _as_csv(inputs.boundaries(spark, sf_dir), "boundaries-csv"), "csv")
+
+
+def victims_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw incidents in text cells: even the counts are text."""
+    path = _as_csv(inputs.incidents_raw(spark, sf_dir), "incidents-csv")
+    rows = prepare.clean_incidents(tables.read_incidents_raw(spark, path, "csv"))
+    return victims.victims(rows, unique_ids=True)
+
+
 def tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write all prepared tables, read them back, and sum up what was read."""
     read = prepare_folder(
         inputs.incidents_raw(spark, sf_dir),
         inputs.localites_raw(spark, sf_dir),
         inputs.boundaries(spark, sf_dir),
-        f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}",
+        fresh_folder(spark, "tables"),
         unique_ids=True,
     )
     total = {
@@ -256,6 +309,7 @@ def queries() -> dict[str, Query]:
         "line_incidents": line_incidents,
         "victims_unpivot": victims_unpivot,
         "victims_paired": victims_paired,
+        "victims_paired_long": victims_paired_long,
         "victims": all_victims,
         "victims_checked": victims_checked,
         "victims_joined": victims_joined,
@@ -271,9 +325,18 @@ def queries() -> dict[str, Query]:
         "severity_by_region_all": partial(severity_by_region, year=None, region=None),
         "highlight_region": highlight_region,
         "boundary_levels": boundary_levels,
+        "severity_by_place_fr": partial(
+            severity_by_place, severity=rules.translate(SEVERITY, "fr"), lang="fr"
+        ),
+        "severity_by_region_fr": partial(severity_by_region, lang="fr"),
         "hotspot_density": hotspot_density,
+        "hotspot_density_all": partial(hotspot_density, year=None, severity=None),
         "polygon_vertices": polygon_vertices,
         "tables_roundtrip": tables_roundtrip,
+        "localities_from_csv": localities_from_csv,
+        "boundaries_from_csv": boundaries_from_csv,
+        "victims_from_csv": victims_from_csv,
+        "localized_labels_json": partial(localized_labels, lang="fr", from_json=True),
     }
     for variable in trends.VARIABLES:
         named[f"monthly_{variable}"] = partial(monthly, variable=variable)

@@ -26,7 +26,7 @@ PLACE_TYPES = (
 STATUSES = (
     "soldats", "militaires maliens", "policier", "casque bleu", "casques bleus",
     "soldats de la MINUSMA", "civils", "maire", "djihadistes", "ex-CMA et civil", "terroriste",
-    "inconnus",
+    "inconnus", "patrouille MINUSMA", "douaniers", "assaillants", "combattants MNLA", "membres CMA",
 )
 
 

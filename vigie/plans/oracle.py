@@ -241,14 +241,14 @@ def _by_place(measure: str) -> str:
         FROM incidents_point GROUP BY annee, longitude, latitude, point) AS g WHERE value > 0)"""
 
 
-def _severity_by_place(where: str = "TRUE") -> str:
-    return f"""SELECT year, {_severity()} AS severity, sid AS severity_order, point, latitude,
+def _severity_by_place(where: str = "TRUE", lang: str = "en") -> str:
+    return f"""SELECT year, {_severity(lang)} AS severity, sid AS severity_order, point, latitude,
       longitude, count(*) AS n
     FROM severities WHERE {where} GROUP BY year, sid, point, latitude, longitude"""
 
 
-def _severity_by_region(where: str = "TRUE") -> str:
-    return f"""SELECT adm1_cod, adm1_name, year, {_severity()} AS severity,
+def _severity_by_region(where: str = "TRUE", lang: str = "en") -> str:
+    return f"""SELECT adm1_cod, adm1_name, year, {_severity(lang)} AS severity,
       sid AS severity_order, count(*) AS n
     FROM severities WHERE {where} GROUP BY adm1_cod, adm1_name, year, sid"""
 
@@ -256,7 +256,7 @@ def _severity_by_region(where: str = "TRUE") -> str:
 CHOSEN = f"year = {YEAR} AND sid = {rules.SEVERITY_LABELS.index(SEVERITY) + 1}"
 
 
-def _density(grid: int = 100) -> str:
+def _density(where: str, grid: int = 100) -> str:
     def step(extent) -> str:
         return f"CAST({(extent[1] - extent[0]) / (grid - 1)!r} AS DOUBLE)"
 
@@ -271,7 +271,7 @@ def _density(grid: int = 100) -> str:
 
     gx, gy = line("i", rules.LONGITUDE_EXTENT), line("j", rules.LATITUDE_EXTENT)
     return f""", places AS (
-      SELECT longitude AS x, latitude AS y FROM ({_severity_by_place(CHOSEN)}) AS p
+      SELECT longitude AS x, latitude AS y FROM ({_severity_by_place(where)}) AS p
       WHERE longitude IS NOT NULL AND latitude IS NOT NULL),
     widths AS (SELECT count(*) AS m, {width('x')} AS hx, {width('y')} AS hy FROM places)
     SELECT CAST(i AS INTEGER) AS cell_x, CAST(j AS INTEGER) AS cell_y,
@@ -338,6 +338,7 @@ def oracle_sql() -> dict[str, str]:
           SELECT no_liste, categorie, groupe, 'Nombre',
           CAST(CAST(nombre AS BIGINT) AS VARCHAR) FROM victim_counts""",
         "victims_paired": "SELECT * FROM victims_paired",
+        "victims_paired_long": "SELECT * FROM victims_paired",
         "victims": "SELECT * FROM victimes",
         "victims_checked": "SELECT * FROM victimes",
         "victims_joined": "SELECT * FROM victimes",
@@ -360,9 +361,18 @@ def oracle_sql() -> dict[str, str]:
         "highlight_region": f"""SELECT *, "Admin1_Nam" = {_quote(REGION)} AS myfill
           FROM boundaries WHERE level = 1""",
         "boundary_levels": "SELECT * FROM boundaries",
-        "hotspot_density": _density(),
+        "severity_by_place_fr": _severity_by_place(CHOSEN, "fr"),
+        "severity_by_region_fr": _severity_by_region(
+            f"year = {YEAR} AND adm1_name = {_quote(REGION)}", "fr"
+        ),
+        "hotspot_density": _density(CHOSEN),
+        "hotspot_density_all": _density("TRUE"),
         "polygon_vertices": _vertices(),
         "tables_roundtrip": _roundtrip(),
+        "localities_from_csv": "SELECT * FROM localites",
+        "boundaries_from_csv": "SELECT * FROM boundaries",
+        "victims_from_csv": "SELECT * FROM victimes",
+        "localized_labels_json": _localized("fr"),
         "localized_labels_en": _localized("en"),
         "localized_labels_fr": _localized("fr"),
     }

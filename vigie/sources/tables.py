@@ -71,14 +71,11 @@ def built_in_dictionary(spark: SparkSession, source: str | None = None) -> DataF
     return spark.range(1).select(F.inline(F.array(*pairs)))
 
 
-def write_tables(
-    tables: Mapping[str, DataFrame], path: str, rebalance: bool = True
-) -> None:
+def write_tables(tables: Mapping[str, DataFrame], path: str) -> None:
     """Write each table as parquet to its own folder; an existing one is an error.
 
     Fact tables are laid out by year. Rows are rebalanced by year first: adaptive
     execution splits a large year over many tasks and files, and merges small ones.
-    Rows that were read from such a layout need no rebalancing.
     """
     for name, df in tables.items():
         target = f"{path.rstrip('/')}/{name}"
@@ -86,7 +83,7 @@ def write_tables(
         if by is None:
             df.write.mode("errorifexists").parquet(target)
         else:
-            rows = df.hint("rebalance", by) if rebalance else df
+            rows = df.hint("rebalance", by)
             rows.write.mode("errorifexists").partitionBy(by).parquet(target)
 
 
