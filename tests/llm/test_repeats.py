@@ -102,3 +102,12 @@ def test_long_text_in_blocks(monkeypatch):
     blocks = [(int(a), int(n), int(h)) for x in repeats.segments(data) for a, n, h, _ in zip(*x)]
     hashes = lambda rows: np.concatenate([[h] * n for _, n, h in rows])
     assert (hashes(whole) == hashes(blocks)).all()
+
+
+def test_copies_are_fetched_once(spark):
+    text = "".join(random.Random(3).choice("abcdefgh ") for _ in range(600))
+    docs = spark.createDataFrame([(text,)] * 50 + [(text + "!",)], "text STRING").repartition(5)
+    contents = docs.select(*repeats._keys("text")).distinct().selectExpr(
+        "key", "check", "1L smallest", "key content", "100L first", "30 starts", "2L n")
+    found = repeats.fetched(docs, contents, "text", 200).collect()
+    assert len(found) == contents.count() == 2 and {bytes(r.piece) for r in found} == {text[100:329].encode()}

@@ -295,6 +295,29 @@ def _packed(text: str) -> Column:
     return values(text)
 
 
+def fetched(docs: DataFrame, contents: DataFrame, text: str, length: int) -> DataFrame:
+    """The bytes of each content, once: cut from one of the rows that hold its text."""
+    wanted = contents.groupBy("key", "check").agg(
+        F.collect_list(F.struct("smallest", "content", "first", "starts", "n")).alias("wanted"))
+
+    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for batch in batches:
+            rows = []
+            for packed, places in zip(batch["packed"], batch["wanted"]):
+                data = unpack(packed)
+                rows += [(p["smallest"], p["content"], p["n"], data[p["first"]:p["first"] + p["starts"] + length - 1])
+                         for p in places]
+            yield pd.DataFrame(rows, columns=["smallest", "content", "n", "piece"])
+
+    texts = docs.select(*_keys(text), _packed(text).alias("packed")).groupBy("key", "check").agg(F.first("packed").alias("packed"))
+    return (
+        texts.join(wanted, ["key", "check"])
+        .select("packed", "wanted")
+        .mapInPandas(fetch, "smallest bigint, content bigint, n bigint, piece binary")
+    )
+
+
 def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per distinct text (``key``, ``check``) that has any: the byte ranges of long repeats.
 
@@ -335,29 +358,9 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     )
     size = contents.agg(F.sum(F.col("starts") + (length - 1))).first()[0] or 0
     parts = max(1, -(-size // INDEX_BYTES))
-    wanted = contents.groupBy("key", "check").agg(
-        F.collect_list(F.struct("smallest", "content", "first", "starts", "n")).alias("wanted"))
-
-    def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in batches:
-            rows = []
-            for packed, places in zip(batch["packed"], batch["wanted"]):
-                data = unpack(packed)
-                rows += [(p["smallest"], p["content"], p["n"], data[p["first"]:p["first"] + p["starts"] + length - 1])
-                         for p in places]
-            yield pd.DataFrame(rows, columns=["smallest", "content", "n", "piece"])
-
-    texts = docs.select(*_keys(text), _packed(text).alias("packed"))
-    pieces = (
-        texts.join(wanted, ["key", "check"])
-        .select("packed", "wanted")
-        .mapInPandas(fetch, "smallest bigint, content bigint, n bigint, piece binary")
-        .withColumn("part", F.pmod(F.col("smallest"), F.lit(parts)))
-    )
+    pieces = fetched(docs, contents, text, length).withColumn("part", F.pmod(F.col("smallest"), F.lit(parts)))
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["smallest", "content"])
         found = repeated_starts(list(rows["piece"]), length)
         spans = [[(0, len(piece))] if n > 1 else _runs(flags, length) for flags, n, piece in zip(found, rows["n"], rows["piece"])]
         out = pd.DataFrame({
