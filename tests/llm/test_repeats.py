@@ -111,3 +111,24 @@ def test_copies_are_fetched_once(spark):
         "key", "check", "1L smallest", "key content", "100L first", "30 starts", "2L n")
     found = repeats.fetched(docs, contents, "text", 200).collect()
     assert len(found) == contents.count() == 2 and {bytes(r.piece) for r in found} == {text[100:329].encode()}
+
+
+def test_hashes_above_the_index_are_counted(spark, monkeypatch):
+    """A passage in many texts, some of them copies: no index holds more than its share, and none is missed."""
+    rng = random.Random(4)
+    fresh = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    passage, near = fresh(420), fresh(3)
+    texts = [fresh(rng.randint(100, 300)) + passage + fresh(rng.randint(100, 300)) for _ in range(60)]
+    texts += [fresh(250) + near + passage for _ in range(20)] + texts[:3] + [fresh(500), "xy" * 300, "q" * 900, "q" * 201 + fresh(9)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    monkeypatch.setattr(repeats, "INDEX_BYTES", 4000)
+    counted = repeats.counted_starts
+    large = []
+
+    def noted(pieces, length):
+        large.extend(pieces.groupBy("smallest").agg({"piece": "count"}).collect())
+        return counted(pieces, length)
+
+    monkeypatch.setattr(repeats, "counted_starts", noted)
+    assert found_rows(repeats.cut_repeats(docs)) == plain(list(enumerate(texts)), 200)
+    assert large and max(r[1] for r in large) > 40

@@ -25,7 +25,7 @@ GRAM = 64
 SEGMENT_STARTS = 400
 # Text worked on at once, in bytes.
 BLOCK = 1 << 20
-# Bytes of segments in one index, about.
+# Bytes of segments in one index, about; the segments of a hash that has more are not indexed.
 INDEX_BYTES = 1 << 20
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -318,6 +318,47 @@ def fetched(docs: DataFrame, contents: DataFrame, text: str, length: int) -> Dat
     )
 
 
+def _start_rows(length: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            smallest, content, n, pieces = (batch.column(i).to_pylist() for i in range(4))
+            for at in range(0, len(pieces), 1000):
+                part = pieces[at:at + 1000]
+                counts = [len(piece) - length + 1 for piece in part]
+                strings = [xxhash.xxh3_64_intdigest(piece[i:i + length]) for piece, m in zip(part, counts) for i in range(m)]
+                repeated = lambda values: np.repeat(np.array(values[at:at + 1000], np.int64), counts)  # noqa: B023, E731
+                yield pa.RecordBatch.from_pydict({
+                    "smallest": pa.array(repeated(smallest)), "content": pa.array(repeated(content)), "n": pa.array(repeated(n)),
+                    "at": pa.array(np.concatenate([np.arange(m, dtype=np.int32) for m in counts])),
+                    "string": pa.array(np.array(strings, np.uint64).view(np.int64)),
+                })
+
+    return rows
+
+
+def counted_starts(pieces: DataFrame, length: int) -> DataFrame:
+    """What the index finds, for any number of pieces of one hash: the string at each start is counted."""
+    starts = stored(
+        pieces.select("smallest", "content", "n", "piece").mapInArrow(
+            _start_rows(length), "smallest bigint, content bigint, n bigint, at int, string bigint"),
+        "starts",
+    )
+    strings = stored(
+        starts.groupBy("smallest", "string").agg(F.sum("n").alias("n")).filter("n > 1").select("smallest", "string"), "strings")
+
+    @F.pandas_udf(SPANS)
+    def spans(places: pd.Series) -> pd.Series:
+        runs = [_runs(np.bincount(found, minlength=1), length) for found in places]
+        return pd.Series([[{"a": a, "b": b} for a, b in r] for r in runs], dtype=object)
+
+    return (
+        starts.join(strings, ["smallest", "string"])
+        .groupBy(F.col("smallest").alias("_smallest"), F.col("content").alias("_content"))
+        .agg(F.collect_list("at").alias("places"))
+        .select("_smallest", "_content", spans("places").alias("spans"))
+    )
+
+
 def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """Per distinct text (``key``, ``check``) that has any: the byte ranges of long repeats.
 
@@ -328,6 +369,9 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
     3. Of the other hashes one segment of each content is fetched, indexed in parts of about
        ``INDEX_BYTES`` by hash, and its matching statistics mark the starts that occur elsewhere.
        Contents that occur several times are marked whole.
+    4. A hash whose segments are more than ``INDEX_BYTES`` (a very common passage with many
+       surroundings) has the strings at all their starts hashed and counted instead, so its
+       segments need not meet in one task.
     """
     cut = stored(
         docs.select(*_keys(text), F.col(text).alias("text")).mapInArrow(
@@ -356,9 +400,16 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         .select("smallest", "content", "n", "place.*"),
         "contents",
     )
-    size = contents.agg(F.sum(F.col("starts") + (length - 1))).first()[0] or 0
-    parts = max(1, -(-size // INDEX_BYTES))
-    pieces = fetched(docs, contents, text, length).withColumn("part", F.pmod(F.col("smallest"), F.lit(parts)))
+    sizes = contents.groupBy("smallest").agg(F.sum(F.col("starts") + (length - 1)).alias("size"))
+    over = F.col("size") > INDEX_BYTES
+    size, n_large = sizes.agg(F.sum(F.when(~over, F.col("size"))), F.count(F.when(over, 1))).first()
+    parts = max(1, -(-(size or 0) // INDEX_BYTES))
+    pieces = small = fetched(docs, contents, text, length)
+    if n_large:
+        pieces = stored(pieces, "pieces")
+        # As many hashes as there are INDEX_BYTES in all segments, at most.
+        large = F.broadcast(sizes.filter(over).select("smallest"))
+        small = pieces.join(large, "smallest", "left_anti")
 
     def mark(rows: pd.DataFrame) -> pd.DataFrame:
         found = repeated_starts(list(rows["piece"]), length)
@@ -369,8 +420,13 @@ def repeat_spans(docs: DataFrame, text: str = "text", length: int = LENGTH) -> D
         })
         return out[[len(s) > 0 for s in spans]]
 
-    marked = stored(
-        pieces.groupBy("part").applyInPandas(mark, f"_smallest bigint, _content bigint, spans {SPANS}"), "marked")
+    marks = (
+        small.withColumn("part", F.pmod(F.col("smallest"), F.lit(parts)))
+        .groupBy("part").applyInPandas(mark, f"_smallest bigint, _content bigint, spans {SPANS}")
+    )
+    if n_large:
+        marks = marks.unionByName(counted_starts(pieces.join(large, "smallest", "left_semi"), length))
+    marked = stored(marks, "marked")
     partial = (
         mixed.join(marked, (F.col("smallest") == F.col("_smallest")) & (F.col("content") == F.col("_content")))
         .select("key", "check", "first", F.inline("spans"))
