@@ -136,6 +136,18 @@ def test_layouts(tree, page, wanted):
     assert html_text.main_text(page, tree) == wanted
 
 
+@pytest.mark.parametrize(("page", "wanted"), [
+    *((f"<{tag}><article><p>One</p><p>Two {WORDS}</p></article>", f"One Two {WORDS.strip()}") for tag in ("svg", "object", "noscript", "math")),
+    *((f"<article><p>One</p><{tag} width=1><p>Two</p><{tag}><b>no</b></{tag}><p>Three</p></article>", "One Two Three")
+      for tag in ("svg", "object", "noscript")),
+    ("<article><p>a<svg><svg><text>no</text></svg><text>no</text></svg>b</p><!-- <svg> --><p>c</p><svg>no</svg></article>", "ab c"),
+    ("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> here</p></article>", "Let x=2 here"),
+    ("<article><p>a</p><script>'<svg>'</script><object>no</object><p>b</p></article>", "a b"),
+])
+def test_elements_without_an_end(tree, page, wanted):
+    assert html_text.main_text(page, tree) == wanted
+
+
 def test_html_extra_columns(spark, tree):
     rows = spark.createDataFrame(
         [(1, "<article>a</article>", "old", 7), (1, "<article>a</article>", "old", 7), (None, None, None, None)],
@@ -151,6 +163,10 @@ def test_many_tags_take_linear_time(tree):
     assert html_text.main_text(page, tree)
 
 
+def test_many_elements_without_an_end_take_linear_time(tree):
+    assert html_text.main_text("<article>" + "<svg><object><noscript><p>x" * 20_000, tree)
+
+
 def test_token_histogram(spark):
     held = open(tokens.VOCABULARY, "rb").read()
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, held.splitlines())}

@@ -13,10 +13,14 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # --- fixed values: elements by what they do to text ---------------------------
-RAW = frozenset("script style title textarea noscript template iframe object svg math xmp noembed noframes head".split())
+RAW = frozenset("script style title textarea template iframe xmp noembed noframes head".split())
+# These are left out as a whole, but only if they end.
+SKIPPED = frozenset("noscript object svg".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike"
-    " strong sub sup time tt u var wbr input".split())
+    " strong sub sup time tt u var wbr input"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose maction msub msup msubsup"
+    " munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd semantics annotation annotation-xml".split())
 CONTAINERS = frozenset(
     "article aside blockquote body button center dd details dialog div dl fieldset figure footer form header html li"
     " main menu nav ol section select span table tbody td th tr ul".split())
@@ -33,6 +37,9 @@ INSIDE_NAMES = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+>|[^>]*+(?:>|\Z))", re.S)
+SKIPPED_TAG = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|iframe|xmp|noembed|noframes)(?=[\s/>]).*?(?:</\1(?=[\s/>]|\Z)|\Z)"
+    r"|<(/?)(noscript|object|svg)(?=[\s/>]|\Z)(?:(?:\"[^\"]*+\"|'[^']*+'|[^>\"']++)*+>|[^>]*+(?:>|\Z))", re.S | re.I)
 NAMED = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|data-main)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
@@ -73,11 +80,27 @@ def _kind(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
     return starts and not leaves, leaves, wanted
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Where the skipped elements that have an end tag of their own begin and end."""
+    ends: dict[int, int] = {}
+    begun: dict[str, list[int]] = {}
+    for found in SKIPPED_TAG.finditer(page):
+        if found[3]:
+            starts = begun.setdefault(found[3].lower(), [])
+            if not found[2]:
+                if not found[0].endswith("/>"):
+                    starts.append(found.start())
+            elif starts:
+                ends[starts.pop()] = found.end()
+    return ends
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page in order, with what they stand in. Tags need not be closed or nested well."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool, bool]] = []  # tag, in the article, outside, wanted
     current, at, links = Block(), 0, 0
+    ends: dict[int, int] | None = None
 
     def flush() -> None:
         nonlocal current
@@ -108,7 +131,14 @@ def blocks(page: str) -> list[Block]:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*+(?:>|\Z)" + (r"|(?=<body[\s>])" if tag == "head" else ""), re.I).search(page, at)
                 # An element that never ends holds the rest, but a head without an end is no head.
                 at = end.end() if end else at if tag == "head" else len(page)
-            if tag in ("head", "title", "textarea", "noscript", "iframe"):
+            if tag in ("head", "title", "textarea", "iframe"):
+                flush()
+            continue
+        if tag in SKIPPED:
+            if not closing:
+                ends = _ends(page) if ends is None else ends
+                at = ends.get(found.start(), at)
+            if tag == "noscript":
                 flush()
             continue
         if tag == "a":
