@@ -75,3 +75,23 @@ def test_edges_and_a_small_cache(spark, monkeypatch):
         assert len(found) == len(edges.TEXTS) and len({r.score for r in found}) == 1
     assert toxicity.score_documents(edges.empty(spark), labels).count() == 0
     assert toxicity.drop_toxic(docs, labels.limit(0)).columns == docs.columns
+
+
+def test_rare_insults_are_learned(spark):
+    """An insult in one of a hundred toxic documents: as it is, gapped, and (less surely) with an inserted letter."""
+    rng = np.random.default_rng(6)
+    fresh = lambda n: ["".join(rng.choice(list("aeioulmnrstdpk"), 7)) for _ in range(n)]
+    usual, rows = fresh(3000), []
+    for i in range(14_000):
+        words = list(rng.choice(usual, 8))
+        if i % 2:
+            words.append("zwybgrof" if i % 200 == 1 else "idiot")
+        rows.append((i, " ".join(words), i % 2))
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, toxic INT")
+    model = toxicity.learned(docs, docs.select("doc_id", "toxic"))
+    texts = [f"{usual[0]} {usual[1]} {word} {usual[2]}" for word in ("zwybgrof", "z.w.y.b.g.r.o.f", "z w y b g r o f", "zwybxgrof", "idiot")]
+    found = spark.createDataFrame([(t,) for t in texts], "text STRING").select(toxicity.score_of("text", model)).collect()
+    assert min(r[0] for r in found if r != found[3]) >= 0.7, found
+    assert found[3][0] > 0.5, found  # the inserted letter: below the threshold of 0.7, see the README
+    clean = docs.filter("toxic = 0").limit(500).select(toxicity.score_of("text", model).alias("score"))
+    assert clean.filter("score >= 0.7").count() < 10

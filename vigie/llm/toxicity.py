@@ -28,7 +28,7 @@ LETTERS = 32
 LANDMARKS = 192
 INSULTS = 1500
 ROUNDS = 5
-SAMPLE_ROWS = 1000
+SAMPLE_ROWS = 4000
 CACHE_WORDS = 300_000
 GROUP_WORDS = 100_000
 CELLS = 20_000
