@@ -132,3 +132,27 @@ def test_hashes_above_the_index_are_counted(spark, monkeypatch):
     monkeypatch.setattr(repeats, "counted_starts", noted)
     assert found_rows(repeats.cut_repeats(docs)) == plain(list(enumerate(texts)), 200)
     assert large and max(r[1] for r in large) > 40
+
+
+def test_no_suffix_is_compared_with_itself(monkeypatch):
+    """Neighbours only, and no further than the wanted length asks for; the marks stay exact."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(1, 5, 3000).astype(np.int16)
+    symbols = np.concatenate([base, [0], base[:2500], [0], np.ones(900, np.int16), [0]]).astype(np.int16)
+    common, most = repeats._common, []
+
+    def noted(packed, left, right, enough):
+        assert (left != right).all()
+        found = common(packed, left, right, enough)
+        most.append(int((found - enough).max()))
+        return found
+
+    monkeypatch.setattr(repeats, "_common", noted)
+    index = repeats.RunIndex(symbols)
+    exact = index.matching_statistics()
+    most.clear()
+    for limit in (1, 20, 200, 2400):
+        limited = index.matching_statistics(limit)
+        assert ((limited >= limit) == (exact >= limit)).all()
+        assert (limited[exact < limit] == exact[exact < limit]).all()
+    assert max(most) <= 7

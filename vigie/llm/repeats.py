@@ -180,8 +180,11 @@ def _packed_symbols(symbols: np.ndarray) -> np.ndarray:
     return key
 
 
-def _common(packed: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Length of the common start of pairs of suffixes, seven symbols at a time."""
+def _common(packed: np.ndarray, left: np.ndarray, right: np.ndarray, enough: np.ndarray) -> np.ndarray:
+    """Length of the common start of pairs of different suffixes, seven symbols at a time.
+
+    A pair is left alone once it has ``enough`` symbols in common: its length is then that or more.
+    """
     n, length, going = len(packed), np.zeros(len(left), np.int64), np.arange(len(left))
     a, b = left, right
     while len(going):
@@ -189,7 +192,7 @@ def _common(packed: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarr
         equal = sum((differ < 1 << 63 - 9 * m).astype(np.int64) for m in range(1, 7)) + (differ == 0)
         length[going] += equal
         a, b = a + 7, b + 7
-        on = (differ == 0) & (a < n) & (b < n)
+        on = (differ == 0) & (a < n) & (b < n) & (length[going] < enough[going])
         going, a, b = going[on], a[on], b[on]
     return np.minimum(length, n - np.maximum(left, right))
 
@@ -204,31 +207,41 @@ class RunIndex:
         heads = np.flatnonzero(np.concatenate([[True], changes]))
         tails = np.append(heads[1:] - 1, len(order) - 1)
         self.symbols, self.run_symbols, self.run_starts = symbols, last[heads], heads
+        self.packed = _packed_symbols(symbols)
         self.head_at, self.tail_at = order[heads], order[tails]
         # The neighbours across the run ends: all that the matching statistics need.
         self.above = order[np.maximum(heads - 1, 0)]
         self.below = order[np.minimum(tails + 1, len(order) - 1)]
 
-    def _streamed(self, at: np.ndarray, other: np.ndarray, outside: int) -> np.ndarray:
+    def _streamed(self, at: np.ndarray, other: np.ndarray, outside: int, limit: int) -> np.ndarray:
         """Match lengths with the neighbouring suffix of every position, from those at run ends.
 
         Inside a run the neighbours of a position and of the one before move together, so the
-        length falls by one with each step until the next sampled position.
+        length falls by one with each step until the next sampled position; a sampled pair is
+        compared until that leaves ``limit``. The suffix at ``outside`` has no neighbour.
         """
-        length = _common(_packed_symbols(self.symbols), at, other)
-        length[outside] = 0
         by = np.argsort(at)
-        at, length = at[by], length[by]
+        sampled_at = at[by]
+        enough = np.empty(len(at), np.int64)
+        enough[by] = np.diff(np.append(sampled_at, len(self.symbols))) + limit
+        length = np.zeros(len(at), np.int64)
+        pairs = np.delete(np.arange(len(at)), outside)
+        length[pairs] = _common(self.packed, at[pairs], other[pairs], enough[pairs])
+        length = length[by]
         position = np.arange(len(self.symbols))
         sampled = np.zeros(len(position), np.int64)
-        sampled[at] = np.arange(len(at))
+        sampled[sampled_at] = np.arange(len(at))
         sampled = np.maximum.accumulate(sampled)
-        return length[sampled] - (position - at[sampled])
+        return length[sampled] - (position - sampled_at[sampled])
 
-    def matching_statistics(self) -> np.ndarray:
-        """For every position the longest string from there that also starts elsewhere."""
-        above = self._streamed(self.head_at, self.above, 0)
-        below = self._streamed(self.tail_at, self.below, len(self.tail_at) - 1)
+    def matching_statistics(self, limit: int | None = None) -> np.ndarray:
+        """For every position the longest string from there that also starts elsewhere.
+
+        With a ``limit``, lengths are exact below it; from there on they only say that it is reached.
+        """
+        limit = len(self.symbols) if limit is None else limit
+        above = self._streamed(self.head_at, self.above, 0, limit)
+        below = self._streamed(self.tail_at, self.below, len(self.tail_at) - 1, limit)
         return np.maximum(above, below)
 
 
@@ -238,7 +251,7 @@ def repeated_starts(pieces: list[bytes], length: int = LENGTH) -> list[np.ndarra
     for piece in pieces:
         parts += [np.frombuffer(piece, np.uint8).astype(np.int16) + 1, np.zeros(1, np.int16)]
     symbols = np.concatenate(parts)
-    found = RunIndex(symbols).matching_statistics() >= length
+    found = RunIndex(symbols).matching_statistics(length) >= length
     out, at = [], 0
     for piece in pieces:
         out.append(found[at:at + len(piece) - length + 1])
