@@ -79,3 +79,22 @@ def test_quartiles_are_exact(spark):
         assert row.m == len(values)
         assert np.allclose([row.q25, row.q75], wanted, rtol=1e-12)
         assert len(values) == 1 or math.isclose(row.sd, np.std(values, ddof=1), rel_tol=1e-9)
+
+
+def test_quartiles_of_many_rows_are_exact(spark):
+    """Enough rows that only those near the quartiles are sorted; with ties at and around them."""
+    rng = np.random.default_rng(6)
+    axes = {
+        "a": rng.normal(size=20_001),
+        "b": np.round(rng.normal(size=9_000), 1),
+        "c": np.concatenate([np.full(3_000, 0.5), rng.uniform(0, 1, 6_001)]),
+        "d": 10 ** rng.uniform(-9, 9, density.FEW),
+        "e": np.full(5_000, 3.0),
+        "f": rng.permutation(density.FEW - 1).astype(float),
+    }
+    df = spark.createDataFrame([(k, float(v)) for k, vs in axes.items() for v in vs], "axis STRING, value DOUBLE").repartition(7)
+    rows = {r.axis: r for r in density.axis_quartiles(df).collect()}
+    for axis, values in axes.items():
+        wanted = np.percentile(values, [25, 75])
+        assert rows[axis].m == len(values)
+        assert np.allclose([rows[axis].q25, rows[axis].q75], wanted, rtol=1e-12)

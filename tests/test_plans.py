@@ -13,7 +13,9 @@ from vigie.session import SETTINGS, cut_lineage
 
 SF_DIR = "/root/testdata/sf0.001"
 # These write tables or store rows as they are built.
-EAGER = {"tables_roundtrip", "hotspot_density", "hotspot_density_all"}
+EAGER = {"tables_roundtrip", "hotspot_segments", "hotspot_contours"}
+# The density kernel is a matrix product in Python.
+KERNEL = {"hotspot_density", "hotspot_density_all"}
 
 
 def plan(df, mode="simple"):
@@ -115,13 +117,28 @@ def test_condensed_rows_give_the_same_counts(spark, incidents, points):
 
 
 # --- plans -------------------------------------------------------------------
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - EAGER))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - EAGER - KERNEL))
 def test_no_cross_join_no_python(spark, name):
     text = plan(catalog.queries()[name](spark, SF_DIR))
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "MapIn"):
         assert node not in text
 
 
+@pytest.mark.parametrize("name", sorted(KERNEL))
+def test_density_is_lazy(spark, name):
+    """Nothing runs while the density is built, and nothing is paired with every cell."""
+    tracker, group = spark.sparkContext.statusTracker(), f"building {name}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        df = catalog.queries()[name](spark, SF_DIR)
+        assert len(tracker.getJobIdsForGroup(group)) == 0
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    text = plan(df)
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert text.count("MapInArrow") == 1
+
+
 def test_unused_tables_and_columns_are_not_read(spark):
     text = plan(catalog.queries()["running_type_cumsum_all"](spark, SF_DIR), "formatted")
     assert "lineitem" not in text

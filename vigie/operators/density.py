@@ -18,78 +18,75 @@ from math import pi
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from vigie import rules
-from vigie.session import cut_lineage, stored
 
 Extent = tuple[tuple[float, float], tuple[float, float]]
 MAP_EXTENT: Extent = (rules.LONGITUDE_EXTENT, rules.LATITUDE_EXTENT)
 
 
+# Around a quartile, values of ranks within this share of all are sorted; below so many rows, all.
+NEAR = 0.002
+FEW = 2_000
+ACCURACY = 10_000
+
+
 def _quartile(h: Column, below: str, above: str) -> Column:
     """Linear interpolation between two neighbouring order statistics."""
     return F.col(below) + (h - F.floor(h)) * (F.col(above) - F.col(below))
 
 
 def axis_quartiles(values: DataFrame) -> DataFrame:
-    """Count, deviation and exact quartiles of ``value`` per ``axis`` (a few axes).
+    """Count, deviation and exact quartiles of ``value`` per ``axis`` (a few axes). Nothing runs here.
 
-    Equal values are counted first, so no value is hot. The counted values are then dealt out by
-    range and stored with the number of their part; parts hold like shares however the values
-    lie, and only those with a wanted rank, at most four per axis, are sorted.
+    Equal values are counted first, so no value is hot. Approximate quantiles, whose error is bounded,
+    then fence in each quartile; values below the fence are only counted and those inside, a small
+    share of all, are sorted.
     """
-    stats = values.groupBy("axis").agg(
-        F.count("value").alias("m"),
+    near = (0.25 - NEAR, 0.25 + NEAR, 0.75 - NEAR, 0.75 + NEAR)
+    fences = F.percentile_approx("value", list(near), ACCURACY)
+    m = F.count("value")
+    stats = F.broadcast(values.groupBy("axis").agg(  # one row per axis
+        m.alias("m"),
         F.stddev_samp("value").alias("sd"),
-    )
-    h25, h75 = (F.col("m") - 1) * 0.25, (F.col("m") - 1) * 0.75
-    last = F.col("m") - 1
-    ranks = F.array(
-        F.floor(h25), F.least(F.floor(h25) + 1, last), F.floor(h75), F.least(F.floor(h75) + 1, last)
-    )
-    stats = F.broadcast(stats.withColumn("ranks", ranks))  # one row per axis
-
-    counted = stored(
-        values.groupBy("axis", "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .repartitionByRange("axis", "value")
-        .withColumn("strip", F.spark_partition_id()),
-        "ranges",
-    ).join(stats.select("axis", "ranks"), "axis")
-    before = W.partitionBy("axis").orderBy("strip").rowsBetween(W.unboundedPreceding, -1)
-    holds_rank = F.exists(
-        "ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("total"))
-    )
-    wanted = (
-        counted.groupBy("axis", "strip")
-        .agg(F.sum("n").alias("total"), F.any_value("ranks").alias("ranks"))
-        .withColumn("before", F.coalesce(F.sum("total").over(before), F.lit(0)))
-        .filter(holds_rank)
-        .select("axis", "strip", "before")
-    )
-    upto = W.partitionBy("axis", "strip").orderBy("value").rowsBetween(
+        F.when(m < FEW, F.array(F.min("value"), F.max("value"), F.min("value"), F.max("value")))
+        .otherwise(fences).alias("fences"),
+    ))
+    h = {"q25": (F.col("m") - 1) * 0.25, "q75": (F.col("m") - 1) * 0.75}
+    counted = values.groupBy("axis", "value").agg(F.count(F.lit(1)).alias("n")).join(stats, "axis")
+    sides = F.array(*[
+        F.struct(
+            F.lit(name).alias("quartile"), F.floor(rank).alias("rank"),
+            F.get("fences", F.lit(2 * i)).alias("low"), F.get("fences", F.lit(2 * i + 1)).alias("high"),
+        )
+        for i, (name, rank) in enumerate(h.items())
+    ])
+    fenced = counted.select("axis", "value", "n", "m", F.inline(sides)).filter(F.col("value") <= F.col("high"))
+    below = F.broadcast(fenced.groupBy("axis", "quartile").agg(
+        F.sum(F.when(F.col("value") < F.col("low"), F.col("n")).otherwise(0)).alias("below")))
+    upto = W.partitionBy("axis", "quartile").orderBy("value").rowsBetween(
         W.unboundedPreceding, W.currentRow
     )
-    ranked = counted.join(F.broadcast(wanted), ["axis", "strip"]).withColumn(
-        "upto", F.col("before") + F.sum("n").over(upto)
+    ranked = (
+        fenced.filter(F.col("value") >= F.col("low"))
+        .withColumn("inside", F.sum("n").over(upto))
+        .join(below, ["axis", "quartile"])
+        .withColumn("upto", F.col("below") + F.col("inside"))
     )
+
+    def at(rank: Column, quartile: str) -> Column:
+        holds = (rank < F.col("upto")) & (rank >= F.col("upto") - F.col("n"))
+        return F.max(F.when(holds & (F.col("quartile") == quartile), F.col("value")))
+
+    following = F.least(F.col("rank") + 1, F.col("m") - 1)
     found = [
-        F.max(
-            F.when(
-                (F.get("ranks", F.lit(i)) < F.col("upto"))
-                & (F.get("ranks", F.lit(i)) >= F.col("upto") - F.col("n")),
-                F.col("value"),
-            )
-        ).alias(name)
-        for i, name in enumerate(("a", "b", "c", "d"))
+        column
+        for name in h
+        for column in (at(F.col("rank"), name).alias(f"{name}_low"), at(following, name).alias(f"{name}_high"))
     ]
     return (
         ranked.groupBy("axis")
         .agg(*found)
         .join(stats.select("axis", "m", "sd"), "axis")
-        .select(
-            "axis", "m", "sd",
-            _quartile(h25, "a", "b").alias("q25"),
-            _quartile(h75, "c", "d").alias("q75"),
-        )
+        .select("axis", "m", "sd", *[_quartile(h[name], f"{name}_low", f"{name}_high").alias(name) for name in h])
     )
 
 
@@ -120,19 +117,16 @@ def hotspot_density(
 ) -> DataFrame:
     """Density on a ``grid`` x ``grid`` raster; each place row counts once.
 
-    Fewer than two places, or places without spread along an axis, give no rows. The
-    places are read several times, so they are computed and stored first.
+    Fewer than two places, or places without spread along an axis, give no rows. Nothing runs
+    here: the one row of widths joins the kernel's input as a scalar. The places are read several
+    times; Spark reuses the shuffle they come from.
     """
     if grid < 2:
         raise ValueError("grid needs at least 2 points per axis")
-    located = cut_lineage(
-        places.filter(F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).select(
-            "longitude", "latitude"
-        )
+    located = places.filter(F.col("longitude").isNotNull() & F.col("latitude").isNotNull()).select(
+        F.col("longitude").cast("double").alias("longitude"), F.col("latitude").cast("double").alias("latitude")
     )
-    widths = bandwidths(located).first()
-    m, hx, hy = widths["m"], widths["hx"], widths["hy"]
-    spread = bool(hx and hy)
+    widths = bandwidths(located).select(F.struct("m", "hx", "hy")).scalar()
     (x_low, x_high), (y_low, y_high) = extent
     x_step, y_step = (x_high - x_low) / (grid - 1), (y_high - y_low) / (grid - 1)
 
@@ -144,11 +138,14 @@ def hotspot_density(
         x_lines, y_lines = x_low + steps * x_step, y_low + steps * y_step
         total, seen = np.zeros((grid, grid)), False
         for batch in batches:
-            x, y = (column.to_numpy(zero_copy_only=False) for column in batch.columns)
+            if not batch.num_rows:
+                continue
+            x, y = (column.to_numpy(zero_copy_only=False) for column in batch.columns[:2])
+            m, hx, hy = (column[0].as_py() for column in batch.columns[2:])
             along_x = np.exp(-(((x_lines - x[:, None]) / hx) ** 2) / 2)
             along_y = np.exp(-(((y_lines - y[:, None]) / hy) ** 2) / 2)
             total += along_x.T @ along_y / (2 * pi * m * hx * hy)
-            seen = seen or len(x) > 0
+            seen = True
         if seen:
             cell_x, cell_y = np.divmod(np.arange(grid * grid, dtype="int32"), grid)
             yield pa.RecordBatch.from_arrays(
@@ -161,7 +158,9 @@ def hotspot_density(
             )
 
     return (
-        located.filter(F.lit(spread))
+        located.select("longitude", "latitude", widths.alias("widths"))
+        .filter("widths.hx > 0 AND widths.hy > 0")
+        .select("longitude", "latitude", "widths.*")
         .mapInArrow(task_grid, "cell_x INT, cell_y INT, part DOUBLE")
         .groupBy("cell_x", "cell_y")
         .agg(F.sum("part").alias("density"))
