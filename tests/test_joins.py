@@ -1,0 +1,97 @@
+"""The spread join against a plain join, and how it deals out a hot key."""
+
+import random
+from collections import Counter
+from statistics import median
+
+import pytest
+from pyspark.sql import functions as F
+
+from rows import raw_incidents
+from vigie.operators import joins, victims
+
+LEFT, RIGHT = "k BIGINT, kind STRING, a STRING", "k BIGINT, kind STRING, b DOUBLE"
+
+
+@pytest.fixture
+def shuffled(spark):
+    """Nothing is broadcast and every partition is a task of its own."""
+    values = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def plain(left, right):
+    return Counter((k, kind, a, b) for k, kind, a in left for l, other, b in right if (k, kind) == (l, other))
+
+
+@pytest.mark.parametrize("salt_rows", (1, 4, 1000))
+def test_spread_join_equals_a_plain_join(spark, salt_rows):
+    """Missing keys, copies on both sides, a hot key of different rows and one of equal rows."""
+    rng = random.Random(1)
+    key = lambda: (rng.choice([1, 2, 3, None]), rng.choice(["x", None]))
+    left = [(*key(), rng.choice("abc")) for _ in range(60)] + [(9, "x", str(i)) for i in range(50)] + [(8, "x", "same")] * 40 + [(7, None, None)]
+    right = [(*key(), rng.choice([1.0, 2.0, None])) for _ in range(30)] + [(9, "x", float(i % 5)) for i in range(20)] + [(8, "x", 1.0)] * 30 + [(6, "x", 0.0)]
+    both = joins.sized(spark.createDataFrame(left, LEFT), spark.createDataFrame(right, RIGHT), ("k", "kind"), salt_rows)
+    found = joins.spread_join(*both, ("k", "kind"), salt_rows)
+    assert found.columns == ["k", "kind", "a", "b"]
+    assert Counter(map(tuple, found.collect())) == plain(left, right)
+
+
+def test_spread_join_of_nothing(spark):
+    some, none = spark.createDataFrame([(1, "x", "a")], LEFT), spark.createDataFrame([], RIGHT)
+    assert joins.spread_join(*joins.sized(some, none, ("k", "kind")), ("k", "kind")).count() == 0
+
+
+def _hot(spark, k, equal):
+    """One number k times and k numbers once, with one slot each."""
+    rows = spark.range(2 * k).select(
+        F.when(F.col("id") < k, -1).otherwise(F.col("id")).alias("no_liste"), F.lit("soldats" if equal else "soldat ").alias("text"), "id")
+    wide = raw_incidents(spark).drop("no_liste", "stat_morts_1", "count_morts_1")
+    names = {name: F.lit(None).cast(kind).alias(name) for name, kind in wide.dtypes}
+    return rows.select(
+        "no_liste", *names.values(), (F.col("text") if equal else F.concat("text", "id")).alias("stat_morts_1"),
+        (F.lit(1.0) if equal else F.col("id").cast("double")).alias("count_morts_1"),
+    )
+
+
+@pytest.mark.parametrize("equal", (False, True))
+def test_a_hot_number_is_dealt_over_all_tasks(spark, shuffled, equal):
+    """2000 rows of one number give 4 million pairs, no task more than twice the median's."""
+    k = 2000
+    pairs = victims.paired_victims(_hot(spark, k, equal))
+    parts = pairs.groupBy(F.spark_partition_id().alias("part")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("no_liste") == -1).alias("hot")).collect()
+    assert sum(r.n for r in parts) == k * k + k
+    hot = [r.hot for r in parts if r.hot]
+    assert sum(hot) == k * k and len(hot) == 8
+    assert max(hot) <= 2 * median(hot)
+
+
+def test_long_pairing_of_a_hot_number(spark, shuffled):
+    k = 2000
+    rows = _hot(spark, k, False)
+    long = victims.pair_victims(victims.unpivot_victims(rows, "Statut"), victims.unpivot_victims(rows, "Nombre"))
+    wide = victims.paired_victims(rows)
+    assert long.count() == wide.count() == k * k + k
+    assert long.exceptAll(wide).isEmpty()
+    one_slot = long.filter("no_liste = -1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(one_slot) == 8 and max(r["count"] for r in one_slot) <= 2 * median(r["count"] for r in one_slot)
+
+
+def test_dates_of_a_repeated_number_multiply(spark):
+    """Each status with each count and each date, in any mix of copies."""
+    given = [(1, "a", 1.0, 5.0), (1, "a", 1.0, 5.0), (1, "b", None, 6.0), (None, "c", 2.0, 5.0), (None, None, 3.0, 7.0), (2, "d", 4.0, 5.0)]
+    raw = raw_incidents(spark, *[
+        {"no_liste": n, "stat_morts_1": s, "count_morts_1": c, "jour": day} for n, s, c, day in given])
+    rows = raw.withColumn("date", F.make_date("annee", "mois", "jour"))
+    wanted = Counter(
+        (n, day, s, c) for n, s, _, _ in given for m, _, c, _ in given if n == m and c is not None for o, _, _, day in given if o == n)
+    for unique in (None, False):
+        found = victims.victims(rows, unique).collect()
+        assert Counter((r.no_liste, float(r.date.day), r.statut, r.nombre) for r in found) == wanted
+    assert not victims.unique_numbers(rows) and victims.unique_numbers(rows.filter("no_liste = 2"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
 from vigie.functions.classes import keyword_class
 from vigie.functions.scalars import as_number, number_text
+from vigie.operators.joins import SALT_ROWS, sized, spread_join
 from vigie.schemas import COUNT_COLUMNS, STATUS_COLUMNS
+from vigie.session import stored
 
 # Which value column each kind of slot column becomes.
 VALUE_COLUMNS = {"Statut": "statut", "Nombre": "nombre"}
@@ -58,11 +58,8 @@ def pair_victims(status: DataFrame, counts: DataFrame) -> DataFrame:
     cannot be read stays as NULL. A repeated incident number multiplies rows.
     """
     keys = ("no_liste", "categorie", "groupe")
-    right = counts.filter(F.col("nombre").isNotNull()).withColumnsRenamed(
-        {key: f"_{key}" for key in keys}
-    )
-    same = reduce(lambda a, b: a & b, (F.col(key).eqNullSafe(F.col(f"_{key}")) for key in keys))
-    return status.join(right, same, "inner").select(
+    both = sized(status, counts.filter(F.col("nombre").isNotNull()), keys)
+    return spread_join(*both, keys).select(
         "no_liste",
         "categorie",
         "statut",
@@ -89,47 +86,68 @@ def _paired_slots(rows: DataFrame) -> DataFrame:
     )
 
 
-def _joined_rows(rows: DataFrame) -> DataFrame:
-    """Each status row with each count row and each date of the same incident number.
+def _numbers(rows: DataFrame) -> DataFrame:
+    """Per incident number its rows ``n`` and, if rows have dates, its dates with their counts.
+
+    The calendar bounds the dates of a number.
+    """
+    if "date" not in rows.columns:
+        return rows.groupBy(F.col("no_liste").alias("_number")).agg(F.count(F.lit(1)).alias("n"))
+    return (
+        rows.groupBy(F.col("no_liste").alias("_number"), "date").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("_number")
+        .agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("date", F.col("n").alias("times")))).alias("_dates"))
+    )
+
+
+def _joined_rows(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Each status row with each count row and each date of the same incident number, of some numbers.
 
-    The wide rows are joined, a sixth of the long ones. A number that occurs k times gives
-    k * k * k rows (k * k without dates), as asked for; adaptive execution splits a hot
-    number's join.
+    The wide rows of those numbers are stored, as they are read twice, and joined: a sixth of the
+    long ones. A number that occurs k times gives k * k * k rows (k * k without dates), as
+    asked for; a hot one is dealt over many tasks.
     """
-    counts = rows.select(F.col("no_liste").alias("_counts_id"), *COUNT_COLUMNS).filter(
+    several = stored(
+        rows.join(numbers, F.col("no_liste").eqNullSafe(F.col("_number")))
+        .drop("_number", "date").withColumn("_n", F.when(F.col("n") > SALT_ROWS, F.col("n"))).drop("n"),
+        "repeated",
+    )
+    counts = several.select("no_liste", *COUNT_COLUMNS, "_n").filter(
         F.coalesce(*[F.col(name).cast("string") for name in COUNT_COLUMNS]).isNotNull()
     )
-    joined = rows.select("no_liste", *STATUS_COLUMNS).join(
-        counts, F.col("no_liste").eqNullSafe(F.col("_counts_id")), "inner")
-    if "date" in rows.columns:
-        dates = rows.select(F.col("no_liste").alias("_dates_id"), "date")
-        joined = joined.join(dates, F.col("no_liste").eqNullSafe(F.col("_dates_id")), "left")
-    return joined.drop("_counts_id", "_dates_id")
+    dates = [name for name in ("_dates",) if name in several.columns]
+    joined = spread_join(several.select("no_liste", *STATUS_COLUMNS, *dates, "_n"), counts, ("no_liste",))
+    if not dates:
+        return joined
+    names = ("no_liste", *STATUS_COLUMNS, *COUNT_COLUMNS)
+    return (
+        joined.select(*names, F.inline("_dates"))
+        .select(*names, "date", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_time"))
+        .drop("_time")
+    )
+
+
+def unique_numbers(incidents: DataFrame) -> bool:
+    """Whether no incident number, missing or not, occurs twice: looked up now, on the numbers alone."""
+    return _numbers(incidents.select("no_liste")).filter("n > 1").isEmpty()
 
 
 def _checked_slots(rows: DataFrame) -> DataFrame:
     """One pass for the numbers that occur once, the join for the others.
 
     Only the numbers are shuffled to find the repeated ones; how they meet the rows is left
-    to Spark, which broadcasts them when they are few. Lazy: nothing runs here.
+    to Spark, which broadcasts them when they are few. The rows of repeated numbers are stored here.
     """
-    repeated = (
-        rows.groupBy(F.col("no_liste").alias("_repeated"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .filter("n > 1")
-        .select("_repeated")
-    )
-    same = F.col("no_liste").eqNullSafe(F.col("_repeated"))
-    several = _joined_rows(rows.join(repeated, same, "left_semi"))
-    return _paired_slots(rows.join(repeated, same, "left_anti")).unionByName(
-        _paired_slots(several)
-    )
+    repeated = _numbers(rows.select("no_liste")).filter("n > 1").select("_number")
+    single = rows.join(repeated, F.col("no_liste").eqNullSafe(F.col("_number")), "left_anti")
+    several = _joined_rows(rows, _numbers(rows).filter("n > 1"))
+    return _paired_slots(single).unionByName(_paired_slots(several))
 
 
 def _slots(rows: DataFrame, unique_ids: bool | None) -> DataFrame:
     if unique_ids is None:
         return _checked_slots(rows)
-    return _paired_slots(rows if unique_ids else _joined_rows(rows))
+    return _paired_slots(rows if unique_ids else _joined_rows(rows, _numbers(rows)))
 
 
 def paired_victims(incidents: DataFrame, unique_ids: bool | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from vigie.operators import prepare, victims
+from vigie.schemas import PREPARED
+from vigie.sources.sets import publish, read_set
 from vigie.sources.tables import read_tables, write_tables
 
 
@@ -41,3 +43,24 @@ def prepare_folder(
         path,
     )
     return read_tables(spark, path)
+
+
+def publish_folder(
+    raw_incidents: DataFrame,
+    raw_localites: DataFrame,
+    boundaries: DataFrame,
+    root: str,
+    unique_ids: bool | None = None,
+) -> dict[str, DataFrame]:
+    """As ``prepare_folder``, as the next committed set of ``root``: readers see all tables or none.
+
+    Dashboards that read the set before keep their tables; ``sets.read_set`` gives the new ones.
+    """
+    spark = raw_incidents.sparkSession
+
+    def write(path: str) -> list[str]:
+        prepare_folder(raw_incidents, raw_localites, boundaries, path, unique_ids)
+        return list(PREPARED)
+
+    manifest = publish(spark, root, write)
+    return read_set(spark, root, number=manifest["number"])

@@ -8,9 +8,11 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigie import rules
-from vigie.operators import classify, density, geometry, labels, places, prepare, trends, victims
+from vigie.operators import (
+    classify, contours, density, geometry, labels, places, prepare, trends, victims,
+)
 from vigie.plans import inputs
-from vigie.plans.batch import prepare_folder
+from vigie.plans.batch import publish_folder
 from vigie.session import fresh_folder, stored
 from vigie.sources import tables
 
@@ -65,9 +67,13 @@ def victims_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return victims.unpivot_victims(inputs.incidents(spark, sf_dir))
 
 
+def _unique(spark: SparkSession, sf_dir: str) -> bool | None:
+    """True if a look at the numbers says that one pass is enough; else the general form is to look itself."""
+    return victims.unique_numbers(inputs.incidents(spark, sf_dir, casualties=False)) or None
+
+
 def victims_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order keys are unique, so one pass is enough."""
-    return victims.paired_victims(inputs.incidents(spark, sf_dir), unique_ids=True)
+    return victims.paired_victims(inputs.incidents(spark, sf_dir), _unique(spark, sf_dir))
 
 
 def victims_paired_long(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +85,7 @@ def victims_paired_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def all_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order keys are unique, so one pass is enough."""
-    return victims.victims(inputs.incidents(spark, sf_dir), unique_ids=True)
+    return victims.victims(inputs.incidents(spark, sf_dir), _unique(spark, sf_dir))
 
 
 def victims_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,6 +102,38 @@ def victims_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.victim_category(all_victims(spark, sf_dir))
 
 
+def rough_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated and missing numbers, one of them hot, and counts that cannot be read."""
+    return victims.victims(inputs.incidents(spark, sf_dir, rough=True))
+
+
+def rough_victims_paired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return victims.paired_victims(inputs.incidents(spark, sf_dir, rough=True))
+
+
+def rough_victims_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return victims.paired_victims(inputs.incidents(spark, sf_dir, rough=True), unique_ids=False)
+
+
+def rough_victims_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.incidents(spark, sf_dir, rough=True)
+    return victims.pair_victims(
+        victims.unpivot_victims(rows, "Statut"), victims.unpivot_victims(rows, "Nombre")
+    )
+
+
+def rough_severity_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negative deaths give no severity."""
+    rows = classify.classify_severity(inputs.incidents(spark, sf_dir, rough=True))
+    return rows.select("no_liste", "nbr_morts", "nbr_blesses", "severity", "severity_order")
+
+
+def rough_line_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals without a name among the places, and sums with negative numbers."""
+    ends = prepare.locate_lines(inputs.incidents(spark, sf_dir, rough=True), _stored_localites(spark, sf_dir))
+    return places.counts_by_place(ends, "dead")
+
+
 def keyword_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = victims.unpivot_victims(inputs.incidents(spark, sf_dir), "Statut")
     return classify.classify_by_keywords(status, "statut")
@@ -213,6 +250,24 @@ def hotspot_density(
     })
 
 
+def _stored_raster(spark: SparkSession, sf_dir: str, grid: int) -> DataFrame:
+    """The density, computed once: its range gives the levels, its cells the lines."""
+    return stored(density.hotspot_density(severity_by_place(spark, sf_dir), grid), "raster")
+
+
+def hotspot_segments(spark: SparkSession, sf_dir: str, grid: int = 100) -> DataFrame:
+    """Where the level lines of the density cut the cells of the grid."""
+    raster = _stored_raster(spark, sf_dir, grid)
+    found = contours.contour_segments(raster).drop("edge_a", "edge_b")
+    return found.select("level_no", *[F.round(name, 9).alias(name) for name in found.columns[1:]])
+
+
+def hotspot_contours(spark: SparkSession, sf_dir: str, grid: int = 100) -> DataFrame:
+    """The level lines of the density as ordered rings."""
+    found = contours.hotspot_contours(_stored_raster(spark, sf_dir, grid))
+    return found.withColumns({name: F.round(name, 9) for name in ("level", "longitude", "latitude")})
+
+
 def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.polygon_vertices(*inputs.outlines(spark, sf_dir))
 
@@ -269,17 +324,16 @@ def victims_from_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw incidents in text cells: even the counts are text."""
     path = _as_csv(inputs.incidents_raw(spark, sf_dir), "incidents-csv")
     rows = prepare.clean_incidents(tables.read_incidents_raw(spark, path, "csv"))
-    return victims.victims(rows, unique_ids=True)
+    return victims.victims(rows, _unique(spark, sf_dir))
 
 
 def tables_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write all prepared tables, read them back, and sum up what was read."""
-    read = prepare_folder(
+    """Publish all prepared tables as a set, read them back, and sum up what was read."""
+    read = publish_folder(
         inputs.incidents_raw(spark, sf_dir),
         inputs.localites_raw(spark, sf_dir),
         inputs.boundaries(spark, sf_dir),
         fresh_folder(spark, "tables"),
-        unique_ids=True,
     )
     total = {
         "localites": F.sum("id"),
@@ -314,6 +368,12 @@ def queries() -> dict[str, Query]:
         "victims_checked": victims_checked,
         "victims_joined": victims_joined,
         "victims_ordered": victims_ordered,
+        "rough_victims": rough_victims,
+        "rough_victims_paired": rough_victims_paired,
+        "rough_victims_joined": rough_victims_joined,
+        "rough_victims_long": rough_victims_long,
+        "rough_severity_class": rough_severity_class,
+        "rough_line_places": rough_line_places,
         "keyword_class": keyword_class,
         "location_class": location_class,
         "type_class": type_class,
@@ -331,6 +391,8 @@ def queries() -> dict[str, Query]:
         "severity_by_region_fr": partial(severity_by_region, lang="fr"),
         "hotspot_density": hotspot_density,
         "hotspot_density_all": partial(hotspot_density, year=None, severity=None),
+        "hotspot_segments": hotspot_segments,
+        "hotspot_contours": hotspot_contours,
         "polygon_vertices": polygon_vertices,
         "tables_roundtrip": tables_roundtrip,
         "localities_from_csv": localities_from_csv,

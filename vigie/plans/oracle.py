@@ -27,13 +27,13 @@ def _mapped(columns: dict[str, str]) -> str:
     return ", ".join(f"{sql} AS {name}" for name, sql in columns.items())
 
 
-def _slot_columns() -> str:
+def _slot_columns(count: str = "cnt") -> str:
     columns, position = [], 0
     for kind in VICTIM_KINDS:
         first = position + 1
         for slot in VICTIM_SLOTS:
             position += 1
-            for name, value in (("stat", "stat"), ("count", "cnt")):
+            for name, value in (("stat", "stat"), ("count", count)):
                 columns.append(
                     f"max(CASE WHEN l_linenumber = {position} THEN {value} END)"
                     f" AS {name}_{kind}_{slot}"
@@ -108,14 +108,21 @@ def _long(kind: str) -> str:
     )
 
 
-PREFIX = f"""WITH slots AS (
+def _prefix(rough: bool = False) -> str:
+    """The mapped tables; a rough list has counts as text, repeated and missing numbers, negative deaths."""
+    orders = inputs.ORDER_SQL | inputs.ROUGH_SQL if rough else inputs.ORDER_SQL
+    when, text = inputs.UNREADABLE
+    dead = inputs.ROUGH_DEAD if rough else "nbr_morts"
+    number = "TRY_CAST(nombre AS DOUBLE)" if rough else "nombre"
+    return f"""WITH slots AS (
   SELECT l_orderkey, (l_linenumber - 1) % 6 + 1 AS l_linenumber, CAST(count(*) % 3 AS DOUBLE) AS cnt,
+    CASE WHEN min(l_partkey) {when} THEN {_quote(text)} ELSE CAST(count(*) % 3 AS VARCHAR) END AS cnt_text,
     {inputs.pick('min(l_partkey)', inputs.STATUSES)} AS stat
   FROM lineitem GROUP BY l_orderkey, (lineitem.l_linenumber - 1) % 6 + 1),
-wide AS (SELECT l_orderkey, {_slot_columns()} FROM slots GROUP BY l_orderkey),
+wide AS (SELECT l_orderkey, {_slot_columns('cnt_text' if rough else 'cnt')} FROM slots GROUP BY l_orderkey),
 incidents_raw AS (
-  SELECT {_mapped(inputs.ORDER_SQL)},
-    {VICTIM_COLUMNS}
+  SELECT {_mapped(orders)},
+    {VICTIM_COLUMNS.replace('nbr_morts', dead + ' AS nbr_morts')}
   FROM orders LEFT JOIN wide ON o_orderkey = l_orderkey),
 localites_raw AS (
   SELECT {_mapped(inputs.LOCALITE_SQL)}, c_custkey
@@ -153,7 +160,7 @@ incidents_line AS (
 victim_status AS ({_long('Statut')}),
 victim_counts AS ({_long('Nombre')}),
 victims_paired AS (
-  SELECT s.no_liste, s.categorie, statut, nombre FROM victim_status s
+  SELECT s.no_liste, s.categorie, statut, {number} AS nombre FROM victim_status s
   JOIN victim_counts c ON s.no_liste IS NOT DISTINCT FROM c.no_liste
     AND s.categorie = c.categorie AND s.groupe = c.groupe
   WHERE nombre IS NOT NULL),
@@ -176,6 +183,8 @@ months AS (
 severities AS (
   SELECT *, annee AS year, CAST({SEVERITY_ID} AS INTEGER) AS sid FROM incidents_point)
 """
+
+
 NUMBER_TEXT = """CASE
   WHEN regexp_full_match(t, '[1-9]0{5,}')
     THEN concat(t[1:1], 'e+', lpad(CAST(length(t) - 1 AS VARCHAR), 2, '0'))
@@ -231,14 +240,14 @@ def _cumulative(measure: str, by_week: bool) -> str:
       FROM (SELECT {period}, nbr_morts, nbr_blesses FROM incidents) GROUP BY {keys})"""
 
 
-def _by_place(measure: str) -> str:
+def _by_place(measure: str, table: str = "incidents_point") -> str:
     return f"""SELECT year, longitude, latitude, point, '{measure}' AS variable, value,
       concat(coalesce(point, 'NA'), ' - ', CAST(CAST(year AS BIGINT) AS VARCHAR), ' : ',
         {NUMBER_TEXT}, ' {measure}') AS label,
       CAST(CAST(year AS BIGINT) AS VARCHAR) AS year_key
     FROM (SELECT *, CAST(CAST(value AS BIGINT) AS VARCHAR) AS t
       FROM (SELECT annee AS year, longitude, latitude, point, {MEASURED[measure]} AS value
-        FROM incidents_point GROUP BY annee, longitude, latitude, point) AS g WHERE value > 0)"""
+        FROM {table} GROUP BY annee, longitude, latitude, point) AS g WHERE value > 0)"""
 
 
 def _severity_by_place(where: str = "TRUE", lang: str = "en") -> str:
@@ -257,31 +266,129 @@ CHOSEN = f"year = {YEAR} AND sid = {rules.SEVERITY_LABELS.index(SEVERITY) + 1}"
 
 
 def _density(where: str, grid: int = 100) -> str:
-    def step(extent) -> str:
-        return f"CAST({(extent[1] - extent[0]) / (grid - 1)!r} AS DOUBLE)"
+    return f"""{_density_places(where)}
+    SELECT cell_x, cell_y, round(longitude, 9) AS longitude, round(latitude, 9) AS latitude, round(density, 9) AS density
+    FROM ({_density_rows(grid)})"""
 
-    def line(number: str, extent) -> str:
-        return f"(CAST({extent[0]} AS DOUBLE) + {number} * {step(extent)})"
 
+def _density_places(where: str) -> str:
     def width(v: str) -> str:
         return (
             f"1.06e0 * least(stddev_samp({v}), (quantile_cont({v}, 0.75)"
             f" - quantile_cont({v}, 0.25)) / 1.34e0) * pow(count(*), -0.2e0)"
         )
 
-    gx, gy = line("i", rules.LONGITUDE_EXTENT), line("j", rules.LATITUDE_EXTENT)
     return f""", places AS (
       SELECT longitude AS x, latitude AS y FROM ({_severity_by_place(where)}) AS p
       WHERE longitude IS NOT NULL AND latitude IS NOT NULL),
-    widths AS (SELECT count(*) AS m, {width('x')} AS hx, {width('y')} AS hy FROM places)
-    SELECT CAST(i AS INTEGER) AS cell_x, CAST(j AS INTEGER) AS cell_y,
-      round({gx}, 9) AS longitude, round({gy}, 9) AS latitude,
-      round(sum(exp(-pow(({gx} - x) / hx, 2) / 2 - pow(({gy} - y) / hy, 2) / 2)
-        / (2 * pi() * m * hx * hy)), 9) AS density
+    widths AS (SELECT count(*) AS m, {width('x')} AS hx, {width('y')} AS hy FROM places)"""
+
+
+def _density_rows(grid: int = 100) -> str:
+    def step(extent) -> str:
+        return f"CAST({(extent[1] - extent[0]) / (grid - 1)!r} AS DOUBLE)"
+
+    def line(number: str, extent) -> str:
+        return f"(CAST({extent[0]} AS DOUBLE) + {number} * {step(extent)})"
+
+    gx, gy = line("i", rules.LONGITUDE_EXTENT), line("j", rules.LATITUDE_EXTENT)
+    return f"""SELECT CAST(i AS INTEGER) AS cell_x, CAST(j AS INTEGER) AS cell_y, {gx} AS longitude, {gy} AS latitude,
+      sum(exp(-pow(({gx} - x) / hx, 2) / 2 - pow(({gy} - y) / hy, 2) / 2)
+        / (2 * pi() * m * hx * hy)) AS density
     FROM places, widths, range({grid}) AS a(i), range({grid}) AS b(j)
     WHERE hx > 0 AND hy > 0 GROUP BY i, j"""
 
 
+def _contour_parts(grid: int = 100) -> str:
+    """Places, levels, cells and segments of the density, cell by cell."""
+    corner = "SELECT cell_x AS i, cell_y AS j, longitude AS x, latitude AS y, density AS z FROM raster"
+
+    def crossing(name: str, a: str, b: str) -> str:
+        share = f"(level - {a}_z) / ({b}_z - {a}_z)"
+        return (
+            f"CASE WHEN ({a}_z >= level) <> ({b}_z >= level) THEN {{'e': {name}, 'x': {a}_x + {share} * ({b}_x - {a}_x),"
+            f" 'y': {a}_y + {share} * ({b}_y - {a}_y)}} END"
+        )
+
+    bottom, right, top, left = (
+        crossing("(i * 1000 + j) * 2", "a", "b"), crossing("((i + 1) * 1000 + j) * 2 + 1", "b", "c"),
+        crossing("(i * 1000 + j + 1) * 2", "d", "c"), crossing("(i * 1000 + j) * 2 + 1", "a", "d"),
+    )
+    # Going round a cell anticlockwise, a line begins where the height rises through the level and
+    # ends where it falls: the higher side is on its left.
+    return f"""{_density_places(CHOSEN)}, raster AS ({_density_rows(grid)}),
+    range_ AS (SELECT min(density) AS lo, max(density) AS hi FROM raster),
+    base AS (SELECT lo, hi, (hi - lo) / 10 AS part, pow(10e0, floor(log10((hi - lo) / 10))) AS unit FROM range_ WHERE hi > lo),
+    step AS (SELECT lo, hi, unit * CASE
+        WHEN 10 * unit - part < 1.5e0 * (part - 5 * unit) THEN 10
+        WHEN 5 * unit - part < 2.75e0 * (part - 2 * unit) THEN 5
+        WHEN 2 * unit - part < 1.5e0 * (part - unit) THEN 2 ELSE 1 END AS step FROM base),
+    levels AS (
+      SELECT k - CAST(floor(lo / step + 1e-7) AS BIGINT) AS level_no, k * step AS level
+      FROM step, range(CAST(floor(lo / step + 1e-7) AS BIGINT), CAST(ceil(hi / step - 1e-7) AS BIGINT) + 1) AS r(k)),
+    corners AS ({corner}),
+    cells AS (
+      SELECT a.i, a.j, level_no, level, a.x AS a_x, a.y AS a_y, a.z AS a_z, b.x AS b_x, b.y AS b_y, b.z AS b_z,
+        c.x AS c_x, c.y AS c_y, c.z AS c_z, d.x AS d_x, d.y AS d_y, d.z AS d_z
+      FROM corners a JOIN corners b ON b.i = a.i + 1 AND b.j = a.j JOIN corners c ON c.i = a.i + 1 AND c.j = a.j + 1
+        JOIN corners d ON d.i = a.i AND d.j = a.j + 1, levels
+      WHERE level > least(a.z, b.z, c.z, d.z) AND level <= greatest(a.z, b.z, c.z, d.z)),
+    crossings AS (
+      SELECT i, j, level_no, level, a_z >= level AS a, b_z >= level AS b, c_z >= level AS c, d_z >= level AS d,
+        (a_z + b_z + c_z + d_z) / 4 >= level AS middle,
+        {bottom} AS s, {right} AS e, {top} AS n, {left} AS w
+      FROM cells),
+    segments AS (
+      SELECT level_no, level, unnest(CASE
+        WHEN a AND c AND NOT b AND NOT d THEN
+          CASE WHEN middle THEN [{{'p': s, 'q': e}}, {{'p': n, 'q': w}}] ELSE [{{'p': s, 'q': w}}, {{'p': n, 'q': e}}] END
+        WHEN b AND d AND NOT a AND NOT c THEN
+          CASE WHEN middle THEN [{{'p': e, 'q': n}}, {{'p': w, 'q': s}}] ELSE [{{'p': e, 'q': s}}, {{'p': w, 'q': n}}] END
+        ELSE [{{'p': CASE WHEN a AND NOT b THEN s WHEN b AND NOT c THEN e WHEN c AND NOT d THEN n ELSE w END,
+               'q': CASE WHEN b AND NOT a THEN s WHEN c AND NOT b THEN e WHEN d AND NOT c THEN n ELSE w END}}] END) AS g
+      FROM crossings)"""
+
+
+def _segments() -> str:
+    return _contour_parts() + """
+    SELECT CAST(level_no AS INTEGER) AS level_no, round(level, 9) AS level, round(g.p.x, 9) AS from_longitude,
+      round(g.p.y, 9) AS from_latitude, round(g.q.x, 9) AS to_longitude, round(g.q.y, 9) AS to_latitude FROM segments"""
+
+
+def _contours() -> str:
+    """Lines walked vertex by vertex from their first one: where none comes before, or the smallest."""
+    return _contour_parts() + """,
+    links AS (SELECT level_no, level, g.p.e AS v, g.q.e AS w, g.p.x AS x, g.p.y AS y FROM segments),
+    ends AS (
+      SELECT level_no, any_value(level) AS level, g.q.e AS v, any_value(g.q.x) AS x, any_value(g.q.y) AS y FROM segments
+      WHERE (level_no, g.q.e) NOT IN (SELECT (level_no, v) FROM links) GROUP BY level_no, g.q.e),
+    vertices AS (SELECT level_no, level, v, w, x, y FROM links UNION ALL SELECT level_no, level, v, NULL, x, y FROM ends),
+    heads AS (SELECT level_no, v FROM vertices WHERE (level_no, v) NOT IN (SELECT (level_no, w) FROM links)),
+    walk AS (
+      WITH RECURSIVE walk AS (
+        SELECT level_no, v AS head, v, 1 AS place FROM heads
+        UNION ALL
+        SELECT walk.level_no, head, w, place + 1 FROM walk JOIN links ON links.level_no = walk.level_no AND links.v = walk.v)
+      SELECT * FROM walk),
+    loops AS (
+      WITH RECURSIVE loops AS (
+        SELECT level_no, v AS head, v, 1 AS place FROM links WHERE (level_no, v) NOT IN (SELECT (level_no, v) FROM walk)
+        UNION ALL
+        SELECT loops.level_no, head, w, place + 1 FROM loops JOIN links ON links.level_no = loops.level_no AND links.v = loops.v
+        WHERE w >= head AND (place = 1 OR loops.v <> head))
+      SELECT * FROM loops),
+    lines AS (
+      SELECT *, FALSE AS closed FROM walk
+      UNION ALL
+      SELECT *, TRUE FROM loops WHERE (level_no, head) IN (SELECT (level_no, head) FROM loops WHERE place > 1 AND v = head)),
+    rings AS (
+      SELECT level_no, head, row_number() OVER (PARTITION BY level_no ORDER BY first, final) AS ring
+      FROM (SELECT level_no, head, min(v) AS first, arg_max(v, place) AS final FROM lines GROUP BY level_no, head))
+    SELECT round(level, 9) AS level, CAST(ring AS INTEGER) AS ring, closed, CAST(place AS INTEGER) AS vertex_no,
+      round(x, 9) AS longitude, round(y, 9) AS latitude
+    FROM lines JOIN rings USING (level_no, head) JOIN vertices USING (level_no, v)"""
+
+
 def _localized(lang: str) -> str:
     pairs = dict(rules.label_pairs(SOURCE))
     text = "label"
@@ -367,6 +474,8 @@ def oracle_sql() -> dict[str, str]:
         ),
         "hotspot_density": _density(CHOSEN),
         "hotspot_density_all": _density("TRUE"),
+        "hotspot_segments": _segments(),
+        "hotspot_contours": _contours(),
         "polygon_vertices": _vertices(),
         "tables_roundtrip": _roundtrip(),
         "localities_from_csv": "SELECT * FROM localites",
@@ -386,4 +495,14 @@ def oracle_sql() -> dict[str, str]:
         named[f"cumulative_month_{measure}"] = _cumulative(measure, by_week=False)
         named[f"cumulative_week_{measure}"] = _cumulative(measure, by_week=True)
         named[f"by_place_{measure}"] = _by_place(measure)
-    return {name: PREFIX + body for name, body in named.items()}
+    rough = {
+        "rough_victims": "SELECT * FROM victimes",
+        "rough_victims_paired": "SELECT * FROM victims_paired",
+        "rough_victims_joined": "SELECT * FROM victims_paired",
+        "rough_victims_long": "SELECT * FROM victims_paired",
+        "rough_severity_class": _severity_class("en"),
+        "rough_line_places": _by_place("dead", "incidents_line"),
+    }
+    return {name: _prefix() + body for name, body in named.items()} | {
+        name: _prefix(rough=True) + body for name, body in rough.items()
+    }
