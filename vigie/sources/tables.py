@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigie import rules
@@ -93,8 +94,16 @@ def read_tables(
     """Prepared tables by name, checked against their declared columns."""
     names = list(PREPARED) if names is None else names
     return {
-        name: conform(
-            spark.read.parquet(f"{path.rstrip('/')}/{name}"), PREPARED[name], keep_extra=True
-        )
+        name: conform(_table(spark, f"{path.rstrip('/')}/{name}", name), PREPARED[name], keep_extra=True)
         for name in names
     }
+
+
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A stored table; one laid out by year that has no rows has no files, only its declared columns."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return spark.read.schema(PREPARED[name]).parquet(path)
