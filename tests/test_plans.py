@@ -2,9 +2,10 @@
 
 import contextlib
 import io
+from functools import reduce
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from vigie.operators import places, prepare, trends, victims
 from vigie.plans import catalog, inputs
@@ -13,7 +14,9 @@ from vigie.session import SETTINGS, cut_lineage
 
 SF_DIR = "/root/testdata/sf0.001"
 # These write tables or store rows as they are built.
-EAGER = {"tables_roundtrip", "hotspot_segments", "hotspot_contours"}
+EAGER = {
+    "tables_roundtrip", "hotspot_segments", "hotspot_contours", "point_incidents_bucketed", "line_incidents_bucketed",
+}
 # The density kernel is a matrix product in Python.
 KERNEL = {"hotspot_density", "hotspot_density_all"}
 
@@ -184,6 +187,29 @@ def test_pairing_reads_the_lines_once(spark):
     assert text.count("lineitem.parquet") == 1
 
 
+@pytest.mark.parametrize("name", ["monthly_all_dimensions", "monthly_all_dimensions_rollup", "running_all_splits"])
+def test_all_splits_read_the_facts_once(spark, name):
+    """One scan and one shuffle of counts for all variables; what follows sees counts per month."""
+    text = plan(catalog.queries()[name](spark, SF_DIR))
+    assert text.count("orders.parquet") == 1
+    lines = text.splitlines()
+    scan = next(i for i, line in enumerate(lines) if "orders.parquet" in line)
+    first = max(i for i, line in enumerate(lines[:scan]) if "partial_count" in line)
+    # Nothing multiplies the facts before they are counted.
+    assert not any("Expand" in line or "Generate" in line for line in lines[first:scan])
+
+
+def test_all_splits_equal_the_single_ones(incidents):
+    for rollup in (False, True):
+        single = [trends.monthly_by_dimension(incidents, name, rollup) for name in trends.VARIABLES]
+        both = trends.monthly_all_dimensions(incidents, rollup)
+        union = reduce(DataFrame.unionByName, single)
+        assert both.exceptAll(union).isEmpty() and both.count() == union.count()
+    single = [trends.running_counts(incidents, c, s) for c in trends.CRITERIA for s in trends.STATISTICS]
+    union, both = reduce(DataFrame.unionByName, single), trends.running_all(incidents)
+    assert both.exceptAll(union).isEmpty() and both.count() == union.count()
+
+
 def test_partial_sums_come_before_the_shuffle(spark):
     for name in ("by_place_dead", "monthly_type", "cumulative_week_injured"):
         assert "partial_" in plan(catalog.queries()[name](spark, SF_DIR))

@@ -75,27 +75,18 @@ def _attach_places(
     return apply_place_overrides(joined.drop("_place_id"), overrides)
 
 
-def locate_points(
-    incidents: DataFrame,
-    localites: DataFrame,
-    overrides: Sequence[PlaceOverride] = rules.PLACE_OVERRIDES,
-) -> DataFrame:
-    """Incidents with a named place, with that place's attributes."""
-    rows = (
+def point_rows(incidents: DataFrame) -> DataFrame:
+    """Incidents with a named place, with its id, before the places are attached."""
+    return (
         incidents.filter(F.col("annee").isNotNull() & F.col("point").isNotNull())
         .drop(*LINE_COLUMNS)
         .withColumn("point_id", to_number(F.col("point_id")))
         .withColumnRenamed("point_id", "id")
     )
-    return _attach_places(rows, localites, overrides)
 
 
-def locate_lines(
-    incidents: DataFrame,
-    localites: DataFrame,
-    overrides: Sequence[PlaceOverride] = rules.PLACE_OVERRIDES,
-) -> DataFrame:
-    """Incidents between two places as two rows, departure and arrival.
+def line_rows(incidents: DataFrame) -> DataFrame:
+    """Incidents between two places as two rows, before the places are attached.
 
     Both ends come from one pass over the incidents. Only the departure must be named.
     """
@@ -108,11 +99,28 @@ def locate_lines(
     )
     dropped = LINE_COLUMNS + POINT_COLUMNS
     kept = [name for name in incidents.columns if name not in dropped]
-    rows = (
+    return (
         incidents.filter(F.col("annee").isNotNull() & F.col("depart").isNotNull())
         .select(*kept, F.inline(ends))
     )
-    return _attach_places(rows, localites, overrides)
+
+
+def locate_points(
+    incidents: DataFrame,
+    localites: DataFrame,
+    overrides: Sequence[PlaceOverride] = rules.PLACE_OVERRIDES,
+) -> DataFrame:
+    """Incidents with a named place, with that place's attributes."""
+    return _attach_places(point_rows(incidents), localites, overrides)
+
+
+def locate_lines(
+    incidents: DataFrame,
+    localites: DataFrame,
+    overrides: Sequence[PlaceOverride] = rules.PLACE_OVERRIDES,
+) -> DataFrame:
+    """Incidents between two places as two rows, departure and arrival, with their attributes."""
+    return _attach_places(line_rows(incidents), localites, overrides)
 
 
 def condense_points(incidents: DataFrame, by_severity: bool = False) -> DataFrame:

@@ -79,6 +79,53 @@ def monthly_by_dimension(
     return display_category(rows)
 
 
+def monthly_all_dimensions(incidents: DataFrame, rollup: bool = False) -> DataFrame:
+    """The rows of ``monthly_by_dimension`` for every variable, from one pass over the incidents.
+
+    The incidents are counted per month and combination of all classes, in one shuffle. What the
+    variables are split from, and with ``rollup`` grouped by, are these few counts.
+    """
+    counted = _counted(incidents, VARIABLES).withColumn("date", _month())
+    if rollup:
+        sets = [("date", variable) for variable in VARIABLES]
+        summed = counted.groupingSets(sets, "date", *VARIABLES).agg(
+            F.sum("incidents").alias("incidents"), *[F.grouping(name).alias(f"_{name}") for name in VARIABLES])
+        variable, category = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for name in VARIABLES:
+            variable = F.when(F.col(f"_{name}") == 0, name).otherwise(variable)
+            category = F.when(F.col(f"_{name}") == 0, F.col(name)).otherwise(category)
+        rows = summed.select("date", "incidents", variable.alias("variable"), category.alias("category"))
+    else:
+        splits = F.array(*[
+            F.struct(F.lit(name).alias("variable"), F.col(name).alias("category")) for name in VARIABLES
+        ])
+        rows = counted.select("date", "incidents", F.inline(splits))
+    return display_category(rows)
+
+
+def running_all(incidents: DataFrame) -> DataFrame:
+    """The rows of ``running_counts`` for every criterion and statistic, from one pass over the incidents.
+
+    Both running sums pass over the same few counts; each count then gives a row per statistic.
+    """
+    splits = F.array(*[
+        F.struct(F.lit(name).alias("criterion"), F.col(name).alias("category")) for name in CRITERIA
+    ])
+    counted = _counted(incidents, CRITERIA).withColumn("date", _month())
+    rows = display_category(
+        counted.select("year", "month", "date", "location", "type", "incidents", F.inline(splits)))
+    order = ("month", "location", "type")
+    in_year = W.partitionBy("criterion", "category", "year").orderBy(*order).rowsBetween(*_UP_TO_HERE)
+    overall = W.partitionBy("criterion", "category").orderBy("year", *order).rowsBetween(*_UP_TO_HERE)
+    values = (F.col("incidents"), F.sum("incidents").over(in_year), F.sum("incidents").over(overall))
+    named = rows.withColumns({f"_{name}": value for name, value in zip(STATISTICS, values)})
+    statistics = F.array(*[
+        F.struct(F.lit(name).alias("variable"), F.col(f"_{name}").alias("nombre")) for name in STATISTICS
+    ])
+    return named.select(
+        "year", "month", "date", "criterion", "category", "category_order", F.inline(statistics))
+
+
 def running_counts(incidents: DataFrame, criterion: str, statistic: str) -> DataFrame:
     """Per month: simple count, running count in the year, or running count overall.
 

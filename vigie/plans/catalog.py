@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vigie import rules
 from vigie.operators import (
-    classify, contours, density, geometry, labels, places, prepare, trends, victims,
+    classify, contours, density, geometry, labels, places, prepare, rejects, trends, victims,
 )
 from vigie.plans import inputs
 from vigie.plans.batch import publish_folder
 from vigie.session import fresh_folder, stored
-from vigie.sources import tables
+from vigie.sources import layout, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -62,6 +62,30 @@ def line_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.locate_lines(inputs.incidents(spark, sf_dir), _stored_localites(spark, sf_dir))
 
 
+def _bucketed(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Located through tables that are laid out by place."""
+    path = fresh_folder(spark, "by_place")
+    name = path.rpartition("/")[2].replace("-", "_")
+    layout.store_by_place(rows, inputs.localites(spark, sf_dir), name, path, bucket_rows=50_000)
+    return layout.locate_stored(spark, name)
+
+
+def point_incidents_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed(spark, sf_dir, prepare.point_rows(inputs.incidents(spark, sf_dir)))
+
+
+def line_incidents_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bucketed(spark, sf_dir, prepare.line_rows(inputs.incidents(spark, sf_dir)))
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From lines of text, some of them too wide."""
+    lines, names = inputs.incident_lines(spark, sf_dir)
+    path = fresh_folder(spark, "lines")
+    lines.write.text(path)
+    return rejects.rejected_rows(tables.read_incidents_raw(spark, path, "csv", names, rejects.CORRUPT))
+
+
 # --- victims -----------------------------------------------------------------
 def victims_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return victims.unpivot_victims(inputs.incidents(spark, sf_dir))
@@ -181,6 +205,14 @@ def running(spark: SparkSession, sf_dir: str, criterion: str, statistic: str) ->
     return trends.running_counts(rows, criterion, statistic)
 
 
+def monthly_all(spark: SparkSession, sf_dir: str, rollup: bool = False) -> DataFrame:
+    return trends.monthly_all_dimensions(inputs.incidents(spark, sf_dir), rollup)
+
+
+def running_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trends.running_all(inputs.incidents(spark, sf_dir, casualties=False))
+
+
 def cumulative_month(spark: SparkSession, sf_dir: str, measure: str) -> DataFrame:
     rows = inputs.incidents(spark, sf_dir, _needs_casualties(measure))
     return trends.cumulative_by_month(rows, measure)
@@ -268,6 +300,11 @@ def hotspot_contours(spark: SparkSession, sf_dir: str, grid: int = 100) -> DataF
     return found.withColumns({name: F.round(name, 9) for name in ("level", "longitude", "latitude")})
 
 
+def boundary_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From outline texts with holes and several parts."""
+    return geometry.boundary_vertices(inputs.outline_texts(spark, sf_dir))
+
+
 def polygon_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.polygon_vertices(*inputs.outlines(spark, sf_dir))
 
@@ -394,6 +431,13 @@ def queries() -> dict[str, Query]:
         "hotspot_segments": hotspot_segments,
         "hotspot_contours": hotspot_contours,
         "polygon_vertices": polygon_vertices,
+        "boundary_vertices": boundary_vertices,
+        "point_incidents_bucketed": point_incidents_bucketed,
+        "line_incidents_bucketed": line_incidents_bucketed,
+        "rejected_rows": rejected_rows,
+        "monthly_all_dimensions": monthly_all,
+        "monthly_all_dimensions_rollup": partial(monthly_all, rollup=True),
+        "running_all_splits": running_all,
         "tables_roundtrip": tables_roundtrip,
         "localities_from_csv": localities_from_csv,
         "boundaries_from_csv": boundaries_from_csv,

@@ -180,6 +180,22 @@ def incidents_raw(
     return orders.drop("o_orderkey")
 
 
+# Lines of the text file that have a cell too many, by the order's number.
+WIDE_LINES = "% 37 = 5"
+
+
+def incident_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The rough list as lines of text, some of a wrong width, and the names of its columns."""
+    columns = ORDER_SQL | ROUGH_SQL
+    orders = table(spark, sf_dir, "orders").selectExpr("o_orderkey", *_as(columns))
+    victims = _casualties(spark, sf_dir, rough=True)
+    rows = orders.join(victims, orders.o_orderkey == victims.l_orderkey, "left").drop("l_orderkey")
+    names = [name for name in rows.columns if name != "o_orderkey"]
+    line = F.to_csv(F.struct(*names))
+    wide = F.expr(f"o_orderkey {WIDE_LINES}")
+    return rows.select(F.when(wide, F.concat(line, F.lit(",one more"))).otherwise(line).alias("value")), names
+
+
 def localites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare_localities(localites_raw(spark, sf_dir))
 
@@ -219,6 +235,36 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Outlines around a place, by the customer's number: parts of rings of corners, in quarters of a degree.
+_OUTER, _HOLE, _ISLE = ((0, 0), (8, 0), (8, 8), (0, 8), (0, 0)), ((2, 2), (2, 4), (4, 4), (2, 2)), ((12, 0), (14, 0), (14, 2), (12, 0))
+OUTLINES = {0: ((_OUTER,),), 1: ((_OUTER, _HOLE),), 2: ((_OUTER, _HOLE), (_ISLE,)), 3: ((_ISLE,), (_OUTER, _HOLE, _HOLE))}
+# Further numbers have an empty outline, none, one of another kind and one that cannot be read.
+OTHER_OUTLINES = {4: "'POLYGON EMPTY'", 5: "NULL", 6: "'LINESTRING(0 0, 1 1)'", 7: "'POLYGON((0 0, x 1, 1 1, 0 0))'"}
+
+
+def outline_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An outline text around each place, as boundaries of level 3: with holes, of several parts, or odd."""
+    x, y = LOCALITE_SQL["longitude"], LOCALITE_SQL["latitude"]
+
+    def corner(dx: int, dy: int) -> str:
+        return f"concat_ws(' ', CAST({x} + {dx} * 0.25e0 AS STRING), CAST({y} + {dy} * 0.25e0 AS STRING))"
+
+    def ring(corners) -> str:
+        return "concat('(', concat_ws(', ', " + ", ".join(corner(*c) for c in corners) + "), ')')"
+
+    def part(rings) -> str:
+        return "concat('(', concat_ws(',', " + ", ".join(map(ring, rings)) + "), ')')"
+
+    whens = []
+    for number, parts in OUTLINES.items():
+        text = f"concat('POLYGON', {part(parts[0])})" if len(parts) == 1 else (
+            "concat('MULTIPOLYGON (', concat_ws(' , ', " + ", ".join(map(part, parts)) + "), ')')")
+        whens.append(f"WHEN {number} THEN {text}")
+    whens += [f"WHEN {number} THEN {text}" for number, text in OTHER_OUTLINES.items()]
+    return table(spark, sf_dir, "customer").selectExpr(
+        "3 AS level", "c_name AS nom", f"CASE c_custkey % {len(whens)} {' '.join(whens)} END AS wkt")
+
+
 def outlines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A square ring around each place, numbered from 0, and attributes from 1."""
     customers = table(spark, sf_dir, "customer")

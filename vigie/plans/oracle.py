@@ -120,10 +120,11 @@ def _prefix(rough: bool = False) -> str:
     {inputs.pick('min(l_partkey)', inputs.STATUSES)} AS stat
   FROM lineitem GROUP BY l_orderkey, (lineitem.l_linenumber - 1) % 6 + 1),
 wide AS (SELECT l_orderkey, {_slot_columns('cnt_text' if rough else 'cnt')} FROM slots GROUP BY l_orderkey),
-incidents_raw AS (
-  SELECT {_mapped(orders)},
+incidents_numbered AS (
+  SELECT o_orderkey AS order_number, {_mapped(orders)},
     {VICTIM_COLUMNS.replace('nbr_morts', dead + ' AS nbr_morts')}
   FROM orders LEFT JOIN wide ON o_orderkey = l_orderkey),
+incidents_raw AS (SELECT * EXCLUDE (order_number) FROM incidents_numbered),
 localites_raw AS (
   SELECT {_mapped(inputs.LOCALITE_SQL)}, c_custkey
   FROM customer JOIN nation ON c_nationkey = n_nationkey),
@@ -425,6 +426,48 @@ def _vertices() -> str:
     )
 
 
+def _boundary_vertices() -> str:
+    """Every corner of every ring written out."""
+    corners = [
+        (number, p + 1, r + 1, str(r > 0).upper(), i + 1, dx, dy)
+        for number, parts in inputs.OUTLINES.items()
+        for p, rings in enumerate(parts)
+        for r, points in enumerate(rings)
+        for i, (dx, dy) in enumerate(points)
+    ]
+    values = ", ".join(str(corner).replace("'", "") for corner in corners)
+    kinds = len(inputs.OUTLINES) + len(inputs.OTHER_OUTLINES)
+    return f"""SELECT 3 AS level, featureNam AS nom, CAST(part AS INTEGER) AS part, CAST(ring AS INTEGER) AS ring, hole,
+      CAST(position AS INTEGER) AS position, longitude + dx / 4e0 AS longitude, latitude + dy / 4e0 AS latitude
+    FROM localites_raw JOIN (VALUES {values}) AS corners(number, part, ring, hole, position, dx, dy)
+      ON c_custkey % {kinds} = number"""
+
+
+def _rejected() -> str:
+    """Each row under the first reason that drops it, and the kept ones by their unreadable cells."""
+    counts = " OR ".join(f"count_{k}_{n} = {_quote(inputs.UNREADABLE[1])}" for k in VICTIM_KINDS for n in VICTIM_SLOTS)
+    return f""", judged AS (
+      SELECT *, CASE WHEN order_number {inputs.WIDE_LINES} THEN 'corrupt row'
+        WHEN origin IS DISTINCT FROM 'webpage' THEN 'other origin'
+        WHEN jour IS NULL THEN 'date part missing'
+        WHEN TRY_CAST(concat(CAST(CAST(annee AS INTEGER) AS VARCHAR), '-', CAST(CAST(mois AS INTEGER) AS VARCHAR), '-',
+          CAST(CAST(jour AS INTEGER) AS VARCHAR)) AS DATE) IS NULL THEN 'no such date' END AS reason
+      FROM incidents_numbered)
+    SELECT reason, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY reason
+    UNION ALL SELECT 'unreadable point_id', count(*) FROM judged WHERE reason IS NULL AND point_id = 'ND'
+    UNION ALL SELECT 'unreadable arrivee_id', 0
+    UNION ALL SELECT 'unreadable count', count(*) FROM judged WHERE reason IS NULL AND ({counts})"""
+
+
+def _all_monthly(rollup: bool) -> str:
+    return " UNION ALL ".join(f"({_monthly(variable, rollup)})" for variable in VARIABLES)
+
+
+def _all_running() -> str:
+    return " UNION ALL ".join(
+        f"({_running(criterion, statistic)})" for criterion in CRITERIA for statistic in STATISTICS)
+
+
 def _severity_class(lang: str) -> str:
     return f"""SELECT no_liste, nbr_morts, nbr_blesses, {_severity(lang)} AS severity,
       sid AS severity_order
@@ -477,6 +520,12 @@ def oracle_sql() -> dict[str, str]:
         "hotspot_segments": _segments(),
         "hotspot_contours": _contours(),
         "polygon_vertices": _vertices(),
+        "boundary_vertices": _boundary_vertices(),
+        "point_incidents_bucketed": "SELECT * FROM incidents_point",
+        "line_incidents_bucketed": "SELECT * FROM incidents_line",
+        "monthly_all_dimensions": _all_monthly(rollup=False),
+        "monthly_all_dimensions_rollup": _all_monthly(rollup=True),
+        "running_all_splits": _all_running(),
         "tables_roundtrip": _roundtrip(),
         "localities_from_csv": "SELECT * FROM localites",
         "boundaries_from_csv": "SELECT * FROM boundaries",
@@ -502,6 +551,7 @@ def oracle_sql() -> dict[str, str]:
         "rough_victims_long": "SELECT * FROM victims_paired",
         "rough_severity_class": _severity_class("en"),
         "rough_line_places": _by_place("dead", "incidents_line"),
+        "rejected_rows": _rejected(),
     }
     return {name: _prefix() + body for name, body in named.items()} | {
         name: _prefix(rough=True) + body for name, body in rough.items()

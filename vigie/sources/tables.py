@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vigie import rules
 from vigie.schemas import (
@@ -20,23 +20,46 @@ from vigie.schemas import (
 )
 
 
-def _scan(spark: SparkSession, path: str, format: str) -> DataFrame:
+def _scan(
+    spark: SparkSession, path: str, format: str, columns: Sequence[str] | None = None, corrupt: str | None = None
+) -> DataFrame:
     """CSV columns are read as text and typed by name; nothing is inferred from values.
 
-    As in a workbook, blanks around a cell do not count and an empty cell is missing.
+    As in a workbook, blanks around a cell do not count and an empty cell is missing. Without
+    ``columns`` the first line of each file names them. ``corrupt`` names a column that holds the
+    whole line where it has too few or too many cells.
     """
     reader = spark.read.format(format)
     if format == "csv":
         reader = reader.options(
-            header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
+            header=columns is None, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True
         )
+        if columns is not None or corrupt is not None:
+            names = list(columns) if columns is not None else reader.load(path).columns
+            fields = [T.StructField(name, T.StringType()) for name in names]
+            if corrupt is not None:
+                fields.append(T.StructField(corrupt, T.StringType()))
+                # The width of a line is only seen when all its cells are read.
+                reader = reader.options(
+                    mode="PERMISSIVE", columnNameOfCorruptRecord=corrupt, columnPruning=False)
+            reader = reader.schema(T.StructType(fields))
     return reader.load(path)
 
 
-def read_incidents_raw(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """The raw incident list; further columns are kept."""
+def read_incidents_raw(
+    spark: SparkSession,
+    path: str,
+    format: str = "parquet",
+    columns: Sequence[str] | None = None,
+    corrupt: str | None = None,
+) -> DataFrame:
+    """The raw incident list; further columns are kept.
+
+    For CSV files without a first line of names ``columns`` gives them, and ``corrupt`` a column for
+    lines of a wrong width (``rejects.CORRUPT``).
+    """
     return conform(
-        _scan(spark, path, format),
+        _scan(spark, path, format, columns, corrupt),
         INCIDENTS_RAW,
         untyped=INCIDENTS_RAW_UNTYPED,
         keep_extra=True,
