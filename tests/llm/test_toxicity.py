@@ -95,3 +95,54 @@ def test_rare_insults_are_learned(spark):
     assert found[3][0] > 0.5, found  # the inserted letter: below the threshold of 0.7, see the README
     clean = docs.filter("toxic = 0").limit(500).select(toxicity.score_of("text", model).alias("score"))
     assert clean.filter("score >= 0.7").count() < 10
+
+
+def test_few_labels_teach_the_words_they_share():
+    """Six toxic documents and forty clean ones: what several toxic ones have, and no clean one, counts."""
+    rng = np.random.default_rng(4)
+    fresh = lambda n: ["{" + "".join(rng.choice(list("aeioulmnrstdpk"), 7)) + "{" for _ in range(n)]
+    usual = fresh(60)
+    bags = [tuple({*rng.choice(usual, 12), *fresh(3)}) for _ in range(46)]
+    bags = [(*bag, "{scumbag{") if i < 4 else (*bag, "{wretch{") if i < 7 else bag for i, bag in enumerate(bags)]
+    labels = np.array([1] * 6 + [0] * 40)
+    bags[6] = tuple(word for word in bags[6] if word != "{wretch{")
+    model = toxicity.train(bags, labels)
+    scores = toxicity.WordScores(model)
+    scores.learn({"scumbag", "s.c.u.m.b.a.g", *(word.strip("{") for word in usual)})
+    chance = lambda word: float(model.probability(np.array([scores.known[word]]))[0])
+    assert chance("scumbag") >= 0.7 and chance("s.c.u.m.b.a.g") >= 0.7
+    assert max(chance(word.strip("{")) for word in usual) < 0.7
+    # Without a word that two toxic documents share there is nothing to go by.
+    alone = toxicity.train([(*bag, f"{{only{'abcdefghij'[i % 10]}{i // 10}{{") for i, bag in enumerate(bags[7:])], np.array([1] * 3 + [0] * 36))
+    assert len(alone.numbers) == 0 or float(alone.probability(np.array([alone.bias]))[0]) < 0.7
+
+
+def test_workers_need_no_package(tmp_path):
+    """What travels to the tasks works in a Python that cannot import the library."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from vigie.llm import divergence, hard_negatives, id_files
+
+    model = toxicity.train([("{idiot{", "{the{")] * 3 + [("{the{", "{house{")], np.array([1, 1, 1, 0]))
+
+    scored, encoder, lists, rows = toxicity.WordScores, id_files.Encoder, hard_negatives.ListIndex, divergence._term_rows
+    vocabulary = id_files.VOCABULARY
+
+    def work():
+        scores = scored(model)
+        scores.learn({"idiot", "the"})
+        with open(vocabulary) as file:
+            ids = list(encoder(file.read()).encode(["One two"]))
+        index = lists(np.ones((3, 8)), np.ones((1, 8)), np.array([8.0]))
+        return len(scores.known), len(ids[0]), len(index.reaching(0)[0]), callable(rows(2))
+
+    (tmp_path / "work").write_bytes(cloudpickle.dumps(work))
+    code = "import sys, pickle; print(pickle.load(open(sys.argv[1], 'rb'))()); assert 'vigie' not in sys.modules"
+    clean = {key: value for key, value in os.environ.items() if key != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code, str(tmp_path / "work")], capture_output=True, text=True, cwd=tmp_path, env=clean)
+    assert done.returncode == 0, done.stderr
+    assert "(2, 12, 3, True)" in done.stdout

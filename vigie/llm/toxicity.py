@@ -14,7 +14,6 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -29,8 +28,8 @@ LANDMARKS = 192
 INSULTS = 1500
 ROUNDS = 5
 SAMPLE_ROWS = 4000
-CACHE_WORDS = 300_000
-GROUP_WORDS = 100_000
+CACHE_WORDS = 200_000
+GROUP_WORDS = 50_000
 CELLS = 20_000
 THRESHOLD = 0.7
 
@@ -74,7 +73,6 @@ def _codes(words: list[str], length: int) -> np.ndarray:
     return np.asfortranarray(np.where(basic, points - 96, 28 + points % 4).astype(np.int32))
 
 
-@cache
 def _patterns(length: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all subsequences of a view of so many letters, and their weights.
 
@@ -85,7 +83,6 @@ def _patterns(length: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, weights / np.sqrt((weights * weights).sum())
 
 
-@cache
 def _unit(length: int) -> float:
     """What a plain weight is multiplied by in a view of so many letters."""
     rows, weights = _patterns(length)
@@ -159,6 +156,7 @@ class WordScores:
 
     def __init__(self, model: Model):
         self.dense, self.bias, self.known = model.table(), model.bias, {}
+        self.scales = {length: _unit(length) for length in range(ORDER, SPREAD + 1)}
 
     def make_room(self) -> None:
         """Forgets all words if there are too many: only between groups of texts."""
@@ -184,7 +182,7 @@ class WordScores:
         if length < ORDER:
             return np.full(len(words), self.bias)
         span = min(length, SPREAD)
-        scale = _unit(span)
+        scale = self.scales[span]
         codes = np.zeros((len(words), length + SPREAD - 1), np.int32, order="F")
         codes[:, :length] = _codes(words, length)
         # Sums over the subsequences that begin at each letter, by the letter they end at.
@@ -251,7 +249,8 @@ def train(bases: list[tuple[str, ...]], labels: np.ndarray, landmarks: int = LAN
 
     Words whose presence tells toxic from other documents start as positive instances; then the
     machine is fitted and the clean documents' highest words join the negatives, several times.
-    With one class only, or nothing that tells them apart, every text gets the toxic share.
+    With one class only, or no word of two toxic documents that tells them apart, every text gets the
+    toxic share.
     """
     # Copies of a text say no more than one.
     kept = sorted({(int(label), base) for base, label in zip(bases, labels)})
@@ -273,16 +272,28 @@ def train(bases: list[tuple[str, ...]], labels: np.ndarray, landmarks: int = LAN
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     needed = math.log(100.0 * (1 + len(stems_bad)))
 
-    def telling(count: int, clean: int) -> bool:
+    def gain(count: int, clean: int) -> float:
         inside = count / (count + clean)
-        gain = count * math.log(inside / share) + (clean * math.log((1 - inside) / (1 - share)) if clean else 0.0)
-        return inside > 0.9 and gain > needed
+        if inside <= 0.9:
+            return 0.0
+        return count * math.log(inside / share) + (clean * math.log((1 - inside) / (1 - share)) if clean else 0.0)
+
+    def telling(count: int, clean: int) -> bool:
+        return gain(count, clean) > needed
 
     stems = {stem for stem, count in stems_bad.items() if telling(count, stems_good[stem])}
     positive = Counter()
     for word, count in bad.items():
         if len(word) >= ORDER and (telling(count, good[word]) or good[word] == 0 and any(word[i:i + n] in stems for n in (4, 5) for i in range(len(word) - n + 1))):
             positive[word] = count
+    trust = 1.0
+    if not positive:
+        # Too few documents for that: the words with the most evidence there is, if more than one
+        # document has them, for as much as it is worth beside the bar.
+        found = {word: gain(count, good[word]) for word, count in bad.items() if count > 1 and len(word) >= ORDER}
+        most = max(found.values(), default=0.0)
+        positive.update({word: bad[word] for word, value in found.items() if value > 0 and value >= 0.9 * most})
+        trust = most / needed
     if not positive:
         return constant
     rng = np.random.default_rng(seed)
@@ -317,7 +328,7 @@ def train(bases: list[tuple[str, ...]], labels: np.ndarray, landmarks: int = LAN
         best = np.array([first + int(np.argmax(strength[first:end])) for first, end in zip(bounds, bounds[1:])])
         x = np.vstack([toxic_rows[best], clean_rows])
         y = np.concatenate([np.ones(len(best)), -np.ones(len(clean_rows))])
-        w, bias = _svm(x, y, np.where(y > 0, 40.0, 10.0))
+        w, bias = _svm(x, y, np.where(y > 0, 40.0 * trust, 10.0))
         strength = toxic_rows @ w
         weights = marks.values[:-1].astype(float) @ (whiten @ w)
         model = Model(marks.numbers, weights, float(bias), 1.0, 0.0)
