@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -46,21 +47,32 @@ SAMPLE_DOCS = 1_000
 SAMPLE_CHARS = 8_192
 # Tasks that read files, at most.
 READERS = 10_000
-# Chunks whose ids a task remembers, and characters of one at most.
-CHUNKS = 200_000
+# Chunks and pieces whose ids a task remembers, and characters of one at most.
+CHUNKS = 800_000
 CHUNK_CHARS = 40
 
 MAGIC = b"VIGIEID1"
 HEAD = "<8sI32s"
 TAIL = "<QQQ8s"
 ENTRY = np.dtype([("at", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("first", "<u8"), ("number", "<i8"), ("absent", "u1")])
-# --- fixed value: where a byte-level pre-tokenizer may be cut ------------------
+# --- fixed values: how a byte-level tokenizer splits text, and how it writes bytes -------------
 # A space goes with the word after it and with nothing before it, so no token crosses this place.
 CUT = re.compile(r" (?=\S)")
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# Bytes that are written as the character of their own number; the others follow from 256 on.
+PLAIN_BYTES = ((33, 126), (161, 172), (174, 255))
+# Characters whose classes all versions of the character tables agree on.
+SETTLED = re.compile("[\\x00-\u024f]*")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The character that stands for each byte that does not stand for itself."""
+    plain = {byte for first, last in PLAIN_BYTES for byte in range(first, last + 1)}
+    return dict(zip((byte for byte in range(256) if byte not in plain), range(256, 512)))
 
 
 def _cuttable(vocabulary: str) -> bool:
-    """Whether the tokenizer splits as ``CUT`` relies on, and changes nothing before it splits."""
+    """Whether the tokenizer splits as ``CUT`` and ``PIECES`` say, and changes nothing before it splits."""
     described = json.loads(vocabulary)
     split = described.get("pre_tokenizer") or {}
     return (
@@ -72,43 +84,68 @@ def _cuttable(vocabulary: str) -> bool:
 
 
 class Encoder:
-    """Ids of whole texts; the chunks between cuts, which mostly repeat, are encoded once."""
+    """Ids of whole texts; the chunks between cuts, which mostly repeat, are encoded once.
+
+    The library splits slowly, so chunks of settled characters are split here and their pieces given
+    to its model; all other chunks, and texts for other kinds of tokenizers, are encoded by it whole.
+    """
 
     def __init__(self, vocabulary: str, end: int | None = END_ID):
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.known = _cuttable(vocabulary), {}
+        self.cut, self.known, self.pieces = _cuttable(vocabulary), {}, {}
+        self.special = [token["content"] for token in json.loads(vocabulary).get("added_tokens", [])]
+        self.split, self.letters = regex.compile(PIECES).findall, _byte_letters()
+        self.space = chr(self.letters[ord(" ")])
         self.end = b"" if end is None else struct.pack("<I", end)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
+    def _piece(self, piece: str) -> bytes:
+        if piece[1:].isalpha() and piece.isascii():  # only the space stands for another character
+            written = piece.replace(" ", self.space)
+        else:
+            written = piece.encode().decode("latin-1").translate(self.letters)
+        tokens = self.tokenize(written)
+        self.pieces[piece] = found = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+        return found
+
+    def _learn(self, chunks: set[str]) -> None:
+        """Adds chunks, which follow a space each, to those known."""
+        self.tokenize = self.tokenizer.model.tokenize
+        known, pieces, settled, others = self.known, self.pieces, SETTLED.fullmatch, []
+        for chunk in chunks:
+            if len(chunk) > CHUNK_CHARS or not (chunk.isascii() or settled(chunk)) or any(map(chunk.__contains__, self.special)):
+                others.append(chunk)
+            elif chunk.isalpha():
+                known[chunk] = pieces.get(" " + chunk) or self._piece(" " + chunk)
+            else:
+                known[chunk] = b"".join([pieces.get(piece) or self._piece(piece) for piece in self.split(" " + chunk)])
+        known.update(zip(others, self._whole([" " + chunk for chunk in others])))
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian u32, with the end id."""
         for at in range(0, len(texts), 500):
             part = texts[at:at + 500]
             if not self.cut:
-                yield from (ids + self.end for ids in self._encode(part))
+                yield from (ids + self.end for ids in self._whole(part))
                 continue
-            if len(self.known) > CHUNKS:
-                self.known.clear()
-            chunks = [CUT.split(text) for text in part]
             # All but a text's first chunk begin with the space they were cut at.
-            spaced = {chunk for found in chunks for chunk in found[1:]}.difference(self.known)
-            short = [chunk for chunk in spaced if len(chunk) <= CHUNK_CHARS]
-            self.known.update(zip(short, self._encode([" " + chunk for chunk in short])))
-            long = [chunk for chunk in spaced if len(chunk) > CHUNK_CHARS]
-            extra = dict(zip(long, self._encode([" " + chunk for chunk in long])))
-            first = self._encode([found[0] for found in chunks])
-            known = self.known
-            for head, found in zip(first, chunks):
-                if extra:
-                    rest = [known[chunk] if chunk in known else extra[chunk] for chunk in found[1:]]
-                else:
-                    rest = [known[chunk] for chunk in found[1:]]
-                yield head + b"".join(rest) + self.end
+            chunks = [CUT.split(text) for text in part]
+            fresh = {chunk for found in chunks for chunk in found[1:]}.difference(self.known)
+            self._learn(fresh)
+            known = self.known.__getitem__
+            for head, found in zip(self._whole([found[0] for found in chunks]), chunks):
+                yield head + b"".join(map(known, found[1:])) + self.end
+            for chunk in fresh:
+                if len(chunk) > CHUNK_CHARS:
+                    del self.known[chunk]
+            if len(self.known) + len(self.pieces) > CHUNKS:
+                self.known.clear()
+                self.pieces.clear()
 
 
 def _single_threaded() -> None:
