@@ -61,7 +61,7 @@ def test_prefix_levels(spark, first_level):
         rows.append((" ".join(words).title(), rng.choice(["en", "fr", None]), rng.choice(["s1", "s2", "s3"])))
     docs = spark.createDataFrame(rows, "text STRING, lang STRING, source STRING")
     assert found_rows(divergence.audit(docs, min_docs=7, top=5, first_level=first_level)) == plain(rows, 7, 5)
-    kept = divergence.common_terms(divergence.term_rows(docs), 7, first_level).collect()
+    kept = divergence.common_terms(divergence.term_rows(docs, first_level=first_level), 7, first_level).collect()
     wanted = Counter((lang or "", term) for text, lang, _ in rows for term in set(TERM.findall(text.translate(LOWER))))
     assert sorted((r.lang, bytes(r.term).decode()) for r in kept) == sorted(key for key, n in wanted.items() if n >= 7)
 
@@ -110,3 +110,12 @@ def test_one_hot_group(spark):
     rows = [("the " + " ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=6)), "en", "hot" if i % 3 else f"s{i % 40}") for i in range(900)]
     docs = spark.createDataFrame(rows, "text STRING, lang STRING, source STRING").repartition(7)
     assert found_rows(divergence.audit(docs)) == plain(rows, 30, 50)
+
+
+def test_counts_handed_on_in_parts(spark, monkeypatch):
+    """A task that adds up few terms at a time gives the same sums."""
+    monkeypatch.setattr(divergence, "HELD_TERMS", 5)
+    rows = [(f"one two three {chr(97 + i % 9)}b", "en", f"s{i % 3}") for i in range(90)]
+    docs = spark.createDataFrame(rows, "text STRING, lang STRING, source STRING")
+    assert divergence.term_rows(docs).count() > 60
+    assert found_rows(divergence.audit(docs, min_docs=10)) == plain(rows, 10, 50)

@@ -7,6 +7,7 @@ long tail of rare terms is counted under few short prefixes and never shuffled b
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -24,61 +25,93 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 # Bytes of the first level's prefixes; each level doubles them.
 FIRST_LEVEL = 2
-# Term rows of one Arrow batch, about.
-BATCH_TERMS = 200_000
+# Counts of terms, and documents, that a task adds up before it hands them on; rows of one Arrow batch.
+HELD_TERMS = 1_200_000
+HELD_DOCS = 1_000_000
+BATCH_TERMS = 100_000
+# Documents are counted from this bit on, occurrences below it.
+DOCUMENT = 1 << 40
 # Sums of source pairs a task holds before it hands them on.
 HELD_PAIRS = 2_000_000
 # --- fixed values: what a term is, and the letters that change case -----------
 TERM = "[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
 CAPITALS = {capital: capital + 32 for capital in range(ord("A"), ord("Z") + 1)}
 
-TERM_ROWS = "lang string, source string, term binary, shared int, n bigint"
+TERM_ROWS = "lang string, source string, term binary, shared int, docs bigint, n bigint"
 
 
-def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _term_rows(first_level: int):
+    """Adds up, per group, ``shared`` and term, the documents and occurrences of some documents at a time."""
     find = re.compile(TERM).findall
-    names, terms, shared, counts = [], [], [], []
-
-    def batch() -> pa.RecordBatch:
-        sizes = [size for _, _, size in names]
-        owner = np.repeat(np.arange(len(names), dtype=np.int32), sizes)
-        text = lambda i: pa.DictionaryArray.from_arrays(pa.array(owner), pa.array([n[i] for n in names], pa.string())).cast(pa.string())
-        return pa.RecordBatch.from_pydict({
-            "lang": text(0), "source": text(1), "term": pa.array(terms, pa.binary()),
-            "shared": pa.array(shared, pa.int32()), "n": pa.array(counts, pa.int64()),
-        })
-
-    for rows in batches:
-        for lang, source, text in zip(*(column.to_pylist() for column in rows.columns)):
-            found = Counter(find((text or "").translate(CAPITALS)))
-            own = sorted((term.encode("utf-8", "surrogatepass"), n) for term, n in found.items())
-            before = b""
-            for term, n in own:
-                i, most = 0, min(len(before), len(term))
-                while i < most and before[i] == term[i]:
-                    i += 1
-                terms.append(term)
-                shared.append(i)
-                counts.append(n)
-                before = term
-            names.append((lang, source, len(own)))
-            if len(terms) > BATCH_TERMS:
-                yield batch()
-                names, terms, shared, counts = [], [], [], []
-    if terms:
-        yield batch()
-
-
-def term_rows(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """One row per document and distinct term: the term's bytes, its count ``n``, and ``shared``.
-
-    ``shared`` is the number of leading bytes the term has in common with the document's term
-    before it in byte order. A document's first term under any prefix of L bytes is the one that
-    shares fewer than L, so counting those rows counts distinct documents, without their ids.
+    Held = dict[tuple[str, str], dict[int, dict[str, int]]]
+
+    def batches_of(held: Held) -> Iterator[pa.RecordBatch]:
+        for (lang, source), by_shared in held.items():
+            for shared, counts in by_shared.items():
+                terms, numbers = list(counts), np.array(list(counts.values()), np.int64)
+                for at in range(0, len(terms), BATCH_TERMS):
+                    part, values = terms[at:at + BATCH_TERMS], numbers[at:at + BATCH_TERMS]
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": pa.array([lang] * len(part), pa.string()), "source": pa.array([source] * len(part), pa.string()),
+                        "term": pa.array(part, pa.string()).cast(pa.binary()),
+                        "shared": pa.array(np.full(len(part), shared, np.int32)),
+                        "docs": pa.array(values // DOCUMENT), "n": pa.array(values % DOCUMENT),
+                    })
+
+    def shared_bytes(one: str, other: str) -> int:
+        """The highest level at which two terms have a common prefix, of bytes."""
+        if not (one.isascii() and other.isascii()):
+            one, other = one.encode("utf-8", "surrogatepass"), other.encode("utf-8", "surrogatepass")
+        shared, level = 0, first_level
+        while one[:level] == other[:level] and len(one) >= level:
+            shared, level = level, 2 * level
+        return shared
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: Held = {}
+        size = docs = 0
+        # Many small values and no cycles to look for.
+        gc.disable()
+        try:
+            for batch in batches:
+                for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
+                    found = Counter(find((text or "").translate(CAPITALS)))
+                    by_shared = held.setdefault((lang, source), {})
+                    size -= sum(map(len, by_shared.values()))
+                    before = ""
+                    # The order of code points is that of their UTF-8 bytes.
+                    for term in sorted(found):
+                        shared = shared_bytes(term, before) if term[:1] == before[:1] or not term.isascii() else 0
+                        before = term
+                        counts = by_shared.get(shared)
+                        if counts is None:
+                            counts = by_shared[shared] = {}
+                        counts[term] = counts.get(term, 0) + DOCUMENT + found[term]
+                    size += sum(map(len, by_shared.values()))
+                    docs += 1
+                    if size > HELD_TERMS or docs == HELD_DOCS:
+                        yield from batches_of(held)
+                        held, size, docs = {}, 0, 0
+            yield from batches_of(held)
+        finally:
+            gc.enable()
+
+    return rows
+
+
+def term_rows(
+    docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", first_level: int = FIRST_LEVEL
+) -> DataFrame:
+    """Terms of documents in counts: rows of group, term (its bytes) and ``shared``, added up per task.
+
+    ``shared`` is how many leading bytes a term has in common with the document's term before it in byte
+    order, cut to a level (0, ``first_level``, twice that, ...). A document's first term under any prefix
+    of L bytes is the one that shares fewer than L, so adding up the ``docs`` of those rows counts
+    distinct documents, without their ids. ``n`` adds up the occurrences.
     """
     blank = lambda name: F.coalesce(F.col(name), F.lit(""))
     return docs.select(blank(lang).alias("lang"), blank(source).alias("source"), F.col(text).alias("text")).mapInArrow(
-        _term_rows, TERM_ROWS)
+        _term_rows(first_level), TERM_ROWS)
 
 
 def _leading(size: int) -> Column:
@@ -94,17 +127,17 @@ def common_terms(rows: DataFrame, min_docs: int = MIN_DOCS, first_level: int = F
     shuffles beyond it. Levels end when no prefix survives: their number grows with the logarithm of
     the longest common term.
     """
+    added = lambda rows: F.sum(F.when(rows, F.col("docs")).otherwise(0))
     kept, below, level = [], None, first_level
     while True:
-        going = rows.select("lang", "term", "shared")
+        going = rows.select("lang", "term", "shared", "docs")
         if below is not None:
             going = going.filter(F.length("term") > level // 2).join(
                 below, (F.col("lang") == F.col("_lang")) & (_leading(level // 2) == F.col("_prefix")), "left_semi")
         ends = F.length("term") <= level
         counted = stored(
             going.groupBy("lang", _leading(level).alias("prefix"))
-            .agg(F.count_if(F.col("shared") < level).alias("docs"), F.count_if(ends).alias("whole"),
-                 F.count_if(~ends).alias("longer"))
+            .agg(added(F.col("shared") < level).alias("docs"), added(ends).alias("whole"), added(~ends).alias("longer"))
             .filter(F.col("docs") >= min_docs),
             "prefixes",
         )
@@ -130,13 +163,17 @@ class Shares:
     """The kept terms with their counts per group and per language."""
 
     def __init__(self, docs: DataFrame, text: str, lang: str, source: str, min_docs: int, first_level: int):
-        rows = stored(term_rows(docs, text, lang, source), "terms")
+        rows = stored(term_rows(docs, text, lang, source, first_level), "terms")
         self.terms = stored(common_terms(rows, min_docs, first_level), "kept")
         kept = self.terms.select(F.col("lang").alias("_lang"), F.col("term").alias("_term"))
         same = (F.col("lang") == F.col("_lang")) & (F.col("term") == F.col("_term"))
         #: Occurrences of each kept term in the groups that have it.
         self.counts = stored(
-            rows.join(kept, same, "left_semi").groupBy("lang", "source", "term").agg(F.sum("n").alias("count")), "counts")
+            # Terms meet by hash and stay where they are for the sums; no side is sorted or sent everywhere.
+            rows.join(kept.hint("shuffle_hash"), same, "left_semi").groupBy("lang", "source", "term").agg(
+                F.sum("n").alias("count")),
+            "counts",
+        )
         blank = lambda name: F.coalesce(F.col(name), F.lit(""))
         groups = docs.select(blank(lang).alias("lang"), blank(source).alias("source")).distinct()
         totals = self.counts.groupBy("lang", "source").agg(F.sum("count").alias("total"))
