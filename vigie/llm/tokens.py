@@ -3,19 +3,47 @@
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import tiktoken
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vigie.session import stored
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # --- fixed value: how this vocabulary cuts text into pieces -------------------
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# --- fixed value: what the pattern takes as white space ------------------------
+BLANK = "[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# The pattern cannot be run over much longer stretches of white space.
+RUN = 10_000
 # Lengths whose sums are taken together first.
 BLOCK = 1024
 
 
+def _counter(encoding: tiktoken.Encoding, run: int) -> Callable[[str], int]:
+    """Counts the tokens of a text, whose long stretches of white space are cut as the pattern cuts them.
+
+    All of a stretch but its last character is one piece; the last one goes with what follows. At
+    the end of a text a stretch is one piece.
+    """
+    stretches = re.compile(f"{BLANK}{{{run},}}").finditer
+
+    def count(text: str) -> int:
+        total = at = 0
+        for found in stretches(text):
+            end = found.end() if found.end() == len(text) else found.end() - 1
+            total += len(encoding.encode_ordinary(text[at:found.start()]))
+            if end > found.start():
+                total += len(encoding._encode_single_piece(text[found.start():end]))
+            at = end
+        return total + len(encoding.encode_ordinary(text[at:]))
+
+    return count
+
+
 def token_count(text: str | Column, vocabulary: str = VOCABULARY, pieces: str = PIECES) -> Column:
     """Tokens of a whole text; null and empty have none, special tokens are ordinary text.
 
@@ -23,13 +51,14 @@ def token_count(text: str | Column, vocabulary: str = VOCABULARY, pieces: str =
     """
     with open(vocabulary, "rb") as file:
         held = file.read()
+    run = RUN
 
     @F.pandas_udf("long")
     def values(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, held.splitlines())}
-        encode = tiktoken.Encoding("given", pat_str=pieces, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        count = _counter(tiktoken.Encoding("given", pat_str=pieces, mergeable_ranks=ranks, special_tokens={}), run)
         for batch in batches:
-            yield pd.Series([len(encode(text)) if text else 0 for text in batch], dtype="int64")
+            yield pd.Series([count(text) if text else 0 for text in batch], dtype="int64")
 
     return values(text)
 
@@ -45,7 +74,8 @@ def length_histogram(docs: DataFrame, text: str = "text", vocabulary: str = VOCA
     """
     counts = docs.select(token_count(text, vocabulary, pieces).alias("n_tokens")).groupBy("n_tokens").agg(
         F.count("*").alias("docs"))
-    return suffix_sums(counts)
+    # Read twice; one row per length, so that texts are encoded once.
+    return suffix_sums(stored(counts, "lengths"))
 
 
 def suffix_sums(counts: DataFrame) -> DataFrame:
