@@ -2,18 +2,44 @@
 
 Only the mapping of the given tables is shared with the Spark code. The queries are
 written apart from it on purpose: long forms, self joins and per-place kernel sums where
-the library takes shorter ways.
+the library takes shorter ways, and fixed values of their own.
 """
 
 from __future__ import annotations
 
-from vigie import rules
 from vigie.plans import inputs
-from vigie.plans.catalog import REGION, SEVERITY, SOURCE, YEAR
+from vigie.plans.catalog import REGION, SEVERITY, YEAR
 from vigie.operators.trends import CRITERIA, MEASURES, STATISTICS, VARIABLES
 from vigie.schemas import COUNT_COLUMNS, STATUS_COLUMNS, VICTIM_KINDS, VICTIM_SLOTS
 
 
+# --- fixed values, written out again: not those of the library, which are checked against them ----
+FORCED_PLACES = (
+    ("Frontière Boulkessi", {"longitude": -1.0622, "latitude": 15.1364, "nom": "Frontière Boulkessi"}),
+    ("Almoustarat", {"longitude": 0.087, "latitude": 17.367, "nom": "Frontière Boulkessi"}),
+)
+# In the order in which they are applied: the last one that matches stays.
+ACTORS = (
+    ("MINUSMA", ("casque bleu", "MINUSMA")),
+    ("FAMA", ("soldat", "militaire", "policier", "douanier")),
+    ("Assaillants", ("assaillant", "djihadiste", "terroriste", "MNLA", "CMA")),
+    ("Civils", ("civil", "maire")),
+)
+FRENCH_PLACE_TYPES = (
+    ("National Capital", "Capitale"), ("Admin1 Capital", "Chef-lieu de région"),
+    ("Admin2 Capital", "Chef-lieu de cercle"), ("Admin3 Capital", "Chef-lieu de commune"),
+)
+SHOWN = (
+    ("Total", "Total"), ("Point", "Point"), ("Ligne", "Line"), ("ND", "ND"), ("Attaque", "Attack"),
+    ("Affrontement", "Clash"), ("Autre", "Other"), ("Not deadly", "Not deadly"), ("Deadly", "Deadly"),
+)
+SEVERITIES = {
+    "en": ("Dead, Injured", "Dead, No injured", "No dead, Injured", "No dead, No injured"),
+    "fr": ("Morts, Bléssés", "Morts, Pas de bléssés", "Pas de morts, Bléssés", "Pas de morts, Pas de bléssés"),
+}
+EXTENT_X, EXTENT_Y = (-12.5, 4.5), (10.0, 25.0)
+
+
 def _quote(text: str | None) -> str:
     return "NULL" if text is None else "'" + text.replace("'", "''") + "'"
 
@@ -48,9 +74,9 @@ def _slot_columns(count: str = "cnt") -> str:
 def _overridden(column: str) -> str:
     """A forced value on listed places; a missing place name gives a missing value."""
     whens = "".join(
-        f" WHEN point = {_quote(o.point)} THEN "
-        + (_quote(o.nom) if column == "nom" else f"CAST({getattr(o, column)} AS DOUBLE)")
-        for o in rules.PLACE_OVERRIDES
+        f" WHEN point = {_quote(point)} THEN "
+        + (_quote(values["nom"]) if column == "nom" else f"CAST({values[column]} AS DOUBLE)")
+        for point, values in FORCED_PLACES
     )
     return f"CASE WHEN point IS NULL THEN NULL{whens} ELSE {column} END"
 
@@ -80,20 +106,19 @@ SEVERITY_ID = """CASE
   WHEN coalesce(nbr_morts = 0, TRUE) AND coalesce(nbr_blesses > 0, FALSE) THEN 3
   WHEN coalesce(nbr_morts = 0, TRUE) AND coalesce(nbr_blesses = 0, TRUE) THEN 4 END"""
 KEYWORDS = "CASE " + " ".join(
-    f"WHEN contains(statut, {_quote(word)}) THEN {_quote(label)}"
-    for word, label in reversed(rules.KEYWORD_RULES)
-) + f" ELSE {_quote(rules.UNKNOWN)} END"
+    f"WHEN contains(statut, {_quote(word)}) THEN {_quote(group)}"
+    for group, words in reversed(ACTORS) for word in words
+) + " ELSE 'ND' END"
 MONTH = "make_date(CAST(year AS INTEGER), CAST(month AS INTEGER), 1)"
 
 
 def _severity(lang: str = "en") -> str:
-    labels = [rules.translate(label, lang) for label in rules.SEVERITY_LABELS]
-    return _case("sid", [(i + 1, _quote(label)) for i, label in enumerate(labels)])
+    return _case("sid", [(i + 1, _quote(label)) for i, label in enumerate(SEVERITIES[lang])])
 
 
 def _display(column: str) -> str:
-    labels = _case(column, [(_quote(a), _quote(b)) for a, b in rules.CATEGORY_LEVELS])
-    order = _case(column, [(_quote(a), i + 1) for i, (a, _) in enumerate(rules.CATEGORY_LEVELS)])
+    labels = _case(column, [(_quote(a), _quote(b)) for a, b in SHOWN])
+    order = _case(column, [(_quote(a), i + 1) for i, (a, _) in enumerate(SHOWN)])
     return f"{labels} AS category, CAST({order} AS INTEGER) AS category_order"
 
 
@@ -134,7 +159,7 @@ localites AS (
     admin2Pcod AS adm2_cod, admin2Name AS adm2_name, admin3Pcod AS adm3_cod,
     admin3Name AS adm3_name, coalesce(popPlace_1, 'Other') AS type,
     CASE WHEN popPlace_1 IS NULL THEN 'Autre' ELSE
-      {_case('popPlace_1', [(_quote(a), _quote(b)) for a, b in rules.PLACE_TYPES_FR])}
+      {_case('popPlace_1', [(_quote(a), _quote(b)) for a, b in FRENCH_PLACE_TYPES])}
       END AS type_fr
   FROM localites_raw),
 incidents AS (
@@ -263,7 +288,7 @@ def _severity_by_region(where: str = "TRUE", lang: str = "en") -> str:
     FROM severities WHERE {where} GROUP BY adm1_cod, adm1_name, year, sid"""
 
 
-CHOSEN = f"year = {YEAR} AND sid = {rules.SEVERITY_LABELS.index(SEVERITY) + 1}"
+CHOSEN = f"year = {YEAR} AND sid = {SEVERITIES['en'].index(SEVERITY) + 1}"
 
 
 def _density(where: str, grid: int = 100) -> str:
@@ -292,7 +317,7 @@ def _density_rows(grid: int = 100) -> str:
     def line(number: str, extent) -> str:
         return f"(CAST({extent[0]} AS DOUBLE) + {number} * {step(extent)})"
 
-    gx, gy = line("i", rules.LONGITUDE_EXTENT), line("j", rules.LATITUDE_EXTENT)
+    gx, gy = line("i", EXTENT_X), line("j", EXTENT_Y)
     return f"""SELECT CAST(i AS INTEGER) AS cell_x, CAST(j AS INTEGER) AS cell_y, {gx} AS longitude, {gy} AS latitude,
       sum(exp(-pow(({gx} - x) / hx, 2) / 2 - pow(({gy} - y) / hy, 2) / 2)
         / (2 * pi() * m * hx * hy)) AS density
@@ -391,7 +416,7 @@ def _contours() -> str:
 
 
 def _localized(lang: str) -> str:
-    pairs = dict(rules.label_pairs(SOURCE))
+    pairs = dict(zip(SEVERITIES["en"], SEVERITIES["fr"]))
     text = "label"
     if lang == "fr":
         text = _case("label", [(_quote(a), _quote(b)) for a, b in pairs.items()], "label")
