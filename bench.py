@@ -40,6 +40,14 @@ HEADLINE = (
     "severity_by_region",
     "highlight_region",
     "hotspot_density",
+    "hotspot_segments",
+    "hotspot_contours",
+    "monthly_all_dimensions",
+    "running_all_splits",
+    "rough_victims",
+    "boundary_vertices",
+    "point_incidents_bucketed",
+    "rejected_rows",
     "localized_labels_fr",
     "polygon_vertices",
     "tables_roundtrip",
