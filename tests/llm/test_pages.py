@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 import edges
 from vigie.llm import archives, html_text, tokens
 from vigie.llm.queries import QUERIES
+from vigie.session import fresh_folder
 
 SF_DIR = "/root/testdata/sf0.01"
 
@@ -189,3 +190,14 @@ def test_token_edges(spark):
     assert sum(r.docs for r in found) == len(edges.TEXTS) and found[0].n_tokens >= 0
     assert {r.n_tokens: r.docs for r in found}[0] == 3
     assert tokens.length_histogram(edges.empty(spark)).count() == 0
+
+
+def test_packages_are_read_in_as_many_tasks(spark):
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * 50) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id BIGINT, url STRING, html STRING").repartition(5)
+    folder = fresh_folder(spark, "archives")
+    written = archives.write_packages(pages, folder, package_bytes=2000)
+    assert written.count() > 10
+    found = archives.read_packages(written, folder)
+    assert found.rdd.getNumPartitions() == written.count()
+    assert sorted((r.page_id, r.payload) for r in found.collect()) == [(i, html) for i, _, html in rows]

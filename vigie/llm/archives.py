@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, functions as F
 from vigie.session import fresh_folder, stored
 
 PACKAGE_BYTES = 128 << 20
+# Tasks that read packages, at most.
+READERS = 10_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 # --- fixed values of the formats ----------------------------------------------
 END, END64, LOCATOR, ENTRY, LOCAL = b"PK\5\6", b"PK\6\6", b"PK\6\7", b"PK\1\2", b"PK\3\4"
@@ -267,7 +269,9 @@ def read_packages(packages: DataFrame, folder: str, payloads: bool = True) -> Da
                             rows = []
                 yield _frame(rows)
 
-    return packages.select("path").repartition(F.col("path")).mapInPandas(read, READ)
+    # A number of tasks that adaptive execution keeps; by the path alone it would merge these few rows.
+    tasks = max(1, min(packages.count(), READERS))
+    return packages.select("path").repartition(tasks, "path").mapInPandas(read, READ)
 
 
 def _row(data: bytes, payloads: bool) -> tuple:
