@@ -1,6 +1,7 @@
 """Neighbours against all inner products."""
 
 import numpy as np
+import pytest
 
 from vigie.llm import neighbours
 from vigie.llm.queries import QUERIES
@@ -58,3 +59,26 @@ def test_edges(spark):
     assert not set(found) & {200, 201, 202, 203, 204, 205, None}
     assert neighbours.nearest(frame.limit(0), frame).count() == 0
     assert neighbours.nearest(frame, frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("lengths", ("one long", "uneven", "huge"))
+def test_recall_with_lengths_of_any_kind(lengths):
+    """One vector ten thousand times longer than the others, lengths from 1 to 10,000, very large components."""
+    rng = np.random.default_rng(0)
+    vectors = rng.normal(size=(1500, 32))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    if lengths == "one long":
+        vectors[7] *= 1e4
+    elif lengths == "uneven":
+        vectors *= 10 ** rng.uniform(0, 4, len(vectors))[:, None]
+    else:
+        vectors *= 1e25
+    queries = vectors[::20]
+    nodes, _ = neighbours.Graph.build(vectors).search(np.hstack([queries, np.zeros((len(queries), 1))]), 80, 80)
+    hits = 0
+    for i, (scores, found) in enumerate(zip(queries @ vectors.T, nodes)):
+        scores[i * 20] = -np.inf
+        best = set(np.argsort(-scores)[:20].tolist())
+        found = [n for n in found.tolist() if n not in (neighbours.NONE, i * 20)]
+        hits += len(best & set(sorted(found, key=lambda n: -scores[n])[:20]))
+    assert hits / 20 / len(queries) >= 0.9

@@ -41,7 +41,7 @@ class Graph:
     @staticmethod
     def lifted(vectors: np.ndarray) -> np.ndarray:
         square = (vectors * vectors).sum(axis=1)
-        return np.hstack([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float32)
+        return np.hstack([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float64)
 
     @classmethod
     def build(cls, vectors: np.ndarray) -> "Graph":
@@ -129,7 +129,7 @@ class Graph:
         seen = np.zeros((n, size), bool)
         entry = np.where((entry < size) & (entry >= 0), entry, 0)
         nodes = np.full((n, beam), NONE, np.int64)
-        scores = np.full((n, beam), -np.inf, np.float32)
+        scores = np.full((n, beam), -np.inf)
         opened = np.ones((n, beam), bool)
         fresh = np.sort(entry, axis=1)
         fresh[:, 1:][fresh[:, 1:] == fresh[:, :-1]] = NONE
@@ -233,7 +233,7 @@ def search(
         for at in range(0, len(asking), 512):
             part = asking.iloc[at:at + 512]
             points = _matrix(part["query"])
-            flat = np.hstack([points, np.zeros((len(points), 1))]).astype(np.float32)
+            flat = np.hstack([points, np.zeros((len(points), 1))]).astype(np.float64)
             nodes, _ = graph.search(flat, max(beam, 4 * n), max(beam, 4 * n))
             scores = np.where(nodes == NONE, -np.inf, np.einsum("nd,ncd->nc", points, vectors[nodes]))
             for own, found, values in zip(part["query_id"].to_numpy(), nodes, scores):
