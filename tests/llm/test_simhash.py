@@ -88,3 +88,10 @@ def test_components_of_a_long_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 300)] + [(5000, 4000)]
     found = {r.node: r.root for r in components(spark.createDataFrame(links, "a BIGINT, b BIGINT")).collect()}
     assert found == {**{i: 0 for i in range(61)}, **{1000 + i: 1000 for i in range(300)}, 4000: 4000, 5000: 4000}
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = edges.documents(spark).withColumnsRenamed({"hash": "_print", "words": "row", "items": "_key"})
+    found = simhash.drop_near_copies(docs)
+    assert found.columns == docs.columns
+    assert found.exceptAll(docs).isEmpty() and found.filter("_print = 'x' and row = 'x' and _key = 'x'").count() == found.count()

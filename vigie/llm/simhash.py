@@ -130,6 +130,11 @@ def near_copies(
     prints = stored(
         docs.select(F.col(key).alias("key"), fingerprint_of(text, words).alias("fp")), "fingerprints"
     )
+    return _members(prints, max_bits).withColumnRenamed("key", key)
+
+
+def _members(prints: DataFrame, max_bits: int) -> DataFrame:
+    """The rows of stored fingerprints (``key``, ``fp``) with their component."""
     distinct = stored(prints.groupBy("fp").agg(F.min("key").alias("first")), "distinct")
     roots = components(links(distinct.select("fp"), max_bits)).withColumnRenamed("node", "fp")
     placed = distinct.join(roots, "fp", "left").select(
@@ -137,7 +142,7 @@ def near_copies(
     )
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stored(placed.join(smallest, "root").select("fp", "component_id", "root"), "classes")
-    return prints.join(classes, "fp").select(F.col("key").alias(key), "fp", "component_id", "root")
+    return prints.join(classes, "fp").select("key", "fp", "component_id", "root")
 
 
 def drop_near_copies(
@@ -145,29 +150,32 @@ def drop_near_copies(
 ) -> DataFrame:
     """The rows of ``docs`` without near copies: one of each component stays, that of smallest key.
 
-    Rows that agree in key and fingerprint are told apart only where there are any.
+    Texts are read once: rows are stored with their fingerprint. Rows that agree in key and
+    fingerprint are told apart only where there are any.
     """
-    members = near_copies(docs.select(key, text), key, text, words, max_bits)
+    marked = stored(
+        docs.select(F.struct(*docs.columns).alias("row"), F.col(key).alias("key"), fingerprint_of(text, words).alias("fp")),
+        "marked",
+    )
+    members = _members(marked.select("key", "fp"), max_bits)
     kept = stored(
         members.groupBy("root")
-        .agg(F.min_by(F.struct(F.col(key).alias("_key"), F.col("fp").alias("_fp")),
-                      F.struct(F.col(key).isNull(), F.col(key), F.col("fp"))).alias("one"))
+        .agg(F.min_by(F.struct(F.col("key").alias("_key"), F.col("fp").alias("_fp")),
+                      F.struct(F.col("key").isNull(), F.col("key"), F.col("fp"))).alias("one"))
         .select("one.*"),
         "kept",
     )
-    counts = members.groupBy(F.col(key).alias("_key"), F.col("fp").alias("_fp")).count()
+    counts = marked.groupBy(F.col("key").alias("_key"), F.col("fp").alias("_fp")).count()
     several = stored(
         kept.join(counts.filter("count > 1"),
                   kept._key.eqNullSafe(counts._key) & (kept._fp == counts._fp), "left_semi"),
         "several",
     )
-    marked = docs.withColumn("_print", fingerprint_of(text, words))
 
-    def among(keys: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        return rows.join(keys, rows[key].eqNullSafe(keys._key) & (rows._print == keys._fp), how)
+    def among(keys: DataFrame) -> DataFrame:
+        return marked.join(keys, marked.key.eqNullSafe(keys._key) & (marked.fp == keys._fp), "left_semi")
 
     single = kept.join(several.withColumnsRenamed({"_key": "_k", "_fp": "_f"}),
                        F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_fp") == F.col("_f")), "left_anti")
-    one = among(single, "left_semi", marked)
-    rest = among(several, "left_semi", marked).dropDuplicates([key, "_print"])
-    return one.unionByName(rest).drop("_print")
+    rest = among(several).dropDuplicates(["key", "fp"])
+    return among(single).unionByName(rest).select("row.*")

@@ -7,8 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from vigie.session import stored
 
 
+# Bytes of rows that go to a Python worker at once: whole texts would add up to much more.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has rows go to Python workers a few megabytes at a time, however long their texts are."""
+    spark.conf.set(*BATCH_BYTES)
+
+
 def given(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a given table, all of them without names."""
+    small_batches(spark)
     table = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return table.select(*columns) if columns else table
 
