@@ -110,9 +110,11 @@ def tilts(counts: DataFrame, goals: DataFrame, most: int = 3) -> DataFrame:
 
 def mix(
     docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
+    weights: tuple[int, ...] = (1, 2, 3), most: int = 3, carry: str | None = None,
 ) -> DataFrame:
-    """Per row: key, source, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``.
+    """Per row: key, source, ``size``, ``source_size``, ``target``, ``rate``, ``copies``, ``taken``, and ``carry``.
+
+    ``carry`` may name a small column, as a row's number, that decides nothing and comes back.
 
     Rates are rounded down to whole copies; what a source still lacks goes to documents in the
     order of a fixed random number over the fraction of their rate (sequential Poisson
@@ -127,7 +129,7 @@ def mix(
     sized = stored(
         docs.select(
             F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"),
-            F.xxhash64(F.col(key), F.col(text)).alias("hash"),
+            F.xxhash64(F.col(key), F.col(text)).alias("hash"), *([F.col(carry).alias("carried")] if carry else []),
         ).withColumn("skey", _source_key("source")),
         "sizes",
     )
@@ -189,4 +191,5 @@ def mix(
         F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", "rate",
         (F.col("whole") + (F.col("extra") > 0).cast("long")).alias("copies"),
         (F.col("whole") * F.col("size") + F.col("extra")).alias("taken"),
+        *([F.col("carried").alias(carry)] if carry else []),
     )
