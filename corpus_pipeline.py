@@ -39,8 +39,13 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document; 0 taken is left out of the mix."""
-    return mixing.mix(docs).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+    """Every document with its text as the stages before left it, and what the mix takes of it; 0 is left out."""
+    rows = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows")
+    mixed = mixing.mix(rows.select("doc.doc_id", "doc.text", "doc.source", "row"), carry="row")
+    taken = mixed.select(F.col("row").alias("number"), "size", "source_size", "target", "copies", "taken")
+    found = rows.join(taken, F.col("row") == F.col("number"))
+    added = [name for name in taken.columns if name != "number"]
+    return found.select(*[F.col(f"doc.{name}") for name in docs.columns if name not in added], *added)
 
 
 STAGES: list[tuple[str, Stage]] = [
