@@ -349,19 +349,35 @@ def train(bases: list[tuple[str, ...]], labels: np.ndarray, landmarks: int = LAN
     return Model(model.numbers, model.weights, model.bias, slope, offset)
 
 
+MODEL = "numbers binary, weights binary, bias double, slope double, offset double"
+
+
 def fit(labelled: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from a bounded sample of labelled rows: at most ``sample_rows`` of each class.
 
-    The caller passes rows already bounded (see ``sample``) or few; texts are read whole and
-    only their distinct words reach the driver. Rows without a label of 0 or 1 do not count.
+    The caller passes rows already bounded (see ``sample``) or few; texts are read whole where they
+    lie. Their distinct words meet in one task, which trains and gives back the model: the driver
+    holds no sample. Rows without a label of 0 or 1 do not count.
     """
     words = F.pandas_udf(
         lambda texts: pd.Series([sorted({framed(word) for word in units(t)}) for t in texts]), "array<string>")
     rows = labelled.filter(F.col(label).isin(0, 1)).select(F.col(label).cast("int").alias("label"), words(text).alias("words"))
-    # Each distinct word is held once, however many documents have it.
-    bags = [(row.label, tuple(map(sys.intern, row.words))) for row in rows.toLocalIterator()]
-    bags.sort()
-    return train([found for _, found in bags], np.array([value for value, _ in bags], dtype=int))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Each distinct word is held once, however many documents have it.
+        bags = sorted(
+            (int(value), tuple(map(sys.intern, found))) for batch in batches for value, found in zip(batch["label"], batch["words"]))
+        model = train([found for _, found in bags], np.array([value for value, _ in bags], dtype=int))
+        yield pd.DataFrame({
+            "numbers": [model.numbers.astype(np.int64).tobytes()], "weights": [model.weights.astype(float).tobytes()],
+            "bias": [float(model.bias)], "slope": [float(model.slope)], "offset": [float(model.offset)],
+        })
+
+    found = rows.repartition(1).mapInPandas(learn, MODEL).first()
+    if found is None:
+        return train([], np.zeros(0, int))
+    return Model(
+        np.frombuffer(found.numbers, np.int64), np.frombuffer(found.weights, float), found.bias, found.slope, found.offset)
 
 
 def sample(labels: DataFrame, key: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
