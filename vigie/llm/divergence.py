@@ -8,7 +8,6 @@ long tail of rare terms is counted under few short prefixes and never shuffled b
 from __future__ import annotations
 
 import gc
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,17 +32,17 @@ BATCH_TERMS = 100_000
 DOCUMENT = 1 << 40
 # Sums of source pairs a task holds before it hands them on.
 HELD_PAIRS = 2_000_000
-# --- fixed values: what a term is, and the letters that change case -----------
-TERM = "[^\x00-\x40\x5b-\x60\x7b-\x7f]+"
-CAPITALS = {capital: capital + 32 for capital in range(ord("A"), ord("Z") + 1)}
+# --- fixed values: bytes of terms, A to Z as a to z and all beyond ASCII; others end a term -----
+LETTERS = bytes(
+    byte + 32 if 0x41 <= byte <= 0x5A else byte if 0x61 <= byte <= 0x7A or byte >= 0x80 else 0x20 for byte in range(256)
+)
 
 TERM_ROWS = "lang string, source string, term binary, shared int, docs bigint, n bigint"
 
 
 def _term_rows(first_level: int):
     """Adds up, per group, ``shared`` and term, the documents and occurrences of some documents at a time."""
-    find = re.compile(TERM).findall
-    Held = dict[tuple[str, str], dict[int, dict[str, int]]]
+    Held = dict[tuple[str, str], dict[int, dict[bytes, int]]]
 
     def batches_of(held: Held) -> Iterator[pa.RecordBatch]:
         for (lang, source), by_shared in held.items():
@@ -53,20 +52,10 @@ def _term_rows(first_level: int):
                     part, values = terms[at:at + BATCH_TERMS], numbers[at:at + BATCH_TERMS]
                     yield pa.RecordBatch.from_pydict({
                         "lang": pa.array([lang] * len(part), pa.string()), "source": pa.array([source] * len(part), pa.string()),
-                        "term": pa.array(part, pa.string()).cast(pa.binary()),
-                        "shared": pa.array(np.full(len(part), shared, np.int32)),
+                        "term": pa.array(part, pa.binary()), "shared": pa.array(np.full(len(part), shared, np.int32)),
                         "docs": pa.array(values // DOCUMENT), "n": pa.array(values % DOCUMENT),
                     })
 
-    def shared_bytes(one: str, other: str) -> int:
-        """The highest level at which two terms have a common prefix, of bytes."""
-        if not (one.isascii() and other.isascii()):
-            one, other = one.encode("utf-8", "surrogatepass"), other.encode("utf-8", "surrogatepass")
-        shared, level = 0, first_level
-        while one[:level] == other[:level] and len(one) >= level:
-            shared, level = level, 2 * level
-        return shared
-
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Held = {}
         size = docs = 0
@@ -75,17 +64,21 @@ def _term_rows(first_level: int):
         try:
             for batch in batches:
                 for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
-                    found = Counter(find((text or "").translate(CAPITALS)))
-                    by_shared = held.setdefault((lang, source), {})
+                    found = Counter((text or "").encode("utf-8", "surrogatepass").translate(LETTERS).split())
+                    by_shared = held.setdefault((lang, source), {0: {}})
                     size -= sum(map(len, by_shared.values()))
-                    before = ""
-                    # The order of code points is that of their UTF-8 bytes.
+                    alone, before = by_shared[0], b""
                     for term in sorted(found):
-                        shared = shared_bytes(term, before) if term[:1] == before[:1] or not term.isascii() else 0
+                        if term[:first_level] != before[:first_level] or len(term) < first_level:
+                            counts = alone
+                        else:
+                            shared = first_level
+                            while term[:2 * shared] == before[:2 * shared] and len(term) >= 2 * shared:
+                                shared *= 2
+                            counts = by_shared.get(shared)
+                            if counts is None:
+                                counts = by_shared[shared] = {}
                         before = term
-                        counts = by_shared.get(shared)
-                        if counts is None:
-                            counts = by_shared[shared] = {}
                         counts[term] = counts.get(term, 0) + DOCUMENT + found[term]
                     size += sum(map(len, by_shared.values()))
                     docs += 1
