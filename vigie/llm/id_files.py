@@ -14,6 +14,7 @@ So a document is read with three short reads: the tail, its entry and its frame.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -61,6 +62,8 @@ CUT = re.compile(r" (?=\S)")
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Bytes that are written as the character of their own number; the others follow from 256 on.
 PLAIN_BYTES = ((33, 126), (161, 172), (174, 255))
+# Signs after a word: together they are one piece.
+SIGNS = ".,;:!?"
 # Characters whose classes all versions of the character tables agree on.
 SETTLED = re.compile("[\\x00-\u024f]*")
 
@@ -71,14 +74,14 @@ def _byte_letters() -> dict[int, int]:
     return dict(zip((byte for byte in range(256) if byte not in plain), range(256, 512)))
 
 
-def _cuttable(vocabulary: str) -> bool:
+def _cuttable(described: dict) -> bool:
     """Whether the tokenizer splits as ``CUT`` and ``PIECES`` say, and changes nothing before it splits."""
-    described = json.loads(vocabulary)
     split = described.get("pre_tokenizer") or {}
     return (
         split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         and described.get("normalizer") is None
-        and all(" " not in token["content"] and not (token["lstrip"] or token["rstrip"] or token["single_word"])
+        and all(" " not in token["content"] and any(not c.isalpha() and c not in SIGNS for c in token["content"])
+                and not (token["lstrip"] or token["rstrip"] or token["single_word"])
                 for token in described.get("added_tokens", []))
     )
 
@@ -94,8 +97,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.cut, self.known, self.pieces = _cuttable(vocabulary), {}, {}
-        self.special = [token["content"] for token in json.loads(vocabulary).get("added_tokens", [])]
+        described = json.loads(vocabulary)
+        self.cut, self.known, self.pieces = _cuttable(described), {}, {}
+        self.special = [token["content"] for token in described.get("added_tokens", [])]
         self.split, self.letters = regex.compile(PIECES).findall, _byte_letters()
         self.space = chr(self.letters[ord(" ")])
         self.end = b"" if end is None else struct.pack("<I", end)
@@ -105,25 +109,35 @@ class Encoder:
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
     def _piece(self, piece: str) -> bytes:
-        if piece[1:].isalpha() and piece.isascii():  # only the space stands for another character
-            written = piece.replace(" ", self.space)
-        else:
-            written = piece.encode().decode("latin-1").translate(self.letters)
-        tokens = self.tokenize(written)
-        self.pieces[piece] = found = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+        found = self.pieces.get(piece)
+        if found is None:
+            tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+            self.pieces[piece] = found = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word that follows a space."""
+        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+        tokens = self.tokenize(self.space + written)
+        self.known[word] = found = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
         return found
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds chunks, which follow a space each, to those known."""
         self.tokenize = self.tokenizer.model.tokenize
-        known, pieces, settled, others = self.known, self.pieces, SETTLED.fullmatch, []
+        known, settled, others = self.known, SETTLED.fullmatch, []
         for chunk in chunks:
-            if len(chunk) > CHUNK_CHARS or not (chunk.isascii() or settled(chunk)) or any(map(chunk.__contains__, self.special)):
+            word = chunk.rstrip(SIGNS)
+            if len(chunk) > CHUNK_CHARS or not (chunk.isascii() or settled(chunk)):
+                others.append(chunk)
+            elif word.isalpha():
+                found = known.get(word) or self._word(word)
+                if len(word) < len(chunk):
+                    known[chunk] = found + self._piece(chunk[len(word):])
+            elif any(token in chunk for token in self.special):
                 others.append(chunk)
-            elif chunk.isalpha():
-                known[chunk] = pieces.get(" " + chunk) or self._piece(" " + chunk)
             else:
-                known[chunk] = b"".join([pieces.get(piece) or self._piece(piece) for piece in self.split(" " + chunk)])
+                known[chunk] = b"".join(map(self._piece, self.split(" " + chunk)))
         known.update(zip(others, self._whole([" " + chunk for chunk in others])))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -135,11 +149,12 @@ class Encoder:
                 continue
             # All but a text's first chunk begin with the space they were cut at.
             chunks = [CUT.split(text) for text in part]
-            fresh = {chunk for found in chunks for chunk in found[1:]}.difference(self.known)
+            heads = self._whole([found.pop(0) for found in chunks])
+            fresh = set().union(*chunks).difference(self.known)
             self._learn(fresh)
             known = self.known.__getitem__
-            for head, found in zip(self._whole([found[0] for found in chunks]), chunks):
-                yield head + b"".join(map(known, found[1:])) + self.end
+            for head, found in zip(heads, chunks):
+                yield head + b"".join(map(known, found)) + self.end
             for chunk in fresh:
                 if len(chunk) > CHUNK_CHARS:
                     del self.known[chunk]
@@ -317,16 +332,21 @@ def write_files(
             writer.close()
             done.append((part, len(done), path, len(writer.entries), writer.tokens, writer.size))
 
-        for batch in batches:
-            numbers, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for number, ids in zip(numbers, encoder.encode(texts)):
-                if writer is None:
-                    path = f"{root}/{uuid.uuid4().hex}.ids"
-                    writer = FileWriter(files.open_output_stream(path), dictionary, _width(encoder.tokenizer), level)
-                writer.add(number, ids)
-                if writer.size >= file_bytes or len(writer.entries) >= FILE_DOCS:
-                    finish()
-                    writer = None
+        # Many small values and no cycles: looking for some takes a quarter of the time.
+        gc.disable()
+        try:
+            for batch in batches:
+                numbers, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                for number, ids in zip(numbers, encoder.encode(texts)):
+                    if writer is None:
+                        path = f"{root}/{uuid.uuid4().hex}.ids"
+                        writer = FileWriter(files.open_output_stream(path), dictionary, _width(encoder.tokenizer), level)
+                    writer.add(number, ids)
+                    if writer.size >= file_bytes or len(writer.entries) >= FILE_DOCS:
+                        finish()
+                        writer = None
+        finally:
+            gc.enable()
         if writer is not None:
             finish()
         if done:
