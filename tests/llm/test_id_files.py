@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
@@ -57,6 +58,36 @@ def test_chunks_equal_whole_texts(tokenizer):
     assert list(encoder.encode(texts)) == found
 
 
+def test_signs_and_line_ends_between_chunks(tokenizer):
+    """Cuts at signs and single line ends change no id, whatever stands around them."""
+    rng = random.Random(5)
+    alphabet = ["a", "Zé", "é", "×", "÷", "Ā", "ȿ", "日", "7", "'s", ".", ",", "?", "\n", "\r", " ", "\xa0", "\x85", "\u2028", "\u3000", "«", "—", "<|endoftext|>", "|>", "<|"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(20_000)]
+    texts += ["a.\nb", "a.\n\nb", "a\n.b", "a.\n", ".\nb", "a\xa0\nb", "it's.", "it'.s", "é.", "×.", "a.\né", " ", "a ", " a", "  a", "a.\n b"]
+    with open(id_files.VOCABULARY) as file:
+        encoder = id_files.Encoder(file.read())
+    wanted = [ids_of(tokenizer, text) for text in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(texts)] == wanted
+    # A part of a column is cut where its own texts lie.
+    column = pa.array(texts).slice(7, 5000)
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(column)] == wanted[7:5007]
+
+
+def test_chunks_are_encoded_once():
+    """The model gets a word once, whatever sign follows it, and nothing twice that begins a text."""
+    with open(id_files.VOCABULARY) as file:
+        encoder = id_files.Encoder(file.read())
+    asked = []
+    piece, whole = encoder._piece, encoder._whole
+    encoder._piece = lambda text: asked.append(text) or piece(text)
+    encoder._whole = lambda texts: asked.extend(texts) or whole(texts)
+    texts = ["One word, one word. Two\nWord", "One, word! A word."] * 3
+    first = list(encoder.encode(texts))
+    assert len(asked) == len(set(asked)) and " word," not in asked
+    asked.clear()
+    assert list(encoder.encode(texts)) == first and not asked
+
+
 def test_other_tokenizers_get_whole_texts():
     with open("/opt/tokenizers/word_bpe_49k.json") as file:
         held = file.read()

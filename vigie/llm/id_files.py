@@ -14,6 +14,7 @@ So a document is read with three short reads: the tail, its entry and its frame.
 
 from __future__ import annotations
 
+import codecs
 import gc
 import hashlib
 import json
@@ -21,7 +22,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -51,36 +52,99 @@ READERS = 10_000
 # Chunks and pieces whose ids a task remembers, and characters of one at most.
 CHUNKS = 800_000
 CHUNK_CHARS = 40
+# Texts that are cut, or given to the library, at once.
+CUT_TEXTS = 2_000
+WHOLE_TEXTS = 500
 
 MAGIC = b"VIGIEID1"
 HEAD = "<8sI32s"
 TAIL = "<QQQ8s"
 ENTRY = np.dtype([("at", "<u8"), ("size", "<u4"), ("crc", "<u4"), ("first", "<u8"), ("number", "<i8"), ("absent", "u1")])
 # --- fixed values: how a byte-level tokenizer splits text, and how it writes bytes -------------
-# A space goes with the word after it and with nothing before it, so no token crosses this place.
-CUT = re.compile(r" (?=\S)")
+# A space goes with the word after it and with nothing before it, so no token crosses the place
+# before a space that no white space follows.
+BLANKS = [chr(number) for number in range(1 << 16) if chr(number).isspace()]
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Bytes that are written as the character of their own number; the others follow from 256 on.
 PLAIN_BYTES = ((33, 126), (161, 172), (174, 255))
-# Signs after a word: together they are one piece.
+# Signs after a word; no piece holds a letter and one of them.
 SIGNS = ".,;:!?"
+# A single line end between a sign and a letter is a piece.
+LINE_END = ord("\n")
 # Characters whose classes all versions of the character tables agree on.
 SETTLED = re.compile("[\\x00-\u024f]*")
 
 
-def _byte_letters() -> dict[int, int]:
-    """The character that stands for each byte that does not stand for itself."""
+def _byte_letters() -> str:
+    """The character that stands for each byte."""
     plain = {byte for first, last in PLAIN_BYTES for byte in range(first, last + 1)}
-    return dict(zip((byte for byte in range(256) if byte not in plain), range(256, 512)))
+    others = iter(range(256, 512))
+    return "".join(chr(byte if byte in plain else next(others)) for byte in range(256))
+
+
+def _set(numbers: Iterable[int]) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(numbers)] = True
+    return found
+
+
+# White space of one byte, and that of two or three: its first bytes, and all of them as one number.
+BLANK = _set(ord(blank) for blank in BLANKS if blank.isascii())
+WIDE_BLANKS = np.array([int.from_bytes(blank.encode().ljust(3, b"\0")) for blank in BLANKS if not blank.isascii()], np.uint32)
+WIDE_FIRST = _set(WIDE_BLANKS >> 16)
+SIGN = _set(SIGNS.encode())
+LETTER = _set(byte for byte in range(128) if chr(byte).isalpha())
+# First bytes of U+00C0 to U+023F: all letters but two.
+LETTER_FIRST, NO_LETTERS = _set(range(0xC3, 0xC9)), ("\u00d7".encode(), "\u00f7".encode())
+
+
+def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Texts (of type large_string, without nulls) in chunks, and where in these each text begins; their number comes last.
+
+    A text is cut before a space that another character than white space follows, between a letter
+    and a sign, and around a single line end between a sign and a letter. The chunks lie where the
+    texts do; every text has at least one.
+    """
+    _, offsets, data = texts.buffers()
+    starts = np.frombuffer(offsets, "<i8")[texts.offset:texts.offset + len(texts) + 1]
+    first, end = int(starts[0]), int(starts[-1])
+    # Some zeros stand before and after the texts.
+    held = np.zeros(end - first + 6, np.uint8)
+    if end > first:
+        held[2:end - first + 2] = np.frombuffer(data, np.uint8)[first:end]
+    begins = np.zeros(len(held), bool)
+    begins[starts - first + 2] = True
+    # A space that begins a text cuts nothing off; one at a text's end is followed by nothing of it.
+    cuts = np.flatnonzero((held == 0x20) & ~begins)
+    cuts = cuts[~(BLANK[held] | begins)[cuts + 1]]
+    wide = np.flatnonzero(WIDE_FIRST[held[cuts + 1]])
+    if len(wide):
+        one, two, three = (held[cuts[wide] + n].astype(np.uint32) for n in (1, 2, 3))
+        # Characters that begin with a byte below 0xE0 have two.
+        number = one << 16 | two << 8 | np.where(one < 0xE0, 0, three)
+        cuts = np.delete(cuts, wide[np.isin(number, WIDE_BLANKS)])
+    signs = np.flatnonzero(SIGN[held] & ~begins)
+    last, first_byte = held[signs - 1], held[signs - 2]
+    letters = LETTER[last] | (LETTER_FIRST[first_byte] & (last >= 0x80))
+    for one, two in NO_LETTERS:
+        letters &= ~((first_byte == one) & (last == two))
+    lines = np.flatnonzero((held == LINE_END) & ~begins)
+    lines = lines[SIGN[held[lines - 1]] & LETTER[held[lines + 1]] & ~begins[lines + 1]]
+    cuts = np.sort(np.concatenate([cuts, signs[letters], lines, lines + 1])) + first - 2
+    earlier = np.searchsorted(cuts, starts)
+    places = np.insert(cuts, earlier, starts).astype("<i8")
+    chunks = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), data or pa.py_buffer(b""))
+    return chunks, earlier + np.arange(len(starts))
 
 
 def _cuttable(described: dict) -> bool:
-    """Whether the tokenizer splits as ``CUT`` and ``PIECES`` say, and changes nothing before it splits."""
+    """Whether the tokenizer splits as ``_chunks`` and ``PIECES`` say, and changes nothing before it splits."""
     split = described.get("pre_tokenizer") or {}
     return (
         split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         and described.get("normalizer") is None
         and all(" " not in token["content"] and any(not c.isalpha() and c not in SIGNS for c in token["content"])
+                and len(_chunks(pa.array([token["content"]], pa.large_string()))[0]) == 1
                 and not (token["lstrip"] or token["rstrip"] or token["single_word"])
                 for token in described.get("added_tokens", []))
     )
@@ -101,7 +165,6 @@ class Encoder:
         self.cut, self.known, self.pieces = _cuttable(described), {}, {}
         self.special = [token["content"] for token in described.get("added_tokens", [])]
         self.split, self.letters = regex.compile(PIECES).findall, _byte_letters()
-        self.space = chr(self.letters[ord(" ")])
         self.end = b"" if end is None else struct.pack("<I", end)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -109,58 +172,62 @@ class Encoder:
         return [np.array(one.ids, "<u4").tobytes() for one in found]
 
     def _piece(self, piece: str) -> bytes:
+        """The ids of one piece as the tokenizer splits them."""
+        tokens = self.tokenize(codecs.charmap_decode(piece.encode(), "strict", self.letters)[0])
+        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+
+    def _known_piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            tokens = self.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            self.pieces[piece] = found = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
-        return found
-
-    def _word(self, word: str) -> bytes:
-        """The ids of a word that follows a space."""
-        written = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-        tokens = self.tokenize(self.space + written)
-        self.known[word] = found = struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens])
+            self.pieces[piece] = found = self._piece(piece)
         return found
 
-    def _learn(self, chunks: set[str]) -> None:
-        """Adds chunks, which follow a space each, to those known."""
+    def _learn(self, chunks: list[str]) -> None:
+        """Adds chunks to those known."""
         self.tokenize = self.tokenizer.model.tokenize
         known, settled, others = self.known, SETTLED.fullmatch, []
         for chunk in chunks:
-            word = chunk.rstrip(SIGNS)
             if len(chunk) > CHUNK_CHARS or not (chunk.isascii() or settled(chunk)):
                 others.append(chunk)
-            elif word.isalpha():
-                found = known.get(word) or self._word(word)
-                if len(word) < len(chunk):
-                    known[chunk] = found + self._piece(chunk[len(word):])
+            elif chunk.removeprefix(" ").isalpha():
+                known[chunk] = self._piece(chunk)
             elif any(token in chunk for token in self.special):
                 others.append(chunk)
             else:
-                known[chunk] = b"".join(map(self._piece, self.split(" " + chunk)))
-        known.update(zip(others, self._whole([" " + chunk for chunk in others])))
+                known[chunk] = b"".join(map(self._known_piece, self.split(chunk)))
+        known.update(zip(others, self._whole(others)))
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
         """The ids of each text as little-endian u32, with the end id."""
-        for at in range(0, len(texts), 500):
-            part = texts[at:at + 500]
-            if not self.cut:
+        if not self.cut:
+            for at in range(0, len(texts), WHOLE_TEXTS):
+                part = texts[at:at + WHOLE_TEXTS]
+                part = part.to_pylist() if isinstance(part, pa.Array) else part
                 yield from (ids + self.end for ids in self._whole(part))
-                continue
-            # All but a text's first chunk begin with the space they were cut at.
-            chunks = [CUT.split(text) for text in part]
-            heads = self._whole([found.pop(0) for found in chunks])
-            fresh = set().union(*chunks).difference(self.known)
+            return
+        for at in range(0, len(texts), CUT_TEXTS):
+            part = texts[at:at + CUT_TEXTS]
+            part = part.cast(pa.large_string()) if isinstance(part, pa.Array) else pa.array(part, pa.large_string())
+            chunks, before = _chunks(part)
+            coded = chunks.dictionary_encode()
+            distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            found = list(map(self.known.get, distinct))
+            missing = [number for number, ids in enumerate(found) if ids is None]
+            fresh = [distinct[number] for number in missing]
             self._learn(fresh)
-            known = self.known.__getitem__
-            for head, found in zip(heads, chunks):
-                yield head + b"".join(map(known, found)) + self.end
+            for number, chunk in zip(missing, fresh):
+                found[number] = self.known[chunk]
+            ids = pa.array(found, pa.large_binary()).take(coded.indices)
             for chunk in fresh:
                 if len(chunk) > CHUNK_CHARS:
                     del self.known[chunk]
             if len(self.known) + len(self.pieces) > CHUNKS:
                 self.known.clear()
                 self.pieces.clear()
+            _, offsets, data = ids.buffers()
+            ends, joined = np.frombuffer(offsets, "<i8")[before].tolist(), memoryview(data or b"")
+            for first, last in zip(ends, ends[1:]):
+                yield b"".join((joined[first:last], self.end))
 
 
 def _single_threaded() -> None:
@@ -290,7 +357,7 @@ def sampled(docs: DataFrame, held: str, rows: int, chars: int, end: int | None)
         encoder = Encoder(held, end)
         width = _width(encoder.tokenizer)
         for batch in batches:
-            ids = [np.frombuffer(one, "<u4").astype(f"<u{width}").tobytes() for one in encoder.encode(batch.column(0).to_pylist())]
+            ids = [np.frombuffer(one, "<u4").astype(f"<u{width}").tobytes() for one in encoder.encode(batch.column(0))]
             yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
 
     short = docs.filter(F.length("text").between(1, chars)).orderBy(F.xxhash64("number", "text"), "text").limit(rows)
@@ -336,8 +403,7 @@ def write_files(
         gc.disable()
         try:
             for batch in batches:
-                numbers, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for number, ids in zip(numbers, encoder.encode(texts)):
+                for number, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
                     if writer is None:
                         path = f"{root}/{uuid.uuid4().hex}.ids"
                         writer = FileWriter(files.open_output_stream(path), dictionary, _width(encoder.tokenizer), level)
