@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 import edges
@@ -119,3 +120,43 @@ def test_counts_handed_on_in_parts(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "text STRING, lang STRING, source STRING")
     assert divergence.term_rows(docs).count() > 60
     assert found_rows(divergence.audit(docs, min_docs=10)) == plain(rows, 10, 50)
+
+
+def shared_one_by_one(rows, first_level):
+    """Documents and occurrences per group, term and ``shared``; rows are (lang, source, text)."""
+    wanted = Counter()
+    for lang, source, text in rows:
+        found, before = Counter(term.encode() for term in TERM.findall((text or "").translate(LOWER))), b""
+        for term in sorted(found):
+            shared, level = 0, first_level
+            while min(len(term), len(before)) >= level and term[:level] == before[:level]:
+                shared, level = level, 2 * level
+            wanted[lang, source, term, shared, "docs"] += 1
+            wanted[lang, source, term, shared, "n"] += found[term]
+            before = term
+    return wanted
+
+
+@pytest.mark.parametrize("first_level", (1, 2, 3))
+def test_terms_of_documents_counted_together(monkeypatch, first_level):
+    """Documents of a batch are counted at once, with the rows that each by itself gives."""
+    rng = random.Random(first_level)
+    pieces = ["a", "B", "ab", "abcd", "é", "É", "日本", " ", " ", ".", "7", "\n", "\x7f", "@", "[", "`", "{"]
+    rows = [(rng.choice(["en", ""]), rng.choice(["s", "t", "ü"]), "".join(rng.choices(pieces, k=rng.randint(0, 40)))) for _ in range(900)]
+    rows += [("en", "s", None), ("en", "s", ""), ("en", "s", "..."), ("fr", "only", " "), ("en", "t", "x" * 5000), ("en", "t", "x" * 4999 + " x")]
+    whole = pa.RecordBatch.from_arrays([pa.array(column, pa.string()) for column in zip(*rows)], ["lang", "source", "text"])
+    calls, counted = [], divergence._counted
+    monkeypatch.setattr(divergence, "_counted", lambda texts, *more: calls.append(len(texts)) or counted(texts, *more))
+    batches = [whole.slice(0, 0), whole.slice(0, 300), whole.slice(300)]
+    for held_bytes in (divergence.HELD_BYTES, 1000):
+        monkeypatch.setattr(divergence, "HELD_BYTES", held_bytes)
+        got, parts = Counter(), 0
+        for batch in divergence._term_rows(first_level)(iter(batches)):
+            parts += 1
+            for row in batch.to_pylist():
+                got[row["lang"], row["source"], row["term"], row["shared"], "docs"] += row["docs"]
+                got[row["lang"], row["source"], row["term"], row["shared"], "n"] += row["n"]
+        assert got == shared_one_by_one(rows, first_level)
+        assert parts == (2 if held_bytes == 1000 else 1)
+    assert calls == [300, len(rows) - 300] * 2
+    assert not list(divergence._term_rows(first_level)(iter([whole.slice(0, 0)])))

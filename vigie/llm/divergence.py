@@ -7,13 +7,12 @@ long tail of rare terms is counted under few short prefixes and never shuffled b
 
 from __future__ import annotations
 
-import gc
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vigie.session import stored
@@ -24,70 +23,130 @@ SMOOTHING = 5
 SCALE = 1_000_000_000
 # Bytes of the first level's prefixes; each level doubles them.
 FIRST_LEVEL = 2
-# Counts of terms, and documents, that a task adds up before it hands them on; rows of one Arrow batch.
-HELD_TERMS = 1_200_000
-HELD_DOCS = 1_000_000
+# Documents whose terms are counted together, counts of terms and their bytes that a task adds up before it
+# hands them on, and rows of one Arrow batch.
+COUNTED_DOCS = 2_000
+HELD_TERMS = 2_000_000
+HELD_BYTES = 200 << 20
 BATCH_TERMS = 100_000
-# Documents are counted from this bit on, occurrences below it.
-DOCUMENT = 1 << 40
 # Sums of source pairs a task holds before it hands them on.
 HELD_PAIRS = 2_000_000
 # --- fixed values: bytes of terms, A to Z as a to z and all beyond ASCII; others end a term -----
-LETTERS = bytes(
-    byte + 32 if 0x41 <= byte <= 0x5A else byte if 0x61 <= byte <= 0x7A or byte >= 0x80 else 0x20 for byte in range(256)
+LETTERS = np.array(
+    [byte + 32 if 0x41 <= byte <= 0x5A else byte if 0x61 <= byte <= 0x7A or byte >= 0x80 else 0x20 for byte in range(256)], np.uint8
 )
 
+# What a task holds: groups go by number.
+HELD = pa.schema([("group", pa.int64()), ("term", pa.binary()), ("shared", pa.int32()), ("docs", pa.int64()), ("n", pa.int64())])
 TERM_ROWS = "lang string, source string, term binary, shared int, docs bigint, n bigint"
 
 
+def _terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All terms of texts (of type large_string, without nulls) in their order, and the number of the text of each."""
+    _, offsets, data = texts.buffers()
+    starts = np.frombuffer(offsets, "<i8")[texts.offset:texts.offset + len(texts) + 1]
+    first, end = int(starts[0]), int(starts[-1])
+    letters = LETTERS[np.frombuffer(data, np.uint8)[first:end]] if end > first else np.zeros(0, np.uint8)
+    inside = letters != 0x20
+    # A term begins after what ends one, or where its text begins; it ends before what ends it, or where one begins.
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edges = starts[:-1][starts[:-1] < end] - first
+    begins[edges] = inside[edges]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | begins[1:]
+    at = np.flatnonzero(begins)
+    # Without what lies between them terms follow one another.
+    places = np.append(0, np.cumsum(np.flatnonzero(ends) - at + 1)).astype("<i8")
+    terms = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(places), pa.py_buffer(letters[inside])])
+    return terms, np.searchsorted(starts, at + first, "right") - 1
+
+
+def _shared(terms: pa.Array, before: np.ndarray, after: np.ndarray, first_level: int) -> np.ndarray:
+    """How many leading bytes terms, given by two places each in the sorted ``terms``, have in common, cut to a level."""
+    sizes, shared, level = pc.binary_length(terms).to_numpy(), np.zeros(len(after), np.int32), first_level
+    while True:
+        long = np.flatnonzero(sizes >= level)
+        prefixes = pc.binary_slice(terms.take(pa.array(long)), 0, level)
+        same = pc.equal(prefixes[1:], prefixes[:-1]).to_numpy(zero_copy_only=False) if len(long) else np.zeros(0, bool)
+        if not same.any():
+            return shared
+        # Terms of one prefix are neighbours: they have one number, all others their own.
+        starts = np.ones(len(sizes), bool)
+        starts[long[1:][same]] = False
+        number = np.cumsum(starts)
+        shared[number[before] == number[after]] = level
+        level *= 2
+
+
+def _summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Each distinct key, how often it occurs and the sums of its values."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[:len(keys)])
+    return keys[starts], np.diff(np.append(starts, len(keys))), *(np.add.reduceat(value[order], starts) for value in values)
+
+
+def _counted(texts: pa.Array, groups: np.ndarray, first_level: int) -> pa.Table:
+    """Per group, ``shared`` and term the documents and occurrences of texts, whose groups are given by number."""
+    terms, text = _terms(texts)
+    if not len(terms):
+        return HELD.empty_table()
+    coded = terms.dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    distinct, place = coded.dictionary.take(order), np.empty(len(order), np.int64)
+    place[order.to_numpy()] = np.arange(len(order))
+    # Each document's terms in byte order, and how often it holds them.
+    held, counts = np.unique(text * len(order) + place[coded.indices.to_numpy()], return_counts=True)
+    text, place = np.divmod(held, len(order))
+    shared = np.zeros(len(held), np.int32)
+    next_ = np.flatnonzero(text[1:] == text[:-1]) + 1
+    shared[next_] = _shared(distinct, place[next_ - 1], place[next_], first_level)
+    levels, level = np.unique(shared, return_inverse=True)
+    keys, docs, n = _summed((groups[text] * len(levels) + level) * len(order) + place, counts)
+    key, place = np.divmod(keys, len(order))
+    group, level = np.divmod(key, len(levels))
+    columns = [group, distinct.take(pa.array(place)).cast(pa.binary()), levels[level], docs, n]
+    return pa.Table.from_arrays([pa.array(column, field.type) for column, field in zip(columns, HELD)], schema=HELD)
+
+
 def _term_rows(first_level: int):
     """Adds up, per group, ``shared`` and term, the documents and occurrences of some documents at a time."""
-    Held = dict[tuple[str, str], dict[int, dict[bytes, int]]]
-
-    def batches_of(held: Held) -> Iterator[pa.RecordBatch]:
-        for (lang, source), by_shared in held.items():
-            for shared, counts in by_shared.items():
-                terms, numbers = list(counts), np.array(list(counts.values()), np.int64)
-                for at in range(0, len(terms), BATCH_TERMS):
-                    part, values = terms[at:at + BATCH_TERMS], numbers[at:at + BATCH_TERMS]
-                    yield pa.RecordBatch.from_pydict({
-                        "lang": pa.array([lang] * len(part), pa.string()), "source": pa.array([source] * len(part), pa.string()),
-                        "term": pa.array(part, pa.binary()), "shared": pa.array(np.full(len(part), shared, np.int32)),
-                        "docs": pa.array(values // DOCUMENT), "n": pa.array(values % DOCUMENT),
-                    })
+    def merged(held: list[pa.Table]) -> pa.Table:
+        found = pa.concat_tables(held).group_by(["group", "term", "shared"], use_threads=False).aggregate(
+            [("docs", "sum"), ("n", "sum")])
+        return found.rename_columns(HELD.names).select(HELD.names)
+
+    def batches_of(table: pa.Table, names: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array(one, pa.string()) for one in zip(*names))
+        for batch in table.to_batches(max_chunksize=BATCH_TERMS):
+            yield pa.RecordBatch.from_pydict({
+                "lang": langs.take(batch["group"]), "source": sources.take(batch["group"]),
+                **{name: batch[name] for name in ("term", "shared", "docs", "n")},
+            })
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Held = {}
-        size = docs = 0
-        # Many small values and no cycles to look for.
-        gc.disable()
-        try:
-            for batch in batches:
-                for lang, source, text in zip(*(column.to_pylist() for column in batch.columns)):
-                    found = Counter((text or "").encode("utf-8", "surrogatepass").translate(LETTERS).split())
-                    by_shared = held.setdefault((lang, source), {0: {}})
-                    size -= sum(map(len, by_shared.values()))
-                    alone, before = by_shared[0], b""
-                    for term in sorted(found):
-                        if term[:first_level] != before[:first_level] or len(term) < first_level:
-                            counts = alone
-                        else:
-                            shared = first_level
-                            while term[:2 * shared] == before[:2 * shared] and len(term) >= 2 * shared:
-                                shared *= 2
-                            counts = by_shared.get(shared)
-                            if counts is None:
-                                counts = by_shared[shared] = {}
-                        before = term
-                        counts[term] = counts.get(term, 0) + DOCUMENT + found[term]
-                    size += sum(map(len, by_shared.values()))
-                    docs += 1
-                    if size > HELD_TERMS or docs == HELD_DOCS:
-                        yield from batches_of(held)
-                        held, size, docs = {}, 0, 0
-            yield from batches_of(held)
-        finally:
-            gc.enable()
+        numbers: dict[tuple[str, str], int] = {}
+        held: list[pa.Table] = []
+
+        def full() -> float:
+            """What is held, as a share of what may be."""
+            terms, size = sum(table.num_rows for table in held), sum(table.nbytes for table in held)
+            return max(max(terms, len(numbers)) / HELD_TERMS, size / HELD_BYTES)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNTED_DOCS):
+                langs, sources, texts = batch.slice(at, COUNTED_DOCS).columns
+                groups = [numbers.setdefault(one, len(numbers)) for one in zip(langs.to_pylist(), sources.to_pylist())]
+                held.append(_counted(pc.fill_null(texts, "").cast(pa.large_string()), np.array(groups, np.int64), first_level))
+                if full() > 1:
+                    held = [merged(held)]
+                    # Where little room is left, further documents would soon fill it again.
+                    if full() > 0.5:
+                        yield from batches_of(held[0], list(numbers))
+                        held, numbers = [], {}
+        if held:
+            yield from batches_of(merged(held), list(numbers))
 
     return rows
 
